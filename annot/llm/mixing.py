@@ -28,8 +28,8 @@ def sainte_lague(df: DataFrame, group: list[str], party: str, votes: str, seats:
 
     Rounding each exact quota gives a start that is at most half a seat a party off. What is missing goes to the highest
     next quotients, what is too much is taken from the lowest last ones. A party can gain or lose no more than its share
-    of n / 2 seats, and one, so that many quotients a party are compared, about 2.5 n rows for n parties. Ties go by
-    party. A group without votes gets no seats.
+    of n / 2 seats, and one, so that many quotients a party are compared, about 2.5 n rows for n parties. Ties go to the
+    first party, nulls last. A group without votes gets no seats.
     """
     g = Window.partitionBy(*group)
     total = F.sum(votes).over(g)
@@ -42,7 +42,9 @@ def sainte_lague(df: DataFrame, group: list[str], party: str, votes: str, seats:
     sign = F.signum("_open").cast("int")
     odd = F.when(F.col("_open") > 0, 2 * (F.col("_start") + F.col("_step")) - 1).otherwise(2 * (F.col("_start") - F.col("_step")) + 1)
     quotient = F.col(votes) / odd
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("_step").isNull(), F.when(F.col("_open") > 0, -quotient).otherwise(quotient), party, "_step"))
+    won = F.col("_open") > 0
+    order = [F.col("_step").isNull(), F.when(won, -quotient).otherwise(quotient), F.when(won, F.col(party)).asc_nulls_last(), F.when(~won, F.col(party)).desc_nulls_first(), "_step"]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     taken = (F.col("_step").isNotNull() & (place <= F.abs("_open"))).cast("int")
     keep = [c for c in df.columns if not c.startswith("_")]
     moved = df.withColumn("_taken", taken * sign).groupBy(*keep, "_start").agg(F.sum("_taken").alias("_moved"))
