@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import brown_lm, chosen_path, exact_dedup, mixing, packing, quality, suffix_dedup, toxicity, weighted_sampling
 
 
 def queries() -> dict:
-    return {"op3_mix_sources": mixing.op3_mix_sources, "op6_exact_dedup": exact_dedup.op6_exact_dedup}
+    return {
+        "op1_quality_scores": quality.op1_quality_scores,
+        "op2_near_duplicates": chosen_path.op2_near_duplicates,
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_pack_sequences": packing.op4_pack_sequences,
+        "op5_class_lm_scores": brown_lm.op5_class_lm_scores,
+        "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_remove_repeats": suffix_dedup.op7_remove_repeats,
+        "op8_weighted_fingerprints": weighted_sampling.op8_weighted_fingerprints,
+        "op9_toxicity_scores": toxicity.op9_toxicity_scores,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
