@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, take_rows, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -81,10 +81,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for doc_id, h, text in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
             s = shingles(text)
-            rows.append((doc_id, xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).view(np.int32) if len(s) else None))
-        yield pd.DataFrame(rows, columns=["doc_id", "digest", "n", "sig"])
+            rows.append((doc_id, h, xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).view(np.int32) if len(s) else None))
+        yield pd.DataFrame(rows, columns=["doc_id", "h", "digest", "n", "sig"])
 
 
 def _leaf_links(threshold: float):
@@ -241,7 +241,7 @@ def _bridges(ida: np.ndarray, idb: np.ndarray, linked: np.ndarray) -> pd.DataFra
     return pd.DataFrame(edges, columns=["id", "other"])
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL, block: int = BLOCK, keep_keys: bool = False) -> DataFrame:
     """doc_id, class_id, copy_id, n_copies, n_links for each row of df.
 
     copy_id: the least id of the rows with the same set of shingles, of which there are n_copies; n_links: the number of
@@ -250,10 +250,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     empty table; extra columns are ignored.
     """
     id_type = df.schema[doc_id].dataType.simpleString()
-    texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = written(texts.mapInPandas(_sign, f"doc_id {id_type}, digest binary, n int, sig array<int>").withColumn("uid", F.monotonically_increasing_id()), "path-signed")
-    classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "n", "sig")).alias("x"), F.count(F.lit(1)).alias("n_copies"))
-    classes = written(classes.select(F.col("x.uid").alias("id"), "digest", F.col("x.doc_id").alias("copy_id"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "n_copies"), "path-classes")
+    texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = written(texts.mapInPandas(_sign, f"doc_id {id_type}, h long, digest binary, n int, sig array<int>").withColumn("uid", F.monotonically_increasing_id()), "path-signed")
+    classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "h", "n", "sig")).alias("x"), F.count(F.lit(1)).alias("n_copies"))
+    classes = written(classes.select(F.col("x.uid").alias("id"), "digest", F.col("x.doc_id").alias("copy_id"), F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig"), "n_copies"), "path-classes")
 
     groups = candidate_groups(classes.where("n > 0").select("id", "sig"), threshold, target)
     sizes = groups.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
@@ -270,10 +270,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
 
     links = verified.where("links is not null").groupBy("id").agg(F.sum("links").alias("n_links"))
     joined = components(verified.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")), "path-links")
-    out = classes.select("id", "digest", "copy_id", "n_copies").join(links, "id", "left").join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    least = out.groupBy("comp").agg(F.min("copy_id").alias("class_id"))
-    out = written(out.join(least, "comp").select("digest", "class_id", "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "path-result")
-    return signed.select("doc_id", "digest").join(out, "digest").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    out = classes.select("id", "digest", "copy_id", "h", "n_copies").join(links, "id", "left").join(joined, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = out.groupBy("comp").agg(F.min(F.struct("copy_id", "h")).alias("least"))
+    out = written(out.join(least, "comp").select("digest", F.col("least.copy_id").alias("class_id"), F.col("least.h").alias("class_h"), "copy_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "path-result")
+    rows = signed.select("doc_id", "h", "digest").join(out, "digest")
+    if keep_keys:
+        first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
+        return rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("_k"), F.col("h").alias("_h"), first.alias("first"))
+    return rows.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
 def _digest_udf():
@@ -288,8 +292,9 @@ def _digest_udf():
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df, one of each class of near duplicates: that with the least id."""
-    first = near_duplicates(df, doc_id, text, **options).select(F.col("class_id").alias("_id")).distinct()
-    return df.join(first, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([doc_id])
+    rows = near_duplicates(df, doc_id, text, keep_keys=True, **options)
+    keys = rows.groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("first")).alias("x")).select("_k", "_h", "n", F.col("x.first").cast("int").alias("times"))
+    return take_rows(df, written(keys.where("times > 0"), "path-kept"), doc_id, text)
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:

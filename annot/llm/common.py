@@ -53,3 +53,18 @@ def seeded(*parts: Column) -> Column:
     """A non-negative 60-bit integer from the md5 of the parts, the same in any SQL engine."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def with_key(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """df with _k and _h, which tell rows apart by id and text: the id as text, and a hash of the text."""
+    return df.withColumn("_k", F.coalesce(F.col(doc_id).cast("string"), F.lit("~"))).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+
+
+def take_rows(df: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of df as often as chosen (_k, _h, n, times) says: n rows of df have this id and text, of which `times` are taken."""
+    out = with_key(df, doc_id, text).join(chosen.where("times > 0"), ["_k", "_h"])
+    if chosen.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["_k", "_h"])
+    if chosen.where("times > 1").limit(1).count():
+        out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return out.select(*df.columns)

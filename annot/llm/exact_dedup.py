@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, lower_ascii, written
+from .common import documents, lower_ascii, take_rows, written
 
 BLOCK_BYTES = 4096
 
@@ -41,15 +41,15 @@ def _numbered(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 
 def text_identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", normalise=lower_ascii, block_bytes: int = BLOCK_BYTES, block_hash=_default_hash) -> DataFrame:
-    """One row a row of df: row_id, doc_id, text_sha256, rounds and name; (rounds, name) is the text's identity.
+    """One row a row of df: row_id, doc_id, h (of the text as it is), text_sha256, rounds and name; (rounds, name) is the text's identity.
 
     Null texts count as empty; an empty text is one empty block. Repeated rows, null ids and extra columns are no
     trouble: rows are told apart by row_id, not by doc_id. An empty table gives an empty table.
     """
-    norm = df.select(F.col(doc_id).alias("doc_id"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
+    norm = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), normalise(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
     cut = norm.withColumn("blocks", _blocks(F.col("norm"), block_bytes))
     rows = written(
-        cut.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform("blocks", block_hash).alias("hashes")),
+        cut.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.transform("blocks", block_hash).alias("hashes")),
         "exact-rows",
     )
     contents = cut.select(F.explode("blocks").alias("block")).select(block_hash(F.col("block")).alias("h"), "block").groupBy("h").agg(F.sort_array(F.collect_set("block")).alias("contents"))
@@ -90,7 +90,7 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     found = written(text_identities(df, doc_id, text, **options), "exact-found")
     groups = found.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
     kept = F.col("row_id") == F.col("keep.row_id")
-    return found.join(groups, ["rounds", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "row_id")
+    return found.join(groups, ["rounds", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "row_id", "h")
 
 
 def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -98,14 +98,13 @@ def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Rows equal in id and text are one document, and one of them stays.
     """
-    keep = exact_groups(df, doc_id, text, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))).cast("binary"), 256)
-    out = df.withColumn("_own", own)
-    return out.join(keep, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi").dropDuplicates([doc_id, "_own"]).drop("_own")
+    found = exact_groups(df, doc_id, text, **options)
+    keys = found.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("_k"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kept").cast("int")).alias("times"))
+    return take_rows(df, written(keys.where("times > 0"), "exact-kept"), doc_id, text)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_groups(documents(spark, sf_dir)).drop("row_id")
+    return exact_groups(documents(spark, sf_dir)).drop("row_id", "h")
 
 
 ORACLE = """

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, seeded, written
+from .common import WORD, documents, seeded, take_rows, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -67,19 +67,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, pass
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS, weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, for each row of df.
+    """doc_id, h (a hash of the text), size, source_size, target, taken, for each row of df.
 
     Null texts have size 0 and are taken 0 times; a null source is a source of its own, the last. Rows with equal ids
     are ordered by size; where that is equal too they may swap, which leaves the result the same. Extra columns are
     ignored. An empty table gives an empty table.
     """
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    docs = written(df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), seeded(F.lit(seed), F.col(doc_id)).alias("at")), "mix-sizes")
+    docs = written(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(source).alias("source"), size.alias("size"), seeded(F.lit(seed), F.col(doc_id)).alias("at")), "mix-sizes")
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     sources = written(source_targets(sizes, weights, share, passes).withColumn("n_shards", F.ceil(F.col("rows") / shard_rows)), "mix-sources")
 
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    dealt = docs.join(sources, same(docs, sources)).select("doc_id", docs["source"], "size", "at", "source_size", "target", F.pmod(F.col("at"), F.col("n_shards")).alias("shard"))
+    dealt = docs.join(sources, same(docs, sources)).select("doc_id", "h", docs["source"], "size", "at", "source_size", "target", F.pmod(F.col("at"), F.col("n_shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size")).withColumn("blocks", F.ceil(F.col("shard_size") / block_words))
     shards = written(shards, "mix-shards")
     held = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"))
@@ -102,11 +102,19 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     stop = F.col("start") + F.col("size")
     overlap = F.greatest(F.least(stop, F.col("hi")) - F.greatest(F.col("start"), F.col("lo")), F.lit(0)) + F.greatest(F.least(stop, F.col("wrap")) - F.col("start"), F.lit(0))
     out = placed.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("shard") == F.col("p_shard")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + overlap).cast("long").alias("taken"))
+    return out.select("doc_id", "h", "size", "source_size", "target", (F.col("full") * F.col("size") + overlap).cast("long").alias("taken"))
+
+
+def mixed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Each row of df as often as is nearest to the words that the mix takes of it; texts without words go."""
+    found = mix(df, doc_id, text, source, **options)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    keys = found.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("_k"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(times).alias("times"))
+    return take_rows(df, written(keys.where("times > 0"), "mix-times"), doc_id, text)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir))
+    return mix(documents(spark, sf_dir)).drop("h")
 
 
 def _md5(expr: str) -> str:

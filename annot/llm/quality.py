@@ -102,10 +102,14 @@ def fit_bradley_terry(x: np.ndarray, y: np.ndarray, pairs: int = FIT_PAIRS, ridg
     return weights, cut, float(max(score.std() / 4, 1e-6))
 
 
+def labelled(marked: DataFrame, fit_rows: int) -> DataFrame:
+    """doc_id and label of the rows to fit on: of several labels of a document, the largest."""
+    return marked.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(seeded(F.lit(SEED), F.col("doc_id")), "doc_id").limit(fit_rows)
+
+
 def fit_quality(feats: DataFrame, marked: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, float]:
     """The model from feats and marked (doc_id, label): fitted on at most fit_rows rows, which are brought to the driver."""
-    rows = marked.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(seeded(F.lit(SEED), F.col("doc_id")), "doc_id").limit(fit_rows)
-    got = feats.join(rows, "doc_id").drop("doc_id").toPandas()
+    got = feats.join(labelled(marked, fit_rows), "doc_id").drop("doc_id").toPandas()
     return fit_bradley_terry(got[[f"f_{n}" for n in NAMES]].to_numpy(float), got["label"].to_numpy())
 
 
@@ -127,6 +131,19 @@ def quality_scores(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", tex
     return feats.select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def drop_low_quality(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of df that the classifier, fitted on marked as in quality_scores, doesn't reject: those that score 0.5 or more."""
+    rows = labelled(marked, fit_rows)
+    sample = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(rows.select("doc_id")), "doc_id")  # at most fit_rows ids
+    weights, cut, _ = fit_quality(text_features(sample), marked, fit_rows)
+
+    @F.pandas_udf("double")
+    def above(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(np.dot(features(t), weights)) - cut for t in texts], dtype="float64")
+
+    return df.where(above(F.coalesce(F.col(text), F.lit(""))) >= 0)
+
+
 def op1_quality_scores(spark, sf_dir: str) -> DataFrame:
     marked = labels(spark, sf_dir).where(fold_of(F.col("doc_id"), 3) != 1).select("doc_id", F.col("quality").alias("label"))
     out = quality_scores(documents(spark, sf_dir), marked)

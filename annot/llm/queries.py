@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import brown_lm, chosen_path, exact_dedup, mixing, packing, quality, suffix_dedup, toxicity, weighted_sampling
+import corpus_pipeline
+
+from . import brown_lm, chosen_path, exact_dedup, mixing, packing, pii, quality, suffix_dedup, toxicity, weighted_sampling
 
 
 def queries() -> dict:
@@ -16,6 +18,8 @@ def queries() -> dict:
         "op7_remove_repeats": suffix_dedup.op7_remove_repeats,
         "op8_weighted_fingerprints": weighted_sampling.op8_weighted_fingerprints,
         "op9_toxicity_scores": toxicity.op9_toxicity_scores,
+        "op10_personal_data": pii.op10_personal_data,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -103,7 +103,7 @@ def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k
 
 def fit_toxicity(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> tuple[dict[str, float], float]:
     """Weight of each telling word, and the bias. marked: doc_id and label (1 toxic, 0 not)."""
-    rows = marked.where("label is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(seeded(F.lit(SEED), F.col("doc_id")), "doc_id").limit(fit_rows)
+    rows = marked.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(seeded(F.lit(SEED), F.col("doc_id")), "doc_id").limit(fit_rows)
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = written(texts.join(rows.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id").select("text", "label"), "toxic-sample")
     words = {w: i for i, w in enumerate(telling_words(sample, fit_words))}

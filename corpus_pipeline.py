@@ -1,0 +1,60 @@
+"""A training corpus from documents, in five stages: each works on all rows that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next one.
+All but the last return the columns of docs. Rows with null texts or ids, repeated rows and extra columns are no trouble;
+an empty table stays one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annot.llm import chosen_path, exact_dedup, mixing, packing, quality
+from annot.llm.common import documents, labels, shared_dir, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return quality.drop_low_quality(docs, labels(spark, sf_dir).select("doc_id", F.col("quality").alias("label")))
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest id."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the one with the least id."""
+    return chosen_path.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: 0, 1 or 2 times, the nearest to the words it takes."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents, with their sequences and places there."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact_dedup", drop_exact),
+    ("near_dedup", drop_near),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL has neither the trained classifier nor the packing; the stages are tested against plain versions.
+ORACLE_SQL = None
