@@ -3,7 +3,7 @@
 Texts with equal sets of shingles form one class and are joined once. Each class gets a MinHash signature, its sample of
 tokens. A run sends every class down a tree: a node picks one or two places of the signature by its own hash, and the
 classes at the node move to the children that the values at those places name. Nodes with few classes are leaves; larger
-ones are split again. In a leaf, signatures are compared by brute force, and classes that look similar are linked to one
+ones are compared with one of their classes, which those much like it are linked to, and the rest is split again. In a leaf, signatures are compared by brute force, and classes that look similar are linked to one
 of them. Runs are repeated so often that a pair at the threshold is met with the target probability.
 
 Linked classes form candidate groups. Within each group all pairs are verified on the full sets: small groups many to a
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -156,24 +157,31 @@ def candidate_groups(classes: DataFrame, threshold: float, target: float) -> Dat
         child = lambda i: F.xxhash64(node, i, F.get(sig, i))
         return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra, F.array_distinct(F.array(child(first), child(second)))).otherwise(F.array(child(first)))
 
-    # The first two levels at once: a signature's first step leaves few large nodes.
     roots = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])))
     level = roots.select("id", F.explode(children(F.col("node"), F.col("sig"))).alias("node"))
-    leaves = None
+    leaves, links = [], []
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").count().where("count > 1")
         sized = written(level.join(sizes, "node"), f"path-{depth}")
+        leaves.append(sized.where(F.col("count") <= LEAF).select("id", "node"))
         full = sized.where(F.col("count") > LEAF).select("id", "node")
-        small = sized.where(F.col("count") <= LEAF).select("id", "node")
-        leaves = small if leaves is None else leaves.unionByName(small)
-        if depth == DEPTH or not full.limit(1).count():
+        if not full.limit(1).count():
             break
-        level = full.join(classes.select("id", "sig"), "id").select("id", F.explode(children(F.col("node"), F.col("sig"))).alias("node"))
+        # A large node's classes are compared with one of them. Those much like it leave: what is near them is near it
+        # too, as 1 - similarity is a distance, and so is linked to it.
+        full = full.join(classes.select("id", "sig"), "id")
+        hubs = full.groupBy("node").agg(F.min_by(F.struct("id", "sig"), F.struct(F.xxhash64("id", "node"), "id")).alias("hub"))
+        share = sum(((F.get("sig", F.lit(k)) == F.get(F.col("hub.sig"), F.lit(k))).cast("int") for k in range(PLACES)), F.lit(0)) / float(PLACES)
+        full = written(full.join(hubs, "node").select("id", "node", "sig", F.col("hub.id").alias("hub"), share.alias("share")), f"path-hubs-{depth}")
+        links.append(full.where(F.col("share") >= threshold - MARGIN).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        rest = full.where((F.col("share") < (1 + threshold) / 2) & (F.col("id") != F.col("hub")))
+        if depth == DEPTH:
+            # What is still together after DEPTH steps shares so many places that it is verified as it is.
+            links.append(rest.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        level = rest.select("id", F.explode(children(F.col("node"), F.col("sig"))).alias("node"))
     sketch = classes.select("id", F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")))).alias("sketch"))
-    compared = leaves.join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
-    # What is still together after DEPTH steps shares so many places that it is verified as it is.
-    tight = full.join(full.groupBy("node").agg(F.min("id").alias("b")), "node").select(F.col("id").alias("a"), "b")
-    return components(compared.unionByName(tight), "path-groups")
+    compared = reduce(DataFrame.unionByName, leaves).join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
+    return components(reduce(DataFrame.unionByName, [compared, *links]).where("a <> b"), "path-groups")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
