@@ -423,7 +423,7 @@ def fit_tagger(df: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_do
     ids = df.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct().orderBy(rank, "doc_id").limit(fit_docs)
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     windows = texts.select("text").mapInPandas(_window_rows, "x binary, y binary, spans boolean")
-    half = [windows.where(F.col("spans") == s).orderBy(F.xxhash64("x"), "x", "y").limit(fit_windows // 2).select("x", "y").toPandas() for s in (True, False)]
+    half = [windows.where(F.col("spans") == s).orderBy(F.xxhash64("x"), "x", "y").limit(fit_windows // 2).select("x", "y").toArrow().to_pandas() for s in (True, False)]
     rows = pd.concat(half, ignore_index=True)
     if not len(half[0]):
         return new_model(np.random.default_rng(SEED)) | {"out": np.zeros((TAGS, 2 * HIDDEN)), "bias": np.r_[10.0, np.zeros(TAGS - 1)]}

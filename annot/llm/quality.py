@@ -109,7 +109,7 @@ def labelled(marked: DataFrame, fit_rows: int) -> DataFrame:
 
 def fit_quality(feats: DataFrame, marked: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float, float]:
     """The model from feats and marked (doc_id, label): fitted on at most fit_rows rows, which are brought to the driver."""
-    got = feats.join(labelled(marked, fit_rows), "doc_id").drop("doc_id").toPandas()
+    got = feats.join(labelled(marked, fit_rows), "doc_id").drop("doc_id").toArrow().to_pandas()
     return fit_bradley_terry(got[[f"f_{n}" for n in NAMES]].to_numpy(float), got["label"].to_numpy())
 
 

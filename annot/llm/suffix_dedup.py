@@ -34,7 +34,7 @@ GRAM = 8
 #: Bytes of text that are looked at together.
 CHUNK = 2_000_000
 #: Anchors' hashes that are sent to every task, at most; with more of them the tasks get theirs by a join.
-NEAR_KEYS = 4_000_000
+NEAR_KEYS = 2_000_000
 SAMPLES = 20_000
 RANGE_BYTES = 64_000_000
 
@@ -361,7 +361,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, pick: int = PICK, near_key
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * (span + pick) // RANGE_BYTES)
     splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     if n_live <= near_keys:
-        keys = spark.sparkContext.broadcast(np.sort(live.select("key").toPandas()["key"].to_numpy(np.int64)))
+        keys = spark.sparkContext.broadcast(np.sort(live.select("key").toArrow()["key"].to_numpy()))
         runs = docs.mapInPandas(_sort_runs(span, pick, splitters, keys), f"part int, run binary, ids array<{id_type}>, hs array<long>")
     else:
         places = docs.mapInPandas(_each_key(span, pick), f"doc_id {id_type}, h long, place long, key long").join(live.select("key"), "key")

@@ -107,7 +107,7 @@ def fit_toxicity(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text:
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = written(texts.join(rows.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id").select("text", "label"), "toxic-sample")
     words = {w: i for i, w in enumerate(telling_words(sample, fit_words))}
-    bags = sample.mapInPandas(_bags(words), "label int, n int, sentence array<int>, word array<int>").toPandas()
+    bags = sample.mapInPandas(_bags(words), "label int, n int, sentence array<int>, word array<int>").toArrow().to_pandas()
     if not len(bags):
         return {}, -6.0
     w, b = fit_noisy_or(bags["label"].to_numpy(), bags["n"].to_numpy(), list(bags["sentence"]), list(bags["word"]), len(words))
