@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import documents, written
 
-SAMPLES = 32
+SAMPLES = 24
 WORDS = 5
 _LOW = 0xFFFFFFFF
 

@@ -39,7 +39,7 @@ def test_collision_rate_is_the_weighted_similarity(spark):
         told += [got[i].near_edited, got[i].near_next]
     true, told = np.array(true), np.array(told)
     assert abs((told - true).mean()) < 0.02
-    assert np.sqrt(((told - true) ** 2).mean()) < 1.25 * np.sqrt((true * (1 - true) / 32).mean()) + 0.005
+    assert np.sqrt(((told - true) ** 2).mean()) < 1.25 * np.sqrt((true * (1 - true) / 24).mean()) + 0.005
 
 
 def test_equal_texts_and_odd_rows(spark):
