@@ -110,15 +110,15 @@ def rewritten(kind: int, text: str, rng) -> str:
     return f"({last[:3]}) {last[3:6]}-{last[6:]}" if form == 0 else f"{last[:3]}-{last[3:6]}-{last[6:]}" if form == 1 else f"00{digits}"
 
 
-def training_windows(text: str, rng) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Classes and tags of windows around the base spans, around other digits and at one random place."""
+def training_windows(text: str, rng, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Classes and tags of windows around the base spans, of which a share is rewritten, around other digits and at one random place."""
     spans, out, places = base_spans(text), [], []
     edited, tags, at = [], [], 0
     for start, kind, end in spans:
         if start < at:
             continue
         piece = text[start:end]
-        if rng.random() < 0.35:
+        if rng.random() < share:
             piece = rewritten(kind, piece, rng)
         edited += [text[at:start], piece]
         tags += [0] * (start - at) + [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
@@ -144,7 +144,8 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch["text"]:
             rng = np.random.default_rng(len(text) * 1009 + sum(map(ord, text[:50])))
-            rows += [(x.tobytes(), y.tobytes(), bool(y.any())) for x, y in training_windows(text, rng)]
+            for share in (0.0, 0.8):  # each text as it is, and once more
+                rows += [(x.tobytes(), y.tobytes(), bool(y.any())) for x, y in training_windows(text, rng, share)]
         yield pd.DataFrame(rows, columns=["x", "y", "spans"])
 
 

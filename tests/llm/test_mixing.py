@@ -13,7 +13,7 @@ def test_seats_go_to_the_highest_quotients(spark):
         party = [(p, v) for gg, p, v, _ in rows if gg == g]
         seats = next(m for gg, _, _, m in rows if gg == g)
         quotients = sorted(((-v / (2 * j + 1), p) for p, v in party for j in range(seats)))[:seats]
-        want = {p: sum(q[1] == p for q in quotients) for p, _ in party} if sum(v for _, v in party) else {}
+        want = {p: sum(q[1] == p for q in quotients) for p, _ in party} if sum(v for _, v in party) else {p: 0 for p, _ in party}
         assert {p: got[g, p] for p, _ in party} == want
 
 

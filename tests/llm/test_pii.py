@@ -79,7 +79,7 @@ def corpus(n):
 
 
 def test_base_stays_and_rewritten_data_is_found(spark):
-    rows = corpus(300)
+    rows = corpus(800)
     hidden = [(1000 + k, f"{words(random.Random(k), 20)} 212-555-{1000 + k} {words(random.Random(k + 1), 20)}") for k in range(40)]
     clean = [(2000 + k, words(random.Random(90 + k), 60, ["the", "of", "version", "and", "12", "a1b2", "x"])) for k in range(60)]
     got = {r.doc_id: r for r in pii.find_personal_data(crowded(table(spark, rows + hidden + clean))).collect()}
