@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences, and only bags have labels.
 
-A sentence's probability is logistic in the words it holds; a document is toxic if any of its sentences is, so its
+A sentence's probability is logistic in the words it holds and their beginnings; a document is toxic if any of its sentences is, so its
 probability is the noisy-or of theirs. The weights maximise the likelihood of the documents' labels. The same sentence
 scores then locate the offending sentences.
 """
@@ -20,8 +20,11 @@ from .common import documents, fold_of, labels, seeded, written
 
 #: The fit uses at most so many labelled documents, those with the lowest seeded hash.
 FIT_ROWS = 16_000
-#: Words, of those in documents of either label, whose association with toxic ones is strongest.
-FIT_WORDS = 1024
+#: Words and beginnings of words whose association with toxic documents is strongest.
+FIT_WORDS = 3000
+BEGINNINGS = range(3, 9)
+#: Words that a Python worker remembers.
+MEMO = 200_000
 SEED = 9
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -32,16 +35,42 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
+def parts(word: str) -> list[str]:
+    """A word and its beginnings, marked as such."""
+    return [word, *("^" + word[:k] for k in BEGINNINGS if k < len(word))]
+
+
+class Known:
+    """The known features of words."""
+
+    def __init__(self, features: dict):
+        self.features, self.memo = features, {}
+
+    def of(self, words) -> set[str]:
+        """The known features of any of the words."""
+        out: set[str] = set()
+        for w in words:
+            own = self.memo.get(w)
+            if own is None:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                own = self.memo[w] = tuple(f for f in parts(w) if f in self.features)
+            if own:
+                out.update(own)
+        return out
+
+
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         seen: Counter = Counter()
         toxic: Counter = Counter()
         for text, label in zip(batch["text"], batch["label"], strict=True):
-            own = set(_WORD.findall(text.lower()))
+            own = {f for w in set(_WORD.findall(text.lower())) for f in parts(w)}
             seen.update(own)
             if label:
                 toxic.update(own)
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "n_toxic": [toxic[w] for w in seen]})
+        yield pd.DataFrame({"word": list(toxic), "n": [seen[w] for w in toxic], "n_toxic": list(toxic.values())})
+        yield pd.DataFrame({"word": [w for w in seen if w not in toxic], "n": [n for w, n in seen.items() if w not in toxic], "n_toxic": 0})
 
 
 def telling_words(sample: DataFrame, most: int) -> list[str]:
@@ -53,11 +82,12 @@ def telling_words(sample: DataFrame, most: int) -> list[str]:
     p = n_toxic / n
     counts = sample.mapInPandas(_word_counts, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     z = (F.col("n_toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    return [r[0] for r in counts.where("n_toxic >= 3").withColumn("z", z).where("z > 3").orderBy(F.col("z").desc(), "word").limit(most).collect()]
+    return [r[0] for r in counts.where("n_toxic >= 4").withColumn("z", z).where("z > 5").orderBy(F.col("z").desc(), "word").limit(most).collect()]
 
 
 def _bags(words: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Known(words)
         for batch in batches:
             rows = []
             for text, label in zip(batch["text"], batch["label"], strict=True):
@@ -66,14 +96,14 @@ def _bags(words: dict[str, int]):
                 if len(low) != len(text):  # a few letters change their length
                     low = "".join(c.lower()[:1] for c in text)
                 for k, (a, b) in enumerate(spans):
-                    hits += [[k, words[w]] for w in set(_WORD.findall(low, a, b)) if w in words]
+                    hits += [[k, words[f]] for f in known.of(_WORD.findall(low, a, b))]
                 rows.append((int(label), len(spans), [h[0] for h in hits], [h[1] for h in hits]))
             yield pd.DataFrame(rows, columns=["label", "n", "sentence", "word"])
 
     return run
 
 
-def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k: int, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k: int, steps: int = 500, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights of k words and the bias, by gradient ascent (Adam) on the log-likelihood of the labels.
 
     Sentences without a known word all have the bias's probability; they enter by their number.
@@ -85,7 +115,7 @@ def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k
     rows, inst = np.unique(flat, return_inverse=True)
     bag = (rows >> 32).astype(np.int64)
     plain = n - np.bincount(bag, minlength=docs)
-    w, b = np.full(k, 2.0), -6.0
+    w, b = np.full(k, 0.5), -6.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, steps + 1):
         z = np.clip(np.bincount(inst, w[ids], len(rows)) + b, -30, 30)
@@ -117,16 +147,16 @@ def fit_toxicity(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text:
 def _score(weights: dict[str, float], bias: float):
     p0 = 1 / (1 + np.exp(-bias))
 
-    def of(text: str) -> tuple:
+    def of(text: str, table: Known) -> tuple:
         spans = sentences(text)
         low = text.lower()
-        known = weights.keys() & set(_WORD.findall(low))
+        known = table.of(set(_WORD.findall(low)))
         best, at, log_none = p0 if spans else 0.0, spans[0] if spans else (0, 0), 0.0
         if known:
             if len(low) != len(text):
                 low = "".join(c.lower()[:1] for c in text)
             for a, b in spans:
-                z = bias + sum(weights[w] for w in known.intersection(_WORD.findall(low, a, b)))
+                z = bias + sum(weights[f] for f in sorted(table.of(_WORD.findall(low, a, b))))
                 p = 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
                 log_none += np.log1p(-min(p, 1 - 1e-12))
                 if p > best:
@@ -136,8 +166,9 @@ def _score(weights: dict[str, float], bias: float):
         return 1 - float(np.exp(log_none)), float(best), *at
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = Known(weights)
         for batch in batches:
-            out = pd.DataFrame([of(t) for t in batch["text"]], columns=["score", "sentence_score", "sentence_start", "sentence_end"])
+            out = pd.DataFrame([of(t, table) for t in batch["text"]], columns=["score", "sentence_score", "sentence_start", "sentence_end"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
