@@ -69,8 +69,7 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen.update(own)
             if label:
                 toxic.update(own)
-        yield pd.DataFrame({"word": list(toxic), "n": [seen[w] for w in toxic], "n_toxic": list(toxic.values())})
-        yield pd.DataFrame({"word": [w for w in seen if w not in toxic], "n": [n for w, n in seen.items() if w not in toxic], "n_toxic": 0})
+        yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "n_toxic": [toxic[f] for f in seen]})
 
 
 def telling_words(sample: DataFrame, most: int) -> list[str]:
