@@ -170,7 +170,8 @@ def candidate_groups(classes: DataFrame, threshold: float, target: float) -> Dat
         # A large node's classes are compared with one of them. Those much like it leave: what is near them is near it
         # too, as 1 - similarity is a distance, and so is linked to it.
         full = full.join(classes.select("id", "sig"), "id")
-        hubs = full.groupBy("node").agg(F.min_by(F.struct("id", "sig"), F.struct(F.xxhash64("id", "node"), "id")).alias("hub"))
+        # The least id is the hub, so that runs and levels agree on it and repeat few links.
+        hubs = full.groupBy("node").agg(F.min(F.struct("id", "sig")).alias("hub"))
         share = sum(((F.get("sig", F.lit(k)) == F.get(F.col("hub.sig"), F.lit(k))).cast("int") for k in range(PLACES)), F.lit(0)) / float(PLACES)
         full = written(full.join(hubs, "node").select("id", "node", "sig", F.col("hub.id").alias("hub"), share.alias("share")), f"path-hubs-{depth}")
         links.append(full.where(F.col("share") >= threshold - MARGIN).select(F.col("id").alias("a"), F.col("hub").alias("b")))
@@ -268,7 +269,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     placed = groups.join(sizes, "comp").join(classes.select("id", "digest", "copy_id"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # The one row of each class whose text is compared: any with its digest, of those with the class's least id.
     placed = written(placed, "path-placed")
-    members = texts.join(placed, texts["doc_id"].eqNullSafe(placed["copy_id"])).select("id", "comp", "blocks", "block", "digest", "text")
+    # A merge join at any size: the candidates grow with the texts.
+    members = texts.join(placed.hint("merge"), texts["doc_id"].eqNullSafe(placed["copy_id"])).select("id", "comp", "blocks", "block", "digest", "text")
     members = members.where(_digest_udf()("text") == F.col("digest")).dropDuplicates(["id"])
     small = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
