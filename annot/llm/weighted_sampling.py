@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .common import documents, written
 
-SAMPLES = 24
+SAMPLES = 32
 WORDS = 5
 _LOW = 0xFFFFFFFF
 
@@ -54,13 +54,16 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     last = F.greatest(F.size("_w") - WORDS, F.lit(0))
     at = F.when(F.size("_w") > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     hashed = F.transform(at, lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WORDS)]))
-    terms = words.select(*keys, F.sort_array(hashed).alias("_s")).withColumn("_r", F.reverse("_s"))
-    rows = terms.select(*keys, "_s", "_r", F.explode(F.sequence(F.lit(-1), F.size("_s") - 1)).alias("_i"))
-    term, i = F.get("_s", F.col("_i")), F.col("_i")
-    # In a sorted list a term's weight is where it ends less where it begins.
-    weight = F.when(F.coalesce(F.get("_s", i + 1) != term, F.lit(True)), 1).otherwise(F.size("_s") + 1 - F.array_position("_r", term) - i)
-    first = (i < 1) | (F.get("_s", i - 1) != term)
-    rows = rows.where(first).select(*keys, (i < 0).cast("int").alias("_own"), F.when(i >= 0, term).alias("_term"), F.when(i >= 0, F.log(weight)).alias("_lw"))
+    terms = words.select(*keys, F.sort_array(hashed).alias("_s"))
+    # In a sorted list a term's weight is where the next one begins less where it begins itself.
+    places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
+    terms = terms.withColumn("_at", begins)
+    rows = terms.select(*keys, "_s", "_at", F.explode(F.sequence(F.lit(-1), F.size("_at") - 1)).alias("_i"))
+    i = F.col("_i")
+    term = F.get("_s", F.get("_at", i))
+    weight = F.coalesce(F.get("_at", i + 1), F.size("_s")) - F.get("_at", i)
+    rows = rows.select(*keys, (i < 0).cast("int").alias("_own"), F.when(i >= 0, term).alias("_term"), F.when(i >= 0, F.log(weight)).alias("_lw"))
     least = [F.min(_sample(F.col("_term"), F.col("_lw"), k)).alias(f"_{k}") for k in range(samples)]
     found = rows.groupBy(*keys).agg(F.sum("_own").alias("rows"), *least)
     return found.select(*keys, F.array(*[F.coalesce(F.col(f"_{k}").bitwiseAND(F.lit(_LOW)), F.lit(0)) for k in range(samples)]).alias("samples"), "rows")

@@ -39,7 +39,7 @@ def test_collision_rate_is_the_weighted_similarity(spark):
         told += [got[i].near_edited, got[i].near_next]
     true, told = np.array(true), np.array(told)
     assert abs((told - true).mean()) < 0.02
-    assert np.sqrt(((told - true) ** 2).mean()) < 1.25 * np.sqrt((true * (1 - true) / 24).mean()) + 0.005
+    assert np.sqrt(((told - true) ** 2).mean()) < 1.25 * np.sqrt((true * (1 - true) / 32).mean()) + 0.005
 
 
 def test_equal_texts_and_odd_rows(spark):
@@ -59,3 +59,10 @@ def test_repeated_rows_null_ids_and_small_tables(spark):
     one = fingerprint_with_edits(table(spark, [(1, "abcdef")])).collect()
     assert len(one) == 1 and one[0].near_next == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert fingerprint_with_edits(table(spark, [(None, "abcdef"), (None, "b")])).count() == 2
+
+
+def test_a_fingerprint_has_32_places(spark):
+    rows = [(i, words(random.Random(i), 60)) for i in range(20)]
+    for r in fingerprint_with_edits(table(spark, rows)).collect():
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == 32 * 8
+        assert (r.near_edited * 32).is_integer() and (r.near_next * 32).is_integer()
