@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annot.operators import classify
@@ -49,23 +52,31 @@ def taxonomy_tsv(t):
 
 
 def _genome_files(t, path: str) -> None:
-    """For each supplier an isomodel report; main reports but for every fifth, structures for two thirds."""
-    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).where("l_linenumber <= 2 and l_suppkey <= 40")
+    """For each supplier an isomodel report; main reports but for every fifth, structures for two thirds.
+
+    Reports are written by ranges of their rows, a folder for each: a long one is in several files, in their order.
+    """
+    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("int").alias("q"), F.max("l_returnflag").alias("l_returnflag"))
-    rows = rows.select(F.concat(F.lit("g"), "l_suppkey").alias("g"), "l_suppkey", F.concat_ws("_", F.lit("c"), "l_orderkey", "l_linenumber").alias("c"), "q", "l_returnflag")
-    row = F.struct("c", "q", "l_returnflag")
-    by = rows.groupBy("g", "l_suppkey").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    iso = F.concat(F.lit("\ntRNAscanID\tAnticodon_predicted_isotype\tAla\tArg\n"), F.array_join(F.transform("rows", lambda x: F.concat(x["c"], F.lit(".trna1\t"), x["l_returnflag"], F.lit("   "), x["q"].cast("string"), F.lit("\t-999"))), "\n"))
-    main = F.concat(F.lit("Sequence\t\ttRNA\nName\ttRNA #\tBegin\tEnd\tType\tCodon\tBegin\tEnd\tScore\tCM\tScore\tNote\n----\n"), F.array_join(F.transform("rows", lambda x: F.concat(x["c"], F.lit("\t1\t10\t"), x["q"].cast("string"), F.lit("\tAla\tTGC\t0\t0\t50.5\tAla\t60.1\tpseudo"))), "\n\n"))
-    struct = F.array_join(F.transform("rows", lambda x: F.concat(x["c"], F.lit(".trna1 (1-9)\tLength: 9 bp\nType: Ala\n   *  |\nSeq: acgT"), x["l_returnflag"], F.lit("\nStr: >>..<\n"))), "\n")
-    kinds = [("isomodels.out", iso, F.lit(True)), ("trnascan.out", main, F.col("l_suppkey") % 5 > 0), ("struct.out", struct, F.col("l_suppkey") % 3 > 0)]
-    parts = [by.where(keep).select(F.concat("g", F.lit(f".{name}")).alias("name"), text.alias("text")) for name, text, keep in kinds]
-    files = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    files.write.partitionBy("name").text(path)  # a folder for each report
+    rows = rows.select("l_suppkey", F.concat_ws("_", F.lit("c"), "l_orderkey", "l_linenumber").alias("c"), F.col("q").cast("string").alias("q"), "l_returnflag")
+    iso = F.concat("c", F.lit(".trna1\t"), "l_returnflag", F.lit("   "), "q", F.lit("\t-999"))
+    main = F.concat("c", F.lit("\t1\t10\t"), "q", F.lit("\tAla\tTGC\t0\t0\t50.5\tAla\t60.1\tpseudo\n"))
+    struct = F.concat("c", F.lit(".trna1 (1-9)\tLength: 9 bp\nType: Ala\n   *  |\nSeq: acgT"), "l_returnflag", F.lit("\nStr: >>..<\n"))
+    iso_head, main_head = "\ntRNAscanID\tAnticodon_predicted_isotype\tAla\tArg", "Sequence\t\ttRNA\nName\ttRNA #\tBegin\tEnd\tType\tCodon\tBegin\tEnd\tScore\tCM\tScore\tNote\n----"
+    kinds = [("isomodels.out", iso_head, iso, F.lit(True)), ("trnascan.out", main_head, main, F.col("l_suppkey") % 5 > 0), ("struct.out", None, struct, F.col("l_suppkey") % 3 > 0)]
+    name = lambda kind: F.concat(F.lit("g"), "l_suppkey", F.lit(f".{kind}")).alias("name")
+    parts = []
+    for kind, head, text, keep in kinds:
+        kept = rows.where(keep)
+        parts.append(kept.select(name(kind), F.lit(1).alias("at"), "c", text.alias("text")))
+        if head:
+            parts.append(kept.select("l_suppkey").distinct().select(name(kind), F.lit(0).alias("at"), F.lit("").alias("c"), F.lit(head).alias("text")))
+    lines = reduce(DataFrame.unionByName, parts).repartitionByRange("name", "at", "c").sortWithinPartitions("name", "at", "c")
+    lines.select("name", "text").write.partitionBy("name").text(path)
 
 
 _GENES = """(SELECT 'g' || l_suppkey AS g, l_suppkey, 'c_' || l_orderkey || '_' || l_linenumber AS c, max(l_quantity)::INT AS q, max(l_returnflag) AS l_returnflag
- FROM lineitem WHERE l_linenumber <= 2 AND l_suppkey <= 40 GROUP BY l_suppkey, l_orderkey, l_linenumber)"""
+ FROM lineitem GROUP BY l_suppkey, l_orderkey, l_linenumber)"""
 
 
 @query(f"""SELECT g AS "GenomeID", c || '.trna1' AS "tRNAscanID", l_returnflag AS isotype, q::VARCHAR AS "Ala", '10' AS "Begin", q::VARCHAR AS "End", '60.1' AS conf_score, 'pseudo' AS "Note",

@@ -31,9 +31,17 @@ def file_manifest(spark: SparkSession, path: str, iso_suffix: str = ISO_SUFFIX,
 
 
 def _lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """genome, pos and line of every report; each report is read whole, so that lines keep their order."""
-    texts = spark.read.text(f"{path}/*{suffix}", wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return texts.select(_stem(F.col("file"), suffix).alias("GenomeID"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """GenomeID, part, pos and line of every report, a file or a folder whose files follow each other by their names.
+
+    part counts a report's blocks of files and pos its lines, so that a long report is spread over tasks by its blocks.
+    """
+    lines = spark.read.text(f"{path}/*{suffix}", lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    lines = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file", "start").orderBy("_id")))
+    sizes = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("GenomeID", _stem(F.col("file"), suffix))
+    blocks = Window.partitionBy("GenomeID").orderBy("file", "start")
+    before = F.coalesce(F.sum("n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.select("file", "start", "GenomeID", F.row_number().over(blocks).alias("part"), before.alias("before"))
+    return lines.join(parts, ["file", "start"]).select("GenomeID", "part", (F.col("before") + F.col("_n") - 1).alias("pos"), "line")
 
 
 def _padded(fields: str, i: int) -> Column:
@@ -47,8 +55,8 @@ def read_isomodels(spark: SparkSession, path: str, suffix: str = ISO_SUFFIX, sco
     Columns are taken by the names of the report's own header. Of equal ids in a report the last row counts.
     """
     rows = _lines(spark, path, suffix).where(F.trim("line") != "").withColumn("fields", split_fields(F.col("line")))
-    first = F.min(F.struct("pos", "fields")).over(Window.partitionBy("GenomeID"))
-    rows = rows.withColumn("head", first).where(F.col("pos") > F.col("head.pos"))
+    heads = rows.groupBy("GenomeID").agg(F.min(F.struct("pos", "fields")).alias("head"))
+    rows = rows.join(heads, "GenomeID").where(F.col("pos") > F.col("head.pos"))
     names = ["Anticodon_predicted_isotype", *scores]
     at = lambda n: F.array_position("head.fields", n)
     value = lambda n: F.when(at(n) > 0, F.coalesce(F.get("fields", (at(n) - 1).cast("int")), F.lit("")))
@@ -87,8 +95,12 @@ def read_structures(spark: SparkSession, path: str, suffix: str = STRUCT_SUFFIX)
     lines = _lines(spark, path, suffix)
     key = F.when(F.col("line").contains("Length:"), F.get(F.split(F.trim("line"), r"\s+"), F.lit(0)))
     begun = lines.withColumn("begun", F.when(key.isNotNull(), F.struct(F.col("pos").alias("at"), key.alias("id"))))
-    w = Window.partitionBy("GenomeID").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = begun.withColumn("block", F.last("begun", ignorenulls=True).over(w)).where("block is not null")
+    # Begun in the same part, or else the last one begun in the parts before.
+    w = Window.partitionBy("GenomeID", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("GenomeID").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = begun.groupBy("GenomeID", "part").agg(F.max("begun").alias("last")).select("GenomeID", "part", F.max("last").over(before).alias("earlier"))
+    blocks = begun.withColumn("own", F.last("begun", ignorenulls=True).over(w)).join(lasts, ["GenomeID", "part"])
+    blocks = blocks.withColumn("block", F.coalesce("own", "earlier")).where("block is not null")
     part = lambda mark: F.max(F.when(F.trim("line").startswith(mark), F.trim(F.substring(F.trim("line"), F.lit(len(mark) + 1), F.length("line")))))
     out = blocks.groupBy("GenomeID", "block").agg(F.upper(F.coalesce(part("Seq:"), F.lit(""))).alias("primary_sequence"), part("Str:").alias("secondary_structure"))
     out = out.where("secondary_structure is not null").select("GenomeID", F.col("block.id").alias("tRNAscanID"), F.col("block.at").alias("pos"), "primary_sequence", "secondary_structure")
