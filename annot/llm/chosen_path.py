@@ -4,11 +4,12 @@ Texts with equal sets of shingles form one class and are joined once. Each class
 tokens. A run sends every class down a tree: a node picks one or two places of the signature by its own hash, and the
 classes at the node move to the children that the values at those places name. Nodes with few classes are leaves; larger
 ones are compared with one of their classes, which those much like it are linked to, and the rest is split again. In a leaf, signatures are compared by brute force, and classes that look similar are linked to one
-of them. Runs are repeated so often that a pair at the threshold is met with the target probability.
+of them. Runs are repeated so often that a pair at the threshold is met with the target probability; classes that
+went deeper than usual get more of them.
 
 Linked classes form candidate groups. Within each group all pairs are verified on the full sets: small groups many to a
 task, large groups in blocks of bounded size, one task for each pair of blocks. A task returns the number of links of
-each class and a spanning forest of them, never the pairs.
+each class and one link to the least class that they lead to, never the pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, take_rows, written
@@ -29,8 +30,10 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PLACES = 64
 LEAF = 64
+#: Runs over all classes are as many as this depth asks for; classes that went deeper get as many as DEPTH asks for.
+USUAL_DEPTH = 3
 DEPTH = 8
-BLOCK = 512
+BLOCK = 1024
 #: How far below the threshold an estimate from PLACES places may lie: five standard deviations.
 MARGIN = 0.25
 _rng = np.random.default_rng(17)
@@ -38,17 +41,29 @@ _STEP = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _HASH = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) | np.uint64(1)
 
 
-def runs_needed(threshold: float, target: float, depth: int = 3) -> int:
-    """Runs after which a pair at the threshold has shared a leaf with the target probability, at the usual depth.
+def miss(threshold: float, runs: int, depth: int) -> float:
+    """Probability that a pair at the threshold shares no leaf at this depth in any of the runs.
 
     A node picks one place always and a second one with probability 1 / threshold - 1, so that a pair at the threshold
-    goes on in one child on average.
+    goes on in one child on average. All runs use the same PLACES places, so the number of them that the pair has alike
+    is the same in all: the mean is taken over its binomial distribution.
     """
-    extra, meet = 1 / threshold - 1, 1.0
-    for _ in range(depth):
-        go = threshold * meet
-        meet = 1 - (1 - go) * (1 - extra * go)
-    return math.ceil(math.log(1 - target) / math.log(1 - meet))
+    extra, total = 1 / threshold - 1, 0.0
+    for alike in range(PLACES + 1):
+        meet = 1.0
+        for _ in range(depth):
+            go = alike / PLACES * meet
+            meet = 1 - (1 - go) * (1 - extra * go)
+        total += math.comb(PLACES, alike) * threshold**alike * (1 - threshold) ** (PLACES - alike) * (1 - meet) ** runs
+    return total
+
+
+def runs_needed(threshold: float, target: float, depth: int = USUAL_DEPTH) -> int:
+    """Runs after which a pair at the threshold has shared a leaf at this depth with the target probability."""
+    runs = 1
+    while miss(threshold, runs, depth) > 1 - target:
+        runs += 1
+    return runs
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -133,33 +148,51 @@ def _leaf_links(threshold: float):
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """id and comp (the least id) of every id in edges (a, b), by passing on least labels and following them."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), f"{name}-labels")
+    """id and comp (the least id) of every id in edges (a, b).
+
+    Of an id's links to lesser ids, one to the least of them stays; the others become links of that one to them. Ids that
+    none is linked down to are settled so, by one aggregation. What is left, links among the few that others were linked
+    to, is solved by passing on least labels and following them.
+    """
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("low"))
+    stars = written(pairs.groupBy("id").agg(F.min("low").alias("top"), F.collect_set("low").alias("lows")), f"{name}-stars")
+    hubs = written(stars.select(F.explode("lows").alias("a"), F.col("top").alias("b")).distinct(), f"{name}-hubs")
+    named = hubs.select(F.col("a").alias("id")).distinct()
+    own = stars.join(named, "id", "left_semi").select(F.col("id").alias("a"), F.col("top").alias("b"))
+    labels = _least_labels(hubs.where("a <> b").unionByName(own), f"{name}-labels").select(F.col("id").alias("top"), "comp")
+    tops = stars.select("id", "top").unionByName(named.select("id", F.col("id").alias("top"))).groupBy("id").agg(F.min("top").alias("top"))
+    return written(tops.join(labels, "top", "left").select("id", F.coalesce("comp", "top").alias("comp")), name)
+
+
+def _least_labels(edges: DataFrame, name: str) -> DataFrame:
+    both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), name)
     while True:
         seen = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         new = labels.join(seen, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("comp").alias("far"))
-        new = written(new.join(jump, "next").select("id", "was", F.least("next", "far").alias("comp")), f"{name}-labels")
+        new = written(new.join(jump, "next").select("id", "was", F.least("next", "far").alias("comp")), name)
         labels = new.select("id", "comp")
         if not new.where("comp <> was").limit(1).count():
             return labels
 
 
-def candidate_groups(classes: DataFrame, threshold: float, target: float) -> DataFrame:
-    """id, comp for the classes (id, sig) that chosen paths link to others."""
-    runs = runs_needed(threshold, target)
+def _children(node: Column, sig: Column, threshold: float) -> Column:
+    """The one or two nodes that a node sends a class to."""
     extra = int(1000 * (1 / threshold - 1))
+    first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(PLACES)).cast("int")
+    second = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(PLACES)).cast("int")
+    child = lambda i: F.xxhash64(node, i, F.get(sig, i))
+    return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra, F.array_distinct(F.array(child(first), child(second)))).otherwise(F.array(child(first)))
 
-    def children(node, sig):
-        first = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(PLACES)).cast("int")
-        second = F.pmod(F.xxhash64(node, F.lit(2)), F.lit(PLACES)).cast("int")
-        child = lambda i: F.xxhash64(node, i, F.get(sig, i))
-        return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra, F.array_distinct(F.array(child(first), child(second)))).otherwise(F.array(child(first)))
 
-    roots = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)])))
-    level = roots.select("id", F.explode(children(F.col("node"), F.col("sig"))).alias("node"))
-    leaves, links = [], []
+def descend(classes: DataFrame, runs: range, threshold: float, leaves: list, links: list) -> DataFrame | None:
+    """Sends classes (id, sig) down the trees of these runs; returns the ids that went deeper than USUAL_DEPTH, if any.
+
+    leaves gets tables (id, node) of small nodes, links gets links (a, b) of large ones.
+    """
+    roots = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])))
+    level, deep = roots.select("id", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node")), None
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").count().where("count > 1")
         sized = written(level.join(sizes, "node"), f"path-{depth}")
@@ -179,7 +212,21 @@ def candidate_groups(classes: DataFrame, threshold: float, target: float) -> Dat
         if depth == DEPTH:
             # What is still together after DEPTH steps shares so many places that it is verified as it is.
             links.append(rest.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        level = rest.select("id", F.explode(children(F.col("node"), F.col("sig"))).alias("node"))
+        if depth == USUAL_DEPTH:
+            deep = rest.select("id").distinct()
+        level = rest.select("id", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+    return deep
+
+
+def candidate_groups(classes: DataFrame, threshold: float, target: float) -> DataFrame:
+    """id, comp for the classes (id, sig) that chosen paths link to others."""
+    leaves, links = [], []
+    runs = runs_needed(threshold, target)
+    deep = descend(classes, range(runs), threshold, leaves, links)
+    if deep is not None:
+        deep = written(classes.join(deep, "id"), "path-deep")
+        if deep.limit(1).count():
+            descend(deep, range(runs, runs_needed(threshold, target, DEPTH)), threshold, leaves, links)
     sketch = classes.select("id", F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")))).alias("sketch"))
     compared = reduce(DataFrame.unionByName, leaves).join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
     return components(reduce(DataFrame.unionByName, [compared, *links]).where("a <> b"), "path-groups")
@@ -231,7 +278,7 @@ def _verify(threshold: float):
 
 
 def _bridges(ida: np.ndarray, idb: np.ndarray, linked: np.ndarray) -> pd.DataFrame:
-    """A spanning forest of the links."""
+    """A link of each id to the least one that links lead to from it, but of that one itself."""
     root = {int(x): int(x) for x in np.concatenate([ida, idb])}
 
     def top(x: int) -> int:
@@ -240,14 +287,12 @@ def _bridges(ida: np.ndarray, idb: np.ndarray, linked: np.ndarray) -> pd.DataFra
             x = root[x]
         return x
 
-    edges = []
     for r in range(len(ida)):
         for c in np.flatnonzero(linked[r]):
             x, y = top(int(ida[r])), top(int(idb[c]))
             if x != y:
                 root[max(x, y)] = min(x, y)
-                edges.append((int(ida[r]), int(idb[c])))
-    return pd.DataFrame(edges, columns=["id", "other"])
+    return pd.DataFrame([(x, top(x)) for x in root if top(x) != x], columns=["id", "other"])
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = TARGET_RECALL, block: int = BLOCK, keep_keys: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from annot.llm.chosen_path import drop_near_duplicates, near_duplicates, runs_needed
+from annot.llm.chosen_path import DEPTH, components, drop_near_duplicates, miss, near_duplicates, runs_needed
 
 from .cases import crowded, odd_rows, table, words
 
@@ -62,5 +62,39 @@ def test_one_of_each_group_stays(spark):
     assert drop_near_duplicates(table(spark, [])).count() == 0
 
 
+def test_pairs_with_a_passage_that_all_share(spark):
+    """Nodes stay large to great depths where all texts hold one passage, and pairs in them are still met."""
+    rng, rows = random.Random(21), []
+    passage = words(rng, 60)
+    for g in range(150):
+        own = words(rng, 24, [f"v{i}" for i in range(3000)]).split()
+        for c in range(2):
+            w = list(own)
+            if c:
+                w[rng.randrange(24)] = "changed"
+            rows.append((2 * g + c, " ".join(w[:12]) + " " + passage + " " + " ".join(w[12:])))
+    assert found(table(spark, rows)) == plain(rows)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + rng.randrange(i + 1)) for i in range(60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)] + [(5, 5), (9, 8)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = top(a), top(b)
+            root[max(x, y)] = min(x, y)
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {x: top(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
 def test_runs():
-    assert runs_needed(0.8, 0.99) < runs_needed(0.8, 0.9999) < 30
+    assert runs_needed(0.8, 0.99) < runs_needed(0.8, 0.9999) < runs_needed(0.8, 0.9999, DEPTH) < 60
+    assert miss(0.8, runs_needed(0.8, 0.9999), 3) <= 1e-4
