@@ -63,12 +63,12 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
     terms = terms.withColumn("_at", begins)
-    rows = terms.select(*keys, "_s", "_at", F.explode(F.sequence(F.lit(-1), F.size("_at") - 1)).alias("_i"))
-    i = F.col("_i")
-    term = F.get("_s", F.get("_at", i))
-    weight = F.coalesce(F.get("_at", i + 1), F.size("_s")) - F.get("_at", i)
+    # Terms and weights go into one array first: exploding places would copy both arrays into every row.
+    entries = F.transform("_at", lambda p, k: F.struct(F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - p).alias("weight")))
+    own = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("weight")))
+    rows = terms.select(*keys, F.explode(F.concat(own, entries)).alias("_e")).select(*keys, F.col("_e.term").alias("_term"), F.col("_e.weight").alias("_n"))
     parts = -(-samples // AT_ONCE)
-    rows = rows.select(*keys, (i < 0).cast("int").alias("_own"), F.when(i >= 0, term).alias("_term"), F.when(i >= 0, F.log(weight)).alias("_lw"), F.explode(F.when(i >= 0, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("_part"))
+    rows = rows.select(*keys, "_term", (F.col("_n") == 0).cast("int").alias("_own"), F.when(F.col("_n") > 0, F.log("_n")).alias("_lw"), F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("_part"))
     rows = rows.select(*keys, "_own", "_part", *[_sample(F.col("_term"), F.col("_lw"), F.col("_part") * AT_ONCE + j).alias(f"_s{j}") for j in range(AT_ONCE)])
     least = [F.min(F.when(F.col("_part") == k // AT_ONCE, F.col(f"_s{k % AT_ONCE}"))).alias(f"_{k}") for k in range(samples)]
     found = rows.groupBy(*keys).agg(F.sum("_own").alias("rows"), *least)
