@@ -30,7 +30,7 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PLACES = 64
 LEAF = 64
-#: Runs over all classes are as many as this depth asks for; classes that went deeper get as many as DEPTH asks for.
+#: Runs over all classes go to this depth; classes then still in large nodes get the runs that DEPTH asks for.
 USUAL_DEPTH = 3
 DEPTH = 8
 BLOCK = 1024
@@ -186,50 +186,55 @@ def _children(node: Column, sig: Column, threshold: float) -> Column:
     return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra, F.array_distinct(F.array(child(first), child(second)))).otherwise(F.array(child(first)))
 
 
-def descend(classes: DataFrame, runs: range, threshold: float, leaves: list, links: list) -> DataFrame | None:
-    """Sends classes (id, sig) down the trees of these runs; returns the ids that went deeper than USUAL_DEPTH, if any.
+def descend(classes: DataFrame, runs: range, depths: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sends classes (id, sig, comp) down the trees of these runs, so many steps: links (a, b), and what is left (id, hub).
 
-    leaves gets tables (id, node) of small nodes, links gets links (a, b) of large ones.
+    Classes of one comp are known to be linked: nodes that hold no others are left out. What is left are the classes of
+    nodes that are still large after the last step.
     """
+    known = classes.select("id", "sig")
     roots = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])))
-    level, deep = roots.select("id", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node")), None
-    for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").count().where("count > 1")
-        sized = written(level.join(sizes, "node"), f"path-{depth}")
+    level = roots.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+    leaves, links, left = [], [], classes.select("id", F.col("id").alias("hub")).limit(0)
+    for depth in range(1, depths + 1):
+        # The least id is the hub, so that runs and levels agree on it and repeat few links.
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        sized = written(level.join(sizes.select("node", "count", "hub"), "node"), f"path-{depth}")
         leaves.append(sized.where(F.col("count") <= LEAF).select("id", "node"))
-        full = sized.where(F.col("count") > LEAF).select("id", "node")
+        full = sized.where(F.col("count") > LEAF).select("id", "comp", "node", "hub")
         if not full.limit(1).count():
             break
         # A large node's classes are compared with one of them. Those much like it leave: what is near them is near it
         # too, as 1 - similarity is a distance, and so is linked to it.
-        full = full.join(classes.select("id", "sig"), "id")
-        # The least id is the hub, so that runs and levels agree on it and repeat few links.
-        hubs = full.groupBy("node").agg(F.min(F.struct("id", "sig")).alias("hub"))
-        share = sum(((F.get("sig", F.lit(k)) == F.get(F.col("hub.sig"), F.lit(k))).cast("int") for k in range(PLACES)), F.lit(0)) / float(PLACES)
-        full = written(full.join(hubs, "node").select("id", "node", "sig", F.col("hub.id").alias("hub"), share.alias("share")), f"path-hubs-{depth}")
+        full = full.join(known, "id").join(known.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        share = sum(((F.get("sig", F.lit(k)) == F.get("hub_sig", F.lit(k))).cast("int") for k in range(PLACES)), F.lit(0)) / float(PLACES)
+        full = written(full.select("id", "comp", "node", "sig", "hub", share.alias("share")), f"path-hubs-{depth}")
         links.append(full.where(F.col("share") >= threshold - MARGIN).select(F.col("id").alias("a"), F.col("hub").alias("b")))
         rest = full.where((F.col("share") < (1 + threshold) / 2) & (F.col("id") != F.col("hub")))
-        if depth == DEPTH:
-            # What is still together after DEPTH steps shares so many places that it is verified as it is.
-            links.append(rest.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        if depth == USUAL_DEPTH:
-            deep = rest.select("id").distinct()
-        level = rest.select("id", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
-    return deep
+        if depth == depths:
+            left = rest.select("id", "hub")
+        level = rest.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+    sketch = known.select("id", F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")))).alias("sketch"))
+    compared = reduce(DataFrame.unionByName, leaves).join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
+    return reduce(DataFrame.unionByName, [compared, *links]).where("a <> b"), left
 
 
 def candidate_groups(classes: DataFrame, threshold: float, target: float) -> DataFrame:
-    """id, comp for the classes (id, sig) that chosen paths link to others."""
-    leaves, links = [], []
+    """id, comp for the classes (id, sig) that chosen paths link to others.
+
+    All classes go down USUAL_DEPTH steps. Those then still in large nodes go down to DEPTH, in the more runs that this
+    depth needs, to be linked to classes that they aren't linked to yet. What is together even then shares so many places
+    that it is verified as it is.
+    """
     runs = runs_needed(threshold, target)
-    deep = descend(classes, range(runs), threshold, leaves, links)
-    if deep is not None:
-        deep = written(classes.join(deep, "id"), "path-deep")
-        if deep.limit(1).count():
-            descend(deep, range(runs, runs_needed(threshold, target, DEPTH)), threshold, leaves, links)
-    sketch = classes.select("id", F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")))).alias("sketch"))
-    compared = reduce(DataFrame.unionByName, leaves).join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
-    return components(reduce(DataFrame.unionByName, [compared, *links]).where("a <> b"), "path-groups")
+    links, left = descend(classes.withColumn("comp", F.col("id")), range(runs), USUAL_DEPTH, threshold)
+    groups = components(links, "path-groups")
+    deep = written(classes.join(left.select("id").distinct(), "id").join(groups, "id", "left").select("id", "sig", F.coalesce("comp", "id").alias("comp")), "path-deep")
+    if not deep.limit(1).count():
+        return groups
+    more, left = descend(deep, range(runs, runs + runs_needed(threshold, target, DEPTH)), DEPTH, threshold)
+    known = groups.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    return components(known.unionByName(more).unionByName(left.select(F.col("id").alias("a"), F.col("hub").alias("b"))).where("a <> b"), "path-groups")
 
 
 def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
