@@ -31,12 +31,19 @@ def normalize_seq(c: Column, u_to_t: bool = True) -> Column:
 def find_in_loop(seq: Column, codon: Column, structure: Column) -> Column:
     """0-based place of the first occurrence of a 3-letter codon within a run of five or more dots of the structure.
 
-    At least one dot of the run stands before it; null where there is none.
+    At least one dot of the run stands before it; null where there is none, or where anything is null.
     """
-    places = F.when(F.length(seq) >= 4, F.sequence(F.lit(2), F.length(seq) - 2)).otherwise(F.array().cast("array<int>"))
-    # Four dots from one before the codon to its end, and a fifth one beside them.
-    around = lambda p: (F.substring(structure, p - 1, F.lit(4)) == "....") & (((p > 2) & (F.substring(structure, F.greatest(p - 2, F.lit(1)), F.lit(1)) == ".")) | (F.substring(structure, p + 3, F.lit(1)) == "."))
-    return F.array_min(F.filter(places, lambda p: (F.substring(seq, p, F.lit(3)) == codon) & around(p))) - 1
+    def first(x: Column) -> Column:
+        letter = lambda i: F.get(x["s"], i)
+        dot = lambda i: F.coalesce(F.get(x["d"], i) == ".", F.lit(False))
+        places = F.when(F.size(x["s"]) >= 4, F.sequence(F.lit(1), F.size(x["s"]) - 3)).otherwise(F.array().cast("array<int>"))
+        # Four dots from one before the codon to its end, and a fifth one beside them.
+        around = lambda p: dot(p - 1) & dot(p) & dot(p + 1) & dot(p + 2) & (dot(p - 2) | dot(p + 3))
+        return F.array_min(F.filter(places, lambda p: around(p) & (F.concat(letter(p), letter(p + 1), letter(p + 2)) == x["c"])))
+
+    # The letters are split once and bound as x: what a lambda closes over is evaluated again at each place.
+    parts = F.struct(F.split(seq, "").alias("s"), F.split(structure, "").alias("d"), codon.alias("c"))
+    return F.get(F.transform(F.array(parts), first), F.lit(0))
 
 
 def masked(seq: Column, start: Column, width: int = 3) -> Column:
@@ -45,12 +52,15 @@ def masked(seq: Column, start: Column, width: int = 3) -> Column:
 
 
 def one_hot(seq: Column, length: int, u_to_t: bool = True) -> Column:
-    """Array of 5 x length doubles: for each place A, C, G, T, N; unknown letters are N, places past the end are zeros."""
-    s = normalize_seq(seq, u_to_t)
-    letter = lambda i: F.substring(s, i, F.lit(1))
-    known = lambda i: F.when(F.lit("ACGT").contains(letter(i)), letter(i)).otherwise(F.lit("N"))
-    place = lambda i: F.array(*[F.when(i > F.length(s), 0.0).when(known(i) == b, 1.0).otherwise(0.0) for b in BASES])
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(length)), place))
+    """Array of 5 x length doubles: for each place A, C, G, T, N; unknown letters are N, places past the end are zeros.
+
+    A null sequence counts as empty.
+    """
+    code = {b: F.array(*[F.lit(float(b == x)) for x in BASES]) for b in BASES}
+    letters = F.slice(F.filter(F.split(F.coalesce(normalize_seq(seq, u_to_t), F.lit("")), ""), lambda x: x != ""), 1, max(length, 1))
+    def known(x: Column) -> Column:
+        return F.when(x == "A", code["A"]).when(x == "C", code["C"]).when(x == "G", code["G"]).when(x == "T", code["T"]).otherwise(code["N"])
+    return F.slice(F.concat(F.flatten(F.transform(letters, known)), F.array_repeat(F.lit(0.0), 5 * length)), 1, 5 * length)
 
 
 def interval_length(begin: Column, end: Column, lo: float, hi: float) -> Column:

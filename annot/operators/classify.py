@@ -9,9 +9,10 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from annot.operators.combine import reindex
 from annot.operators.dedup import with_ordinal
+from annot.operators.quantiles import beside
 
 
 def _order(key: str, seed: int):
@@ -26,15 +27,21 @@ def index_labels(df: DataFrame, column: str, output: str = "label_index") -> Dat
 
 def holdout_split(df: DataFrame, key: str, frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test: true for the ceil(frac * n) rows that are first by a seeded hash of the key."""
-    placed = with_ordinal(df.withColumn("_h", _order(key, seed)), ["_h", key], "_place").withColumn("_j", F.lit(1))
-    n = placed.groupBy("_j").agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(n, "_j").withColumn("is_test", F.col("_place") <= F.ceil(F.col("_n") * frac)).drop("_h", "_place", "_n", "_j")
+    placed = with_ordinal(df.withColumn("_h", _order(key, seed)), ["_h", key], "_place")
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    return beside(placed, n, []).withColumn("is_test", F.col("_place") <= F.ceil(F.col("_n") * frac)).drop("_h", "_place", "_n")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """Adds fold: each label's rows, in the order of a seeded hash, dealt to k folds in turn."""
-    place = F.row_number().over(Window.partitionBy(label).orderBy(_order(key, seed), key))
-    return df.withColumn("fold", (place - 1) % k)
+    """Adds fold: each label's rows, in the order of a seeded hash, dealt to k folds in turn.
+
+    Rows are sorted by ranges of (label, hash), and a row's place is its place in all of them less that of its label's
+    first, so that a label with many rows is spread over tasks.
+    """
+    placed = with_ordinal(df.withColumn("_h", _order(key, seed)), [label, "_h", key], "_place")
+    first = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_place").alias("_first"))
+    joined = placed.join(first, F.col(label).eqNullSafe(F.col("_label")))
+    return joined.withColumn("fold", ((F.col("_place") - F.col("_first")) % k).cast("int")).drop("_h", "_place", "_label", "_first")
 
 
 def fit_softmax(df: DataFrame, vector: str = "embedding", label: str = "label_index", c: float = 1.0, max_iter: int = 1000) -> LogisticRegressionModel:
@@ -52,15 +59,19 @@ def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("int")).alias("accuracy"))
 
 
-def per_class_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """class, precision, recall, f1_score (rounded half to even at 3 places, 0 where undefined) and support."""
+def per_class_metrics(df: DataFrame, label: str, prediction: str, classes: list | None = None) -> DataFrame:
+    """class, precision, recall, f1_score (rounded half to even at 3 places, 0 where undefined) and support.
+
+    With classes given, these and no others have a row, zeros if they are neither label nor prediction of any.
+    """
     true, told = F.col(label), F.col(prediction)
     pairs = df.groupBy(true.alias("t"), told.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     long = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("told"), F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("told"), F.lit(0).cast("long").alias("hit")))).alias("x"))
     s = long.groupBy(F.col("x.class").alias("class")).agg(*[F.sum(f"x.{c}").alias(c) for c in ("support", "told", "hit")])
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("hit"), F.col("told") + F.col("support")), F.lit(0.0))
-    return s.select("class", F.bround(ratio("hit", "told"), 3).alias("precision"), F.bround(ratio("hit", "support"), 3).alias("recall"), F.bround(f1, 3).alias("f1_score"), "support")
+    out = s.select("class", F.bround(ratio("hit", "told"), 3).alias("precision"), F.bround(ratio("hit", "support"), 3).alias("recall"), F.bround(f1, 3).alias("f1_score"), "support")
+    return out if classes is None else reindex(out, "class", classes).drop("pos")
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: list) -> DataFrame:
@@ -83,16 +94,26 @@ def cross_validate(df: DataFrame, label: str, key: str, vector: str = "embedding
     return reduce(DataFrame.unionByName, scores).agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
 
 
-def compare_conditions(conditions: dict[str, DataFrame], label: str, key: str, vector: str = "embedding") -> DataFrame:
-    """condition, class and metrics on a held-out fifth; conditions without data are passed over."""
-    parts = []
+def compare_conditions(conditions: dict[str, DataFrame], label: str, key: str, vector: str = "embedding", k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Metrics and summary; conditions without data are passed over.
+
+    Metrics: condition, class and metrics on a held-out fifth, for every class that the condition's rows have. Summary:
+    condition, cv_mean (accuracy over k folds of the other rows), test_acc and n_test.
+    """
+    parts, summary = [], []
     for name, df in conditions.items():
         if df is None or not df.limit(1).count():
             continue
         split = holdout_split(df, key)
-        told = predict(fit_softmax(split.where(~F.col("is_test")), vector, label), split.where("is_test"), vector)
-        parts.append(per_class_metrics(told, label, "prediction").withColumn("condition", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+        train = split.where(~F.col("is_test")).drop("is_test")
+        told = predict(fit_softmax(train, vector, label), split.where("is_test"), vector)
+        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect() if r[0] is not None)  # as many as the model has
+        parts.append(per_class_metrics(told, label, "prediction", classes).withColumn("condition", F.lit(name)))
+        test = told.agg(F.avg((F.col(label) == F.col("prediction")).cast("int")).alias("test_acc"), F.count(F.lit(1)).alias("n_test"))
+        summary.append(beside(cross_validate(train, label, key, vector, k), test, []).select(F.lit(name).alias("condition"), F.bround("cv_mean", 3).alias("cv_mean"), F.bround("test_acc", 3).alias("test_acc"), "n_test"))
+    if not parts:
+        raise ValueError("no condition has data")
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, summary)
 
 
 def metric_matrix(metrics: DataFrame, metric: str, conditions: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annot.operators.quantiles import beside, exact_quantiles
+
 
 def reindex(df: DataFrame, key: str, spine: list, fill=0) -> DataFrame:
     """A row for each value of the spine, in its order (pos); other columns are filled where df has no row."""
@@ -25,11 +27,6 @@ def add_taxonomy(df: DataFrame, taxonomy: DataFrame, key: str = "accession") ->
     return df.join(taxonomy, key, "left")
 
 
-def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys that would multiply the rows they are joined to."""
-    return df.groupBy(key).count().where("count > 1")
-
-
 def match_stats(df: DataFrame, probe: str, key: str) -> DataFrame:
     """Rows, matched rows (probe isn't null), their share and the distinct keys without a match."""
     hit = F.col(probe).isNotNull()
@@ -57,3 +54,12 @@ def paired_delta(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows a key in both tables, before and after, and the difference."""
     before, after = (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((a, "n_before"), (b, "n_after")))
     return before.join(after, key).withColumn("delta", F.col("n_after") - F.col("n_before"))
+
+
+def delta_medians(deltas: DataFrame, a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """median_before and median_after of the rows a key, over all keys of each table, and median_delta over common ones."""
+    def median(df: DataFrame, column: str, name: str) -> DataFrame:
+        return exact_quantiles(df, [], column, {name: 0.5}).select(name)
+
+    before, after = (df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")) for df in (a, b))
+    return beside(beside(median(before, "n", "median_before"), median(after, "n", "median_after"), []), median(deltas, "delta", "median_delta"), [])

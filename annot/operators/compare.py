@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annot.operators.clean import tag
+from annot.operators.combine import reindex
 from annot.operators.profile import histogram, top_k
+from annot.operators.quantiles import beside
 
 
 def tagged(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -21,11 +23,17 @@ def compare_overview(before: DataFrame, after: DataFrame, units: dict[str, str])
     return out.withColumn("pct_removed", F.try_divide(100.0 * (F.col("n_before") - F.col("n_after")), F.col("n_before")))
 
 
-def compare_distribution(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
-    """value, n_before, n_after, pct_change (null for values that were not there)."""
+def compare_distribution(before: DataFrame, after: DataFrame, column: str, spine: list | None = None) -> DataFrame:
+    """value, n_before, n_after, pct_change (null for values that were not there) and mean_change, its mean over all rows.
+
+    With a spine, its values and no others have a row, in its order (pos), zeros where neither table has them.
+    """
     rows = tagged(before.select(column), after.select(column)).where(F.col(column).isNotNull())
     out = rows.groupBy(F.col(column).alias("value")).agg(*[F.count_if(F.col("dataset") == d).alias(f"n_{d}") for d in ("before", "after")])
-    return out.withColumn("pct_change", F.try_divide(100.0 * (F.col("n_after") - F.col("n_before")), F.col("n_before")))
+    if spine is not None:
+        out = reindex(out, "value", spine)
+    out = out.withColumn("pct_change", F.try_divide(100.0 * (F.col("n_after") - F.col("n_before")), F.col("n_before")))
+    return beside(out, out.agg(F.avg("pct_change").alias("mean_change")), [])
 
 
 def compare_histogram(before: DataFrame, after: DataFrame, column: str, bins: int) -> DataFrame:
@@ -37,9 +45,9 @@ def compare_share(before: DataFrame, after: DataFrame, column: str, k: int) -> D
     """value, pct_before, pct_after, shift over the k most frequent values of the first table; shares of these rows."""
     top = top_k(before, column, k).select(F.col("value").alias(column))
     rows = tagged(before.select(column), after.select(column)).join(top, column, "left_semi")
-    counts = rows.groupBy(F.col(column).alias("value")).agg(*[F.count_if(F.col("dataset") == d).alias(d) for d in ("before", "after")]).withColumn("_j", F.lit(1))
-    total = counts.groupBy("_j").agg(F.sum("before").alias("tb"), F.sum("after").alias("ta"))
-    out = counts.join(total, "_j").select("value", (100.0 * F.col("before") / F.col("tb")).alias("pct_before"), (100.0 * F.col("after") / F.col("ta")).alias("pct_after"))
+    counts = rows.groupBy(F.col(column).alias("value")).agg(*[F.count_if(F.col("dataset") == d).alias(d) for d in ("before", "after")])
+    total = counts.agg(F.sum("before").alias("tb"), F.sum("after").alias("ta"))
+    out = beside(counts, total, []).select("value", (100.0 * F.col("before") / F.col("tb")).alias("pct_before"), (100.0 * F.col("after") / F.col("ta")).alias("pct_after"))
     return out.withColumn("shift", F.col("pct_after") - F.col("pct_before"))
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annot.operators.clean import has_sequence
+from annot.operators.quantiles import beside
 from annot.sources.shared import written
 
+#: Seeds of a text of which the rarest is joined.
+SEEDS = 4
+
 
 def last_by_key(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
     """Of the rows with a key, that with the largest ordinal. Rows of a key meet in a partial aggregation first."""
@@ -70,48 +77,65 @@ def dedup_progress(df: DataFrame, keys: list[str], chunk: int, order_by: list[st
 
 def dedup_exact(df: DataFrame, seq: str, order_by: list[str]) -> DataFrame:
     """One row, the first, for each sequence that isn't blank."""
-    rows = df.where(F.trim(F.coalesce(F.col(seq), F.lit(""))) != "")
+    rows = has_sequence(df, seq)
     first = rows.groupBy(seq).agg(F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_row"))
     return first.select("_row.*")
 
 
 def removed_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     a, b = before.agg(F.count(F.lit(1)).alias("n_before")), after.agg(F.count(F.lit(1)).alias("n_after"))
-    both = a.withColumn("_j", F.lit(1)).join(b.withColumn("_j", F.lit(1)), "_j")
-    return both.select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"), (100.0 * (F.col("n_before") - F.col("n_after")) / F.col("n_before")).alias("pct_removed"))
+    return beside(a, b, []).select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"), (100.0 * (F.col("n_before") - F.col("n_after")) / F.col("n_before")).alias("pct_removed"))
+
+
+def _rarest(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Of the seeds (id, seed) of each short text, the one that fewest long texts (large, seed) have; none if one has none."""
+    asked = pieces.join(seeds.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    best = seeds.join(asked, "seed", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("x"))
+    return best.where("x.n > 0").select("id", F.col("x.seed").alias("seed"))
+
+
+def _spread(size: Column, many: int = SEEDS) -> Column:
+    """Up to `many` places from 0 on below size, evenly spread."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.floor(i * size / many).cast("int")))
 
 
 def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str = "letters") -> DataFrame:
     """small, large: ids of texts of `short` that are contained in a different text of `long`. Both have id and seq.
 
-    Seeds instead of a nested loop: each short text gives one seed, and joins the long texts that hold it; only ids and
-    seeds move until the few candidates are verified. A seed is a text's first k letters, or (by='words', for long texts)
-    its whole words from the second one on, five at most. Texts too short for a seed of this kind are sought as wholes
-    among the strings of their length, so none is missed. Empty texts are contained in nothing.
+    Seeds instead of a nested loop: of a few seeds of each short text, the one that fewest long texts hold joins these;
+    only ids and hashes move until the few candidates are verified. Seeds are k letters, or (by='words', for long texts)
+    five whole words that have others on both sides, one if there are fewer. Texts too short for a seed of this kind are
+    sought as wholes among the strings of their length, so none is missed. Empty texts are contained in nothing.
     """
     short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
+
+    def by_letters(rows: DataFrame) -> DataFrame:
+        gram = lambda i: F.xxhash64(F.substring("seq", i + 1, F.lit(k)))
+        own = rows.select("id", F.explode(F.transform(_spread(F.length("seq") - k + 1), gram)).alias("seed")).distinct()
+        pieces = long.where(F.length("seq") >= k).select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("seq") - k), gram))).alias("seed"))
+        return _rarest(own, pieces).join(pieces, "seed").select("id", "large")
+
+    def by_words(rows: DataFrame, width: int) -> DataFrame:
+        gram = lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(width)])
+        own = rows.select("id", F.explode(F.transform(_spread(F.size("w") - width + 1), gram)).alias("seed")).distinct()
+        parts = long.select("id", F.split("seq", r"\s").alias("w")).where(F.size("w") >= width)
+        pieces = parts.select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - width), gram))).alias("seed"))
+        return _rarest(own, pieces).join(pieces, "seed").select("id", "large")
+
+    found = []
+    rest = short
     if by == "words":
-        inner = lambda c: F.slice(F.split(c, r"\s"), 2, F.greatest(F.size(F.split(c, r"\s")) - 2, F.lit(0)))
-        words = short.withColumn("w", inner(F.col("seq")))
-        seeded = words.where(F.size("w") >= 5).select("id", F.xxhash64(*[F.get("w", F.lit(i)) for i in range(5)]).alias("seed"))
-        one = words.where((F.size("w") >= 1) & (F.size("w") < 5)).select("id", F.xxhash64(F.get("w", F.lit(0))).alias("seed"))
-        rest = words.where(F.size("w") < 1).select("id", "seq")
-        parts = long.select("id", F.split("seq", r"\s").alias("w"))
-        fives = parts.select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(5)])))).alias("seed"))
-        ones = parts.select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("seed"))
-        found = seeded.join(fives, "seed").select("id", "large").unionByName(one.join(ones, "seed").select("id", "large"))
-    else:
-        seeds = short.where(F.length("seq") >= k).select("id", F.substring("seq", F.lit(1), F.lit(k)).alias("seed"))
-        pieces = long.where(F.length("seq") >= k).select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substring("seq", i, F.lit(k))))).alias("seed"))
-        found = seeds.join(pieces, "seed").select("id", "large")
-        rest = short.where(F.length("seq") < k)
-    def strings(n: int) -> DataFrame:
-        parts = F.transform(F.sequence(F.lit(1), F.length("seq") - n + 1), lambda i: F.substring("seq", i, F.lit(n)))
-        return long.where(F.length("seq") > n).select(F.col("id").alias("large"), F.explode(F.array_distinct(parts)).alias("seq"))
-
-    for n in sorted(r[0] for r in rest.select(F.length("seq").alias("n")).distinct().collect()):  # the few short lengths
-        found = found.unionByName(rest.where(F.length("seq") == n).join(strings(n), "seq").select("id", "large"))
-    found = found.distinct()
+        words = short.withColumn("w", F.slice(F.split("seq", r"\s"), 2, F.greatest(F.size(F.split("seq", r"\s")) - 2, F.lit(0))))
+        found = [by_words(words.where(F.size("w") >= 5), 5), by_words(words.where((F.size("w") >= 1) & (F.size("w") < 5)), 1)]
+        rest = written(words.where(F.size("w") < 1).select("id", "seq"), "few-words")
+    if by == "letters" or rest.limit(1).count():
+        found.append(by_letters(rest.where(F.length("seq") >= k)))
+        small = rest.where(F.length("seq") < k).select("id", F.length("seq").alias("n"), F.xxhash64("seq").alias("seed"))
+        lengths = small.agg(F.collect_set("n").alias("lengths"))  # k - 1 at most
+        strings = long.crossJoin(F.broadcast(lengths)).select(F.col("id").alias("large"), "seq", F.explode("lengths").alias("n")).where(F.length("seq") > F.col("n"))
+        strings = strings.select("large", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("n") + 1), lambda i: F.xxhash64(F.substring("seq", i, F.col("n")))))).alias("seed"))
+        found.append(small.join(strings, ["n", "seed"]).select("id", "large"))
+    found = reduce(DataFrame.unionByName, found).distinct()
     a, b = short.select("id", F.col("seq").alias("a")), long.select(F.col("id").alias("large"), F.col("seq").alias("b"))
     checked = found.join(a, "id").join(b, "large").where((F.col("a") != F.col("b")) & F.contains("b", "a"))
     return checked.select(F.col("id").alias("small"), "large")

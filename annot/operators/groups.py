@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annot.operators.profile import top_k
+from annot.operators.quantiles import exact_quantiles
 
 
 def units_per_group(df: DataFrame, group: str, unit: str) -> DataFrame:
@@ -26,9 +27,9 @@ def within(df: DataFrame, group: str, unit: str, n: int | None) -> DataFrame:
 def rows_per_unit_by(df: DataFrame, unit: str, group: str, n: int | None = None) -> DataFrame:
     """group, n_units, and of the rows a unit: min, quartiles, max. Groups with most units first."""
     per = within(df, group, unit, n).groupBy(group, unit).agg(F.count(F.lit(1)).alias("rows"))
-    q = F.percentile("rows", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = per.groupBy(group).agg(F.count(F.lit(1)).alias("n_units"), F.min("rows").alias("min"), q.alias("q"), F.max("rows").alias("max"))
-    return out.select(group, "n_units", "min", *[F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max").orderBy(F.col("n_units").desc(), group)
+    ends = per.groupBy(group).agg(F.min("rows").alias("min"), F.max("rows").alias("max"))
+    out = exact_quantiles(per, [group], "rows", {"q25": 0.25, "q50": 0.5, "q75": 0.75}).join(ends, group)
+    return out.select(group, F.col("n").alias("n_units"), "min", "q25", "q50", "q75", "max").orderBy(F.col("n_units").desc(), group)
 
 
 def _per_unit(df: DataFrame, unit: str, group: str, category: str, n: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from annot.operators.quantiles import beside, describe, exact_quantiles
 
 
 def overview(df: DataFrame, units: dict[str, str]) -> DataFrame:
@@ -21,16 +22,10 @@ def missing_values(df: DataFrame) -> DataFrame:
     return long.where("x.n_missing > 0").select("x.column", "x.n_missing", (100.0 * F.col("x.n_missing") / F.col("_n")).alias("pct"))
 
 
-def describe_columns(value: Column) -> list[Column]:
-    """count, mean, std, min, quartiles, max: the exact ones, with linear interpolation."""
-    q = [F.percentile(value, p).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
-    return [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).cast("double").alias("min"), *q, F.max(value).cast("double").alias("max")]
-
-
 def describe_exact(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row of statistics for each column."""
+    """A row of statistics for each column with a value: count, mean, std, min, exact quartiles, max."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
-    return long.groupBy(F.col("x.column").alias("column")).agg(*describe_columns(F.col("x.v")))
+    return describe(long.select("x.column", "x.v"), ["column"], "v")
 
 
 def count_per_key(df: DataFrame, key: str) -> DataFrame:
@@ -39,7 +34,7 @@ def count_per_key(df: DataFrame, key: str) -> DataFrame:
 
 def count_per_key_describe(df: DataFrame, key: str) -> DataFrame:
     """Statistics of the number of rows a key."""
-    return count_per_key(df, key).select(F.col("n").alias("v")).agg(*describe_columns(F.col("v")))
+    return describe(count_per_key(df, key).select(F.col("n").alias("v")), [], "v")
 
 
 def extreme_keys(df: DataFrame, key: str) -> DataFrame:
@@ -54,8 +49,8 @@ def distribution(df: DataFrame, column: str, null_as: str | None = None) -> Data
     """value, n, pct of all rows. Nulls are left out, or counted as null_as."""
     value = F.col(column) if null_as is None else F.coalesce(F.col(column), F.lit(null_as))
     counts = df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    # The number of categories is small beside that of rows; the window adds up their counts.
-    return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).where("value is not null")
+    total = counts.agg(F.sum("n").alias("_total"))
+    return beside(counts, total, []).where("value is not null").select("value", "n", (100.0 * F.col("n") / F.col("_total")).alias("pct"))
 
 
 def distribution_canonical(df: DataFrame, column: str, canonical: list[str]) -> DataFrame:
@@ -63,7 +58,8 @@ def distribution_canonical(df: DataFrame, column: str, canonical: list[str]) ->
     known = F.col(column).isin(canonical)
     rows = df.where(F.col(column).isNotNull()).groupBy(F.when(known, F.col(column)).otherwise("noise").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     good = F.col("value") != "noise"
-    return rows.withColumn("pct", F.when(good, 100.0 * F.col("n") / F.sum(F.when(good, F.col("n"))).over(Window.partitionBy())))
+    total = rows.agg(F.sum(F.when(good, F.col("n"))).alias("_total"))
+    return beside(rows, total, []).select("value", "n", F.when(good, 100.0 * F.col("n") / F.col("_total")).alias("pct"))
 
 
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -93,9 +89,7 @@ def crosstab_pct(df: DataFrame, row: str, column: str, rows: list, columns: list
 
 def quantiles_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """key, n, q25, q50, q75, ordered by median."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key).agg(F.count(value).alias("n"), q.alias("q"))
-    return out.select(key, "n", *[F.get("q", F.lit(i)).alias(f"q{p}") for i, p in enumerate((25, 50, 75))]).orderBy("q50", key)
+    return exact_quantiles(df.where(F.col(key).isNotNull()), [key], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).orderBy("q50", key)
 
 
 def mean_matrix(df: DataFrame, key: str, columns: list[str], sentinel: float | None = None, when: str = "after_mean") -> DataFrame:
@@ -121,9 +115,9 @@ def mean_composition(df: DataFrame, unit: str, category: str) -> DataFrame:
     rows = df.where(F.col(unit).isNotNull() & F.col(category).isNotNull())
     parts = rows.groupBy(unit, category).agg(F.count(F.lit(1)).alias("n"))
     shares = parts.join(parts.groupBy(unit).agg(F.sum("n").alias("total")), unit).withColumn("share", 100.0 * F.col("n") / F.col("total"))
-    by = shares.groupBy(category).agg(F.sum("share").alias("s")).withColumn("_j", F.lit(1))
-    units = parts.agg(F.count_distinct(unit).alias("units")).withColumn("_j", F.lit(1))
-    return by.join(units, "_j").select(category, (F.col("s") / F.col("units")).alias("mean_pct"))
+    by = shares.groupBy(category).agg(F.sum("share").alias("s"))
+    units = parts.agg(F.count_distinct(unit).alias("units"))
+    return beside(by, units, []).select(category, (F.col("s") / F.col("units")).alias("mean_pct"))
 
 
 def histogram(df: DataFrame, column: str, bins: int, density: bool = False, by: str | None = None) -> DataFrame:
@@ -133,16 +127,15 @@ def histogram(df: DataFrame, column: str, bins: int, density: bool = False, by:
     """
     keys = [by] if by else []
     v = F.col(column).cast("double")
-    rows = df.where(v.isNotNull()).select(*keys, v.alias("v")).withColumn("_j", F.lit(1))
-    on = ["_j", *keys]
-    ends = rows.groupBy(*on).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("total"))
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("v"))
+    ends = rows.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("total"))
     one = F.col("a") == F.col("b")
-    ends = ends.select(*on, "total", F.when(one, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(one, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
-    placed = rows.join(ends, on).select(*on, F.least(F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = placed.groupBy(*on, "bin").agg(F.count(F.lit(1)).alias("n"))
+    ends = ends.where("total > 0").select(*keys, "total", F.when(one, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(one, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
+    placed = beside(rows, ends, keys).select(*keys, F.least(F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     width = (F.col("b") - F.col("a")) / bins
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = grid.join(counts, [*on, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = grid.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     cols = [*keys, "bin", (F.col("a") + F.col("bin") * width).alias("lo"), (F.col("a") + (F.col("bin") + 1) * width).alias("hi"), "n"]
     return out.select(*cols, *([(F.col("n") / (F.col("total") * width)).alias("density")] if density else []))
 
@@ -153,10 +146,10 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int) -> DataFrame:
     Each point goes to the nearer of its places on two lattices, of which the second is half a step off.
     """
     nx, ny = gridsize, int(gridsize / 3**0.5)
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("_j", F.lit(1))
-    ends = rows.groupBy("_j").agg(*[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, 0), (F.max, 1))])
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ends = rows.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, 0), (F.max, 1))])
     scale = lambda c, n: F.when(F.col(f"{c}1") > F.col(f"{c}0"), (F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")) * n).otherwise(0.0)
-    uv = rows.join(ends, "_j").select(scale("x", nx).alias("u"), scale("y", ny).alias("v"))
+    uv = beside(rows, ends, []).select(scale("x", nx).alias("u"), scale("y", ny).alias("v"))
     near = lambda c: F.floor(F.col(c) + 0.5)
     half = lambda c: F.floor(c) + 0.5
     d1 = (F.col("u") - near("u")) ** 2 + 3 * (F.col("v") - near("v")) ** 2

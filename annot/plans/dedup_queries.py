@@ -189,7 +189,7 @@ def compare_overview(t):
     return compare.compare_overview(*pair(t), {"n_sources": "source", "n_texts": "text"})
 
 
-@query(f"SELECT source AS value, a AS n_before, coalesce(b, 0) AS n_after, 100.0::DOUBLE * (coalesce(b, 0) - a) / a AS pct_change FROM (SELECT source, count(*) AS a FROM documents GROUP BY 1) LEFT JOIN (SELECT source, count(*) AS b FROM {AFTER} GROUP BY 1) USING (source)")
+@query(f"SELECT source AS value, a AS n_before, coalesce(b, 0) AS n_after, 100.0::DOUBLE * (coalesce(b, 0) - a) / a AS pct_change, avg(100.0::DOUBLE * (coalesce(b, 0) - a) / a) OVER () AS mean_change FROM (SELECT source, count(*) AS a FROM documents GROUP BY 1) LEFT JOIN (SELECT source, count(*) AS b FROM {AFTER} GROUP BY 1) USING (source)")
 def compare_distribution(t):
     return compare.compare_distribution(*pair(t), "source")
 
@@ -205,6 +205,22 @@ def compare_flags(t):
     return compare.compare_flags(*pair(t), {"long": F.col("n_chars") > 1000, "at": F.col("text").contains("@")})
 
 
+_CHANGES = f"""(SELECT value, pos, coalesce(a, 0) AS n_before, coalesce(b, 0) AS n_after, 100.0::DOUBLE * (coalesce(b, 0) - a) / a AS pct_change FROM (SELECT unnest(['src0', 'src3', 'absent']) AS value, unnest([0, 1, 2]) AS pos)
+ LEFT JOIN (SELECT source AS value, count(*) AS a FROM documents GROUP BY 1) USING (value) LEFT JOIN (SELECT source AS value, count(*) AS b FROM {AFTER} GROUP BY 1) USING (value))"""
+
+
+@query(f"SELECT *, avg(pct_change) OVER () AS mean_change FROM {_CHANGES}")
+def compare_distribution_spine(t):
+    return compare.compare_distribution(*pair(t), "source", ["src0", "src3", "absent"])
+
+
+@query(f"""SELECT (SELECT median(a) FROM (SELECT count(*) AS a FROM documents GROUP BY source)) AS median_before, (SELECT median(b) FROM (SELECT count(*) AS b FROM {AFTER} GROUP BY source)) AS median_after,
+ (SELECT median(b - a) FROM (SELECT source, count(*) AS a FROM documents GROUP BY 1) JOIN (SELECT source, count(*) AS b FROM {AFTER} GROUP BY 1) USING (source)) AS median_delta""")
+def delta_medians(t):
+    before, after = pair(t)
+    return combine.delta_medians(combine.paired_delta(before, after, "source"), before, after, "source")
+
+
 @query(f"SELECT source, a AS n_before, b AS n_after, b - a AS delta FROM (SELECT source, count(*) AS a FROM documents GROUP BY 1) JOIN (SELECT source, count(*) AS b FROM {AFTER} GROUP BY 1) USING (source)")
 def paired_delta(t):
     return combine.paired_delta(*pair(t), "source")

@@ -38,6 +38,13 @@ def per_class_metrics(t):
     return classify.per_class_metrics(told(t), "label", "guess")
 
 
+@query("""WITH c AS (SELECT unnest(range(12))::INT AS class), s AS (SELECT class, count(*) FILTER (label = class) AS support, count(*) FILTER (vec_id % 10 = class) AS told, count(*) FILTER (label = class AND vec_id % 10 = class) AS hit FROM embeddings, c GROUP BY 1)
+ SELECT class, round_even(coalesce(hit / nullif(told, 0)::DOUBLE, 0), 3) AS precision, round_even(coalesce(hit / nullif(support, 0)::DOUBLE, 0), 3) AS recall, round_even(coalesce(2.0::DOUBLE * hit / nullif(told + support, 0), 0), 3) AS f1_score, support FROM s""")
+def per_class_metrics_all(t):
+    """Classes 10 and 11 are no row's label or prediction."""
+    return classify.per_class_metrics(told(t), "label", "guess", [*range(12)])
+
+
 @query("SELECT avg((label = vec_id % 10)::INT) AS accuracy FROM embeddings")
 def accuracy(t):
     return classify.accuracy(told(t), "label", "guess")
@@ -74,5 +81,20 @@ def softmax_cv(t):
 def compare_conditions(t):
     rows = classify.index_labels(t.embeddings, "label")
     half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
-    metrics = classify.compare_conditions({"whole": rows, "half": half, "none": None}, "label_index", "vec_id")
+    metrics, _ = classify.compare_conditions({"whole": rows, "half": half, "none": None}, "label_index", "vec_id")
     return classify.metric_matrix(metrics, "f1_score", ["whole", "half"])
+
+
+@query()
+def compare_conditions_summary(t):
+    rows = classify.index_labels(t.embeddings, "label")
+    half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    return classify.compare_conditions({"whole": rows, "half": half}, "label_index", "vec_id")[1]
+
+
+@query()
+def predict(t):
+    """Predictions for the held-out fifth by a model of the other rows."""
+    rows = classify.holdout_split(classify.index_labels(t.embeddings, "label"), "vec_id")
+    model = classify.fit_softmax(rows.where(~F.col("is_test")))
+    return classify.predict(model, rows.where("is_test")).select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))

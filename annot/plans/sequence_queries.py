@@ -51,7 +51,20 @@ def normalize_seq(t):
  FROM (SELECT doc_id, seq, unnest(range(1, 65)) AS p FROM {SEQ}))""")
 def one_hot_long(t):
     rows = sequence.one_hot(genes(t), "seq")
-    ones = rows.select("doc_id", F.posexplode("features").alias("i", "v")).where("v = 1")
+    # The outer form: from a plain one Catalyst infers a filter on the array's size, and builds the array for it too.
+    ones = rows.select("doc_id", F.posexplode_outer("features").alias("i", "v")).where("v = 1")
+    return ones.select("doc_id", (F.floor(F.col("i") / 5) + 1).alias("pos"), F.get(F.array(*[F.lit(b) for b in "ACGTN"]), F.col("i") % 5).alias("letter"))
+
+
+@query("""SELECT doc_id, p AS pos, CASE WHEN substr(s, p::INT, 1) IN ('A', 'C', 'G', 'T') THEN substr(s, p::INT, 1) ELSE 'N' END AS letter
+ FROM (SELECT doc_id, s, unnest(range(1, least(length(s), 80) + 1)) AS p FROM (SELECT doc_id, translate(upper(replace(text, 'ß', 'ss')), 'U', 'T') AS s FROM documents))""")
+def one_hot_text(t):
+    """Real texts: of any length, cut at 80 letters as the encoder's length asks, with letters that aren't bases.
+
+    SQL engines differ in the upper case of ß.
+    """
+    rows = sequence.one_hot(t.documents.select("doc_id", F.replace("text", F.lit("ß"), F.lit("ss")).alias("text")), "text", 80)
+    ones = rows.select("doc_id", F.posexplode_outer("features").alias("i", "v")).where("v = 1")
     return ones.select("doc_id", (F.floor(F.col("i") / 5) + 1).alias("pos"), F.get(F.array(*[F.lit(b) for b in "ACGTN"]), F.col("i") % 5).alias("letter"))
 
 

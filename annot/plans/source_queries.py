@@ -44,6 +44,24 @@ def csv_tolerant_roundtrip(t):
     return drop_repeated_headers(tables.read_table_csv(t.spark, path, ["doc_id", "lang", "source"], header=False), "doc_id")
 
 
+@query("SELECT count(*) FILTER (doc_id % 10 = 5) AS n_header_rows FROM documents")
+def count_repeated_headers(t):
+    """The header is written among the lines once for each tenth one."""
+    path = new_path(t.spark, "headers")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), "lang")
+    t.documents.select(F.explode(F.when(F.col("doc_id") % 10 == 5, F.array(line, F.lit("doc_id,lang"))).otherwise(F.array(line)))).write.text(path)
+    from annot.operators.clean import count_repeated_headers as count
+
+    return count(tables.read_table_csv(t.spark, path, ["doc_id", "lang"], header=False), "doc_id")
+
+
+@query("SELECT page_id::VARCHAR AS page_id, url, 'a \"q\", ' || page_id AS quoted FROM pages")
+def write_csv_roundtrip(t):
+    path = new_path(t.spark, "csv-out")
+    tables.write_csv(t.pages.select("page_id", "url", F.concat(F.lit('a "q", '), "page_id").alias("quoted")), path)
+    return tables.read_table_csv(t.spark, path, ["page_id", "url", "quoted"])
+
+
 @query("SELECT s_suppkey::VARCHAR AS accession, r_name AS domain, n_name AS phylum, s_name AS species FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def taxonomy_tsv(t):
     path = new_path(t.spark, "taxonomy")
@@ -112,13 +130,14 @@ def vectors_roundtrip(t):
     return tables.read_vectors(t.spark, path).select("id", "label", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
 
 
-@query("""SELECT c AS class, coalesce(p, 0) AS support FROM (SELECT unnest(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'x']) AS c) LEFT JOIN (SELECT label::VARCHAR AS l, count(*)::DOUBLE AS p FROM embeddings GROUP BY 1) ON l = c""")
+@query("""WITH c AS (SELECT unnest(['0', '1', '2', '3', '4', '5', '6', '7', '8', '9', 'x']) AS class), s AS (SELECT class, count(*) FILTER (label::VARCHAR = class) AS support, count(*) FILTER ((vec_id % 10)::VARCHAR = class) AS told, count(*) FILTER (label::VARCHAR = class AND (vec_id % 10)::VARCHAR = class) AS hit FROM embeddings, c GROUP BY 1)
+ SELECT class, round_even(coalesce(hit / nullif(told, 0)::DOUBLE, 0), 3) AS precision, round_even(coalesce(hit / nullif(support, 0)::DOUBLE, 0), 3) AS recall, round_even(coalesce(2.0::DOUBLE * hit / nullif(told + support, 0), 0), 3) AS f1_score, support::DOUBLE AS support FROM s""")
 def metrics_roundtrip(t):
     path = new_path(t.spark, "metrics")
     rows = t.embeddings.select(F.col("label").cast("string").alias("t"), (F.col("vec_id") % 10).cast("string").alias("p"))
     summary = t.embeddings.agg(F.avg("label").alias("value")).select(F.lit("CV_mean").alias("name"), "value")
     tables.write_metrics(classify.per_class_metrics(rows, "t", "p"), summary, path)
-    return tables.read_metrics(t.spark, path, [*map(str, range(10)), "x"])[0].select("class", "support")
+    return tables.read_metrics(t.spark, path, [*map(str, range(10)), "x"])[0].drop("pos")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

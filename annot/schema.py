@@ -14,7 +14,9 @@ PREFIXES = ["d__", "p__", "c__", "o__", "f__", "g__", "s__"]
 NO_SCORE = -999.0
 BASES = "ACGTN"
 
-REPORT_COLUMNS = ["Name", "tRNA #", "Begin", "End", "Type", "Codon", "intron_begin", "intron_end", "Score", "CM", "conf_score", "Note"]
+# The columns that are kept of a main report, and the names of its second Begin, End and Score.
+MAIN_COLUMNS = ["Name", "tRNA #", "Begin", "End", "Codon", "intron_begin", "intron_end", "Score", "CM", "conf_score", "Note"]
+MAIN_RENAMES = {"Begin": "intron_begin", "End": "intron_end", "Score": "conf_score"}
 
 
 def strings(names: list[str]) -> T.StructType:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from annot.functions.text import split_fields
 from annot.operators.dedup import last_by_key
-from annot.schema import ISOTYPES, REPORT_COLUMNS
+from annot.schema import ISOTYPES, MAIN_COLUMNS, MAIN_RENAMES
 
 ISO_SUFFIX, MAIN_SUFFIX, STRUCT_SUFFIX = ".isomodels.out", ".trnascan.out", ".struct.out"
 
@@ -64,30 +64,31 @@ def read_isomodels(spark: SparkSession, path: str, suffix: str = ISO_SUFFIX, sco
     return last_by_key(out, ["GenomeID", "tRNAscanID"], "pos").drop("pos")
 
 
-def dedupe_header(names: list[str], renames: dict[str, str], drop: list[str] = ()) -> list[str | None]:
-    """A name for each field: a second occurrence is renamed, further ones get a number; None for those to drop."""
-    seen: dict[str, int] = {}
-    out: list[str | None] = []
-    for n in names:
-        seen[n] = seen.get(n, 0) + 1
-        new = n if seen[n] == 1 else renames.get(n, f"{n}_{seen[n]}") if seen[n] == 2 else f"{n}_{seen[n]}"
-        out.append(None if n in drop else new)
-    return out
+def dedupe_header(names: Column, renames: dict[str, str]) -> Column:
+    """A header's names: a second occurrence of one is renamed, or numbered if it has no new name, further ones numbered."""
+    second = F.create_map(*[F.lit(x) for pair in renames.items() for x in pair])
 
+    def name(x: Column, all_names: Column, i: Column) -> Column:
+        nth = F.size(F.filter(F.slice(all_names, 1, i + 1), lambda y: y == x))
+        numbered = F.concat(x, F.lit("_"), nth.cast("string"))
+        return F.when(nth == 1, x).when(nth == 2, F.coalesce(F.try_element_at(second, x), numbered)).otherwise(numbered)
 
-HEADER = dedupe_header(
-    ["Name", "tRNA #", "Begin", "End", "Type", "Codon", "Begin", "End", "Score", "CM", "Score", "Note"],
-    {"Begin": "intron_begin", "End": "intron_end", "Score": "conf_score"},
-    ["Type"],
-)
+    return F.transform(names, lambda x, i: name(x, names, i))
 
 
-def read_scan_report(spark: SparkSession, path: str, suffix: str = MAIN_SUFFIX, header: list[str | None] = HEADER) -> DataFrame:
-    """GenomeID, tRNAscanID and the fields of main reports, data from the fourth line on; shorter reports have no rows."""
-    rows = _lines(spark, path, suffix).where((F.col("pos") >= 3) & (F.trim("line") != "")).withColumn("fields", split_fields(F.col("line")))
-    named = [_padded("fields", i).alias(n) for i, n in enumerate(header) if n]
-    key = F.concat(_padded("fields", 0), F.lit(".trna"), _padded("fields", 1))
-    return last_by_key(rows.select("GenomeID", "pos", key.alias("tRNAscanID"), *named), ["GenomeID", "tRNAscanID"], "pos").drop("pos")
+def read_scan_report(spark: SparkSession, path: str, suffix: str = MAIN_SUFFIX, columns: list[str] = MAIN_COLUMNS, renames: dict[str, str] = MAIN_RENAMES) -> DataFrame:
+    """GenomeID, tRNAscanID and the columns of main reports: names on the second line, data from the fourth on.
+
+    Columns are taken by the names of the report's own header, '' where a row is too short, null where the header has no
+    such name. Shorter reports have no rows. Of equal ids in a report the last row counts.
+    """
+    rows = _lines(spark, path, suffix).withColumn("fields", split_fields(F.col("line")))
+    heads = rows.where("pos = 1").select("GenomeID", dedupe_header(F.col("fields"), renames).alias("head"))
+    data = rows.where((F.col("pos") >= 3) & (F.trim("line") != "")).join(heads, "GenomeID")
+    at = lambda n: F.array_position("head", n)
+    value = lambda n: F.when(at(n) > 0, F.coalesce(F.get("fields", (at(n) - 1).cast("int")), F.lit("")))
+    key = F.concat(F.coalesce(value("Name"), F.lit("")), F.lit(".trna"), F.coalesce(value("tRNA #"), F.lit("")))
+    return last_by_key(data.select("GenomeID", "pos", key.alias("tRNAscanID"), *[value(n).alias(n) for n in columns]), ["GenomeID", "tRNAscanID"], "pos").drop("pos")
 
 
 def read_structures(spark: SparkSession, path: str, suffix: str = STRUCT_SUFFIX) -> DataFrame:
@@ -107,4 +108,4 @@ def read_structures(spark: SparkSession, path: str, suffix: str = STRUCT_SUFFIX)
     return last_by_key(out, ["GenomeID", "tRNAscanID"], "pos").drop("pos")
 
 
-__all__ = ["REPORT_COLUMNS", "dedupe_header", "file_manifest", "read_isomodels", "read_scan_report", "read_structures"]
+__all__ = ["dedupe_header", "file_manifest", "read_isomodels", "read_scan_report", "read_structures"]

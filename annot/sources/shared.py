@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new one only where it is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir. In local mode alone, where it is unset, a new one; elsewhere that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")

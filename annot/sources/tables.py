@@ -45,8 +45,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_grouped(df: DataFrame, group: str, path: str) -> None:
-    """CSV files with headers, in a folder for each value of the group column. Two groups never share a folder."""
-    df.repartition(group).write.partitionBy(group).csv(path, header=True)
+    """CSV files with headers, in a folder for each value of the group column. Two groups never share a folder.
+
+    Rows are rebalanced by group: small groups share a task, and a large one is split over several and has several files.
+    """
+    df.hint("rebalance", group).write.partitionBy(group).csv(path, header=True)
 
 
 def group_index(df: DataFrame, group: str) -> DataFrame:

@@ -22,7 +22,7 @@ def test_a_report_in_several_files_and_blocks(spark):
     path = new_path(spark, "reports-blocks")
     texts = {
         "g.isomodels.out": ["", "id\tAnticodon_predicted_isotype\tAla", *(f"c{i}.trna1\tAla\t{i}" for i in range(60)), "c0.trna1\tArg\tlast"],
-        "g.trnascan.out": ["x", "y", "--", *(f"c{i}\t1\t{i}\t9" for i in range(60))],
+        "g.trnascan.out": ["x", "Name\ttRNA #\tBegin\tEnd", "--", *(f"c{i}\t1\t{i}\t9" for i in range(60))],
         "g.struct.out": [x for i in range(60) for x in (f"c{i}.trna1 (1-9)\tLength: 9 bp", "Type: Ala", f"Seq: ac{i}", "Str: >.<", "")],
     }
     for name, lines in texts.items():
