@@ -18,9 +18,10 @@ from pyspark.sql.window import Window
 from .common import documents, written
 
 SAMPLES = 32
-#: Places that one row of a term gives; with all in one row, the compiled code is so large that it runs at half the speed.
-AT_ONCE = 8
 WORDS = 5
+#: The least of a text's values is distributed exponentially, with the sum of its weights for rate: with a probability of
+#: e^-40, 4e-18, it is over FAR_OUT by that sum. Terms that are can't be sampled.
+FAR_OUT = 40.0
 #: Characters of text that one range of documents holds, about.
 RANGE_CHARS = 64_000_000
 _LOW = 0xFFFFFFFF
@@ -30,18 +31,22 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + 0.5) / float(1 << width)
 
 
-def _sample(term: Column, log_weight: Column, place: Column) -> Column:
-    """A long that orders terms in its upper half and holds the value (term, t) in its lower one."""
-    h = F.xxhash64(term, place)
-    g = F.xxhash64(h, place)
-    r = -F.log(_uniform(h, 0, 21) * _uniform(h, 21, 21))
-    b = _uniform(h, 42, 21)
-    log_c = F.log(-F.log(_uniform(g, 0, 32) * _uniform(g, 32, 32)))
-    t = F.floor(log_weight / r + b)
-    rank = F.floor((log_c - r * (t - b + 1) + 80.0) * float(1 << 24))
-    order = F.greatest(F.lit(0), F.least(rank, F.lit((1 << 31) - 2))).cast("long")
-    value = term.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit(_LOW))
-    return F.shiftleft(order, 32).bitwiseOR(value)
+class _Sample:
+    """A term's sample at a place: what its value is at least, and a long that orders terms and holds the value."""
+
+    def __init__(self, term: Column, weight: Column, place: Column):
+        h = F.xxhash64(term, place)
+        g = F.xxhash64(h, place)
+        p, q = _uniform(h, 0, 21) * _uniform(h, 21, 21), _uniform(g, 0, 32) * _uniform(g, 32, 32)
+        # c e^-r(t-b+1), with c = -ln q and r = -ln p, is at least this by the weight: no logarithm is needed for it.
+        self.least = (1.0 - q) * p
+        r, b, log_c = -F.log(p), _uniform(h, 42, 21), F.log(-F.log(q))
+        t = F.floor(F.log(weight) / r + b)
+        self.log_value = log_c - r * (t - b + 1)
+        rank = F.floor((self.log_value + 80.0) * float(1 << 24))
+        order = F.greatest(F.lit(0), F.least(rank, F.lit((1 << 31) - 2))).cast("long")
+        # The order in the upper half; the value, (term, t), in the lower one.
+        self.packed = F.shiftleft(order, 32).bitwiseOR(term.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit(_LOW)))
 
 
 def _words(text: Column) -> Column:
@@ -63,14 +68,20 @@ def fingerprints(df: DataFrame, keys: list[str], text: str, samples: int = SAMPL
     places = F.when(F.size("_s") > 0, F.sequence(F.lit(0), F.size("_s") - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
     terms = terms.withColumn("_at", begins)
-    # Terms and weights go into one array first: exploding places would copy both arrays into every row.
+    # Terms and weights go into one array first: exploding places would copy both arrays into every row. The outer form, as
+    # from a plain one Catalyst infers a filter on the array's size, and builds the array once more for it.
     entries = F.transform("_at", lambda p, k: F.struct(F.get("_s", p).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s")) - p).alias("weight")))
     own = F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("weight")))
-    rows = terms.select(*keys, F.explode(F.concat(own, entries)).alias("_e")).select(*keys, F.col("_e.term").alias("_term"), F.col("_e.weight").alias("_n"))
-    parts = -(-samples // AT_ONCE)
-    rows = rows.select(*keys, "_term", (F.col("_n") == 0).cast("int").alias("_own"), F.when(F.col("_n") > 0, F.log("_n")).alias("_lw"), F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("_part"))
-    rows = rows.select(*keys, "_own", "_part", *[_sample(F.col("_term"), F.col("_lw"), F.col("_part") * AT_ONCE + j).alias(f"_s{j}") for j in range(AT_ONCE)])
-    least = [F.min(F.when(F.col("_part") == k // AT_ONCE, F.col(f"_s{k % AT_ONCE}"))).alias(f"_{k}") for k in range(samples)]
+    rows = terms.select(*keys, (FAR_OUT / F.greatest(F.size("_s"), F.lit(1))).alias("_most"), F.log(FAR_OUT / F.greatest(F.size("_s"), F.lit(1))).alias("_log_most"), F.explode_outer(F.concat(own, entries)).alias("_e")).select(*keys, "_most", "_log_most", F.col("_e.term").alias("_term"), F.col("_e.weight").alias("_n"))
+    # Terms that can't be sampled at a place are left out there, before logarithms are taken.
+    at = F.explode_outer(F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.lit(samples - 1))).otherwise(F.array(F.lit(0))))
+    rows = rows.select(*keys, "_most", "_log_most", "_term", "_n", at.alias("_place"))
+    sample = _Sample(F.col("_term"), F.col("_n"), F.col("_place"))
+    # coalesce: else Catalyst infers that _most isn't null, and works it out on the whole text once more, word by word.
+    near = (sample.least <= F.col("_most") * F.col("_n")) & (sample.log_value <= F.col("_log_most"))
+    rows = rows.where((F.col("_n") == 0) | F.coalesce(near, F.lit(False)))
+    rows = rows.select(*keys, "_place", (F.col("_n") == 0).cast("int").alias("_own"), F.when(F.col("_n") > 0, sample.packed).alias("_s"))
+    least = [F.min(F.when(F.col("_place") == k, F.col("_s"))).alias(f"_{k}") for k in range(samples)]
     found = rows.groupBy(*keys).agg(F.sum("_own").alias("rows"), *least)
     return found.select(*keys, F.array(*[F.coalesce(F.col(f"_{k}").bitwiseAND(F.lit(_LOW)), F.lit(0)) for k in range(samples)]).alias("samples"), "rows")
 
