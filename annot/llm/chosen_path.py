@@ -29,7 +29,7 @@ WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PLACES = 64
-LEAF = 64
+LEAF = 256
 #: Runs over all classes go to this depth; classes then still in large nodes get the runs that DEPTH asks for.
 USUAL_DEPTH = 3
 DEPTH = 8
