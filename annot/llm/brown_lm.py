@@ -1,43 +1,46 @@
 """Language-model scores by class-based bigrams, the classes found by exchange clustering.
 
-P(word | previous word) = P(class | previous class) * P(word | class), mixed with the unigram model. Counts of all words
-and of all neighbours come from every training document. What is clustered is a bounded set of units, so that the
-clustering costs the same at any size: the most frequent words, and for all other words their endings (the most frequent
-endings each for itself, the rest in a few hashed groups). Every word has a unit, every unit a class. Exchange clustering
-moves one unit at a time to the class that raises the bigram likelihood most, until nothing moves.
+P(word | previous word) = P(class | previous class) * P(word | class), mixed with the unigram model. Every word that the
+training texts hold has a class of its own finding:
+
+1. The CORE most frequent words are clustered by exchange: one word at a time moves to the class that raises the bigram
+   likelihood most, until nothing moves. All other words together stand for one more neighbour.
+2. Of every other word, all occurrences are counted by the classes of the words before and after them. The word goes to
+   the class for which the exchange criterion grows most; as its counts are small beside a class's, that growth is a sum
+   over its neighbours of log(n(c, d) N / (n(c) n(d))), so that a task gives a class to as many words as it has.
+3. All texts are read once with these classes. Transitions between classes are counted over the training texts, and the
+   same transitions, kept as two bytes a token, give every text's score.
 
 With c(w) + 1 in the numerators of both models, a text's score is a sum of log10(c(w) + 1), which the base score has too,
-and of a term of classes alone. Counts of frequent words (a bounded table) are at hand in each task; those of the others
-are joined by word, with one row for each word of a document.
+and of a term of classes alone. Counts and classes of frequent words (a bounded table) are at hand in each task; those of
+all others are joined by word, and the few transitions at them are filled in after the join.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, fold_of, written
 
-#: Words whose counts are sent to every task, at most.
+#: Words whose counts and classes are sent to every task, at most.
 NEAR_WORDS = 200_000
-OWN_UNITS, ENDINGS, OTHER_UNITS = 511, 480, 32
-UNITS = 1 + OWN_UNITS + ENDINGS + OTHER_UNITS
+#: Words that are clustered by exchange; the others are placed by their neighbours' classes.
+CORE = 1000
 CLASSES = 64
 MIX = 0.95
 #: Weight of the unigram class distribution in each class's transitions, in counts.
 SMOOTH = 20.0
-#: Distinct words that a task counts before it hands them on.
+#: Distinct words that a task counts before it hands them on, and words whose numbers it remembers.
 FLUSH = 400_000
 END = b""  # no word is empty
 #: Characters of text that a task looks at together.
 CHUNK = 2_000_000
+_OPEN = 65535  # a transition whose classes aren't both known yet
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,6 +61,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from collections import Counter
+
     seen: Counter = Counter()
 
     def out() -> pd.DataFrame:
@@ -74,93 +79,113 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-class _Tables:
-    """What a task knows of words: place, log10(c + 1) and unit of near ones, units of endings."""
+class _Codes(dict):
+    """The number of each word: 0 the end, core words from 1 on, of any other a hash of its own, which is negative."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, endings: list[bytes]):
-        self.words, self.counts, self.endings = words, counts, endings
-        self.built = False
+    def __init__(self, core: list[bytes]):
+        self.core = {END: 0, **{w: i + 1 for i, w in enumerate(core)}}
+        super().__init__(self.core)
 
-    def __getstate__(self):
-        return self.words, self.counts, self.endings
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+            self.update(self.core)
+        found = self[word] = -1 - (key_of(word) >> 1)
+        return found
 
-    def __setstate__(self, state):
-        self.__init__(*state)
 
-    def build(self) -> _Tables:
-        if not self.built:
-            self.ending = {e: 1 + OWN_UNITS + i for i, e in enumerate(self.endings)}
-            self.place = {w: i for i, w in enumerate(self.words)}
-            self.logs = np.log10(self.counts + 1.0)
-            self.units = np.array([self.unit(w, i) for i, w in enumerate(self.words)], np.int64)
-            self.built = True
-        return self
+def key_of(word: bytes) -> int:
+    """What xxhash64 gives for the word in Spark, as an unsigned number."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word, seed=42)
+
 
-    def unit(self, word: bytes, place: int = OWN_UNITS) -> int:
-        if word == END:
-            return 0
-        if place < OWN_UNITS:
-            return 1 + place
-        return self.ending.get(word[-3:]) or UNITS - OTHER_UNITS + zlib.crc32(word[-3:]) % OTHER_UNITS
-
-    def read(self, texts) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of all texts, an end after each; their places (-1: not near); their units; the number of tokens a text."""
-        words, lengths = [], []
-        for text in texts:
-            own = words_of(text)
-            words += own
-            words.append(END)
-            lengths.append(len(own) + 1)
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        units = self.units[at] if len(self.units) else np.zeros(len(at), np.int64)
-        for i in np.flatnonzero(at < 0):
-            units[i] = self.unit(words[i])
-        return words, at, units, np.array(lengths, np.int64)
-
-
-def _count_neighbours(shared):
+def _tokens(texts) -> tuple[list[bytes], np.ndarray]:
+    """Words of all texts, an end after each, and the number of tokens a text."""
+    words, lengths = [], []
+    for text in texts:
+        own = words_of(text)
+        words += own
+        words.append(END)
+        lengths.append(len(own) + 1)
+    return words, np.array(lengths, np.int64)
+
+
+def _before(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The code before each token; an end, 0, before the first one of each text."""
+    out = np.zeros_like(codes)
+    out[1:] = codes[:-1]
+    out[np.cumsum(lengths)[:-1]] = 0
+    return out
+
+
+def _count_core_pairs(core: list[bytes]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, pairs = shared.value.build(), np.zeros(UNITS * UNITS, np.int64)
+        codes, units = _Codes(core), len(core) + 2
+        pairs = np.zeros(units * units, np.int64)
         for batch in _chunks(batches):
-            _, _, units, lengths = tables.read(batch["text"])
-            if len(units):
-                before = np.empty_like(units)
-                before[1:] = units[:-1]
-                before[0] = 0
-                before[np.cumsum(lengths)[:-1]] = 0
-                key = before * UNITS + units
-                if len(key) > 100_000:
-                    pairs += np.bincount(key, minlength=UNITS * UNITS)
-                else:
-                    np.add.at(pairs, key, 1)
+            words, lengths = _tokens(batch["text"])
+            at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            at[at < 0] = units - 1
+            key = _before(at, lengths) * units + at
+            if 4 * len(key) > len(pairs):
+                pairs += np.bincount(key, minlength=len(pairs))
+            else:
+                np.add.at(pairs, key, 1)
         key = np.flatnonzero(pairs)
         yield pd.DataFrame({"pair": key, "n": pairs[key]})
 
     return run
 
 
+def _neighbours(core: list[bytes], cls: np.ndarray):
+    """key and, two bytes an occurrence, the classes before and after it, for words that aren't of the core."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes, units = _Codes(core), len(core) + 2
+        for batch in _chunks(batches):
+            words, lengths = _tokens(batch["text"])
+            at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+            c = cls[np.where(at < 0, units - 1, at)].astype(np.uint8)
+            rare = np.flatnonzero(at < 0)  # never a text's end, so each has a token after it
+            if not len(rare):
+                continue
+            order = rare[np.argsort(at[rare], kind="stable")]
+            keys, first = np.unique(at[order], return_index=True)
+            raw = np.stack([_before(c, lengths)[order], c[order + 1]], 1).tobytes()
+            cuts = [*(2 * first).tolist(), len(raw)]
+            yield pd.DataFrame({"key": -1 - keys, "around": [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
+def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12, rest: bool = False) -> np.ndarray:
     """Class of each unit, from the matrix of neighbour counts; unit 0, the end, keeps class 0 to itself.
 
-    Starts with the units dealt by frequency; each round takes every unit once, most frequent first.
+    Starts with the units dealt by frequency; each round takes every unit once, most frequent first. With rest, the last
+    unit stands for all words that aren't units, and keeps a class of its own, numbered `classes`.
     """
     n = len(pairs)
     pairs = pairs.astype(float)
     freq = pairs.sum(0) + pairs.sum(1)
-    order = [int(u) for u in np.argsort(-freq, kind="stable") if u and freq[u] > 0]
+    order = [int(u) for u in np.argsort(-freq, kind="stable") if u and freq[u] > 0 and not (rest and u == n - 1)]
     cls = np.zeros(n, np.int64)
     for i, u in enumerate(order):
         cls[u] = 1 + i % (classes - 1)
     cls[(freq == 0) & (np.arange(n) > 0)] = classes - 1
-    member = np.zeros((n, classes))
+    width = classes + rest
+    if rest:
+        cls[n - 1] = classes
+    member = np.zeros((n, width))
     member[np.arange(n), cls] = 1
     table = member.T @ pairs @ member
     out_of, into = pairs @ member, pairs.T @ member  # unit to class, class to unit
-    diagonal = np.arange(classes)
+    diagonal = np.arange(width)
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -179,6 +204,7 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 1
             gain += _xlogx(d + right + left + own) + _xlogx(d) - _xlogx(d + right) - _xlogx(d + left)
             gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + l) - _xlogx(cols)
             gain[0] = -np.inf
+            gain[classes:] = -np.inf
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -197,125 +223,231 @@ def exchange_clusters(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 1
     return cls
 
 
-def class_terms(pairs: np.ndarray, cls: np.ndarray, unit_tokens: np.ndarray, unit_words: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 of what multiplies c(w) + 1, for each previous class and class.
+def association(table: np.ndarray) -> np.ndarray:
+    """log(n(c, d) N / (n(c) n(d))) for each class c and the class d after it, counts smoothed towards independence."""
+    total = table.sum() + 1
+    rows, cols = table.sum(1, keepdims=True) + 1, table.sum(0, keepdims=True) + 1
+    chance = rows * cols / total
+    return np.log((table + 0.5 * np.minimum(chance, 1) + 1e-9) / (chance + 0.5 * np.minimum(chance, 1) + 1e-9))
+
+
+def _place_words(after: np.ndarray, before: np.ndarray, classes: int):
+    """key and class of each word, from rows sorted by key. after[d, b]: growth for a class d before a word of class b."""
+    width = len(after)
+    weights = np.concatenate([after, before])[:, 1:classes]
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, group = np.unique(rows["key"].to_numpy(), return_inverse=True)
+        raw = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(-1, 2)
+        own = np.repeat(group, rows["around"].str.len().to_numpy() // 2)
+        growth = np.zeros((len(keys), classes - 1))
+        for i in range(0, len(keys), 4096):
+            k = min(4096, len(keys) - i)
+            part = (own >= i) & (own < i + k)
+            o, r = own[part] - i, raw[part]
+            counts = np.bincount(o * 2 * width + r[:, 0], minlength=k * 2 * width) + np.bincount(o * 2 * width + width + r[:, 1], minlength=k * 2 * width)
+            growth[i : i + k] = counts.reshape(k, -1) @ weights
+        return pd.DataFrame({"key": keys, "cls": (growth.argmax(1) + 1).astype(np.int16)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            more = rows["key"] != rows["key"].iloc[-1]
+            if more.any():
+                yield solve(rows[more])
+            held = rows[~more]
+        if held is not None and len(held):
+            yield solve(held)
+
+    return run
 
-    A class's words and one slot for its unknown ones share its probability, as in the base model.
-    """
-    classes = int(cls.max()) + 1
-    member = np.zeros((len(cls), classes))
-    member[np.arange(len(cls)), cls] = 1
-    table = member.T @ pairs @ member
-    tokens, kinds = member.T @ unit_tokens, member.T @ unit_words
-    start = (tokens + 1) / (tokens.sum() + classes)
-    step = (table + SMOOTH * start) / (table.sum(1, keepdims=True) + SMOOTH)
-    return np.log10(MIX * step / (tokens + kinds + 1) + (1 - MIX) / (n + v + 1))
 
+class _Near:
+    """What a task knows of frequent words: place, log10(c + 1) and class."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, cls: np.ndarray):
+        self.words, self.counts, self.cls, self.place = words, counts, cls, None
+
+    def __getstate__(self):
+        return self.words, self.counts, self.cls
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def build(self) -> _Near:
+        if self.place is None:
+            self.place = {w: i for i, w in enumerate(self.words)}
+            self.logs = np.append(np.log10(self.counts + 1.0), 0.0)  # the last one for words that aren't near
+            self.codes = np.append(self.cls, 0).astype(np.int64)
+        return self
+
+
+def _read(shared, classes: int):
+    """A row a text: its transitions, what is known of its near words, and its other words with the transitions at them."""
 
-def _score(shared, terms: np.ndarray, cls: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = shared.value.build()
+        from itertools import repeat
+
+        near = shared.value.build()
         for batch in _chunks(batches):
-            words, at, units, lengths = tables.read(batch["text"])
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            c = cls[units]
-            before = np.empty_like(c)
-            before[1:] = c[:-1]
-            before[0] = 0
-            before[np.cumsum(lengths)[:-1]] = 0
-            near = at >= 0
-            logs = np.where(near, tables.logs[at], 0.0) if len(tables.logs) else np.zeros(len(at))
-            far: list[Counter] = [Counter() for _ in lengths]
-            for i in np.flatnonzero(~near):
-                far[doc[i]][words[i]] += 1
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].to_numpy(), "n_tokens": lengths, "known": np.bincount(doc, near & (logs > 0), len(lengths)).astype(np.int64),
-                    "logs": np.bincount(doc, logs, len(lengths)), "classes": np.bincount(doc, terms[before, c], len(lengths)), "word": [list(x) for x in far], "times": [list(x.values()) for x in far],
-                }
-            )
+            words, lengths = _tokens(batch["text"])
+            at = np.fromiter(map(near.place.get, words, repeat(-1)), np.int64, len(words))
+            far = np.flatnonzero(at < 0)
+            doc, logs, code = np.repeat(np.arange(len(lengths)), lengths), near.logs[at], near.codes[at]
+            others: list[dict] = [{} for _ in lengths]
+            for i in far.tolist():
+                own = others[doc[i]]
+                code[i] = -1 - own.setdefault(words[i], len(own))
+            before = _before(code, lengths)
+            unknown = (code < 0) | (before < 0)
+            cells = np.where(unknown, _OPEN, before * classes + code).astype("<u2")
+            asked = np.stack([before, code], 1).astype("<i4")
+            stops = np.cumsum(lengths)
+            rows = []
+            for k, (a, b) in enumerate(zip((stops - lengths).tolist(), stops.tolist(), strict=True)):
+                rows.append((cells[a:b].tobytes(), asked[a:b][unknown[a:b]].tobytes(), list(others[k])))
+            out = pd.DataFrame(rows, columns=["cells", "asked", "words"])
+            known = (at >= 0) & (logs > 0)
+            yield batch.drop(columns="text").reset_index(drop=True).assign(n_tokens=lengths, known=np.bincount(doc, known, len(lengths)).astype(np.int64), logs=np.bincount(doc, logs, len(lengths)), **out)
 
     return run
 
 
-def _unit_of_words(shared):
+def _fill(unknown: int, classes: int):
+    """Fills in the transitions at other words, and adds what is known of these. far: rows (i, c, cls) of those in the vocabulary."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = shared.value.build()
         for batch in batches:
-            yield pd.DataFrame({"unit": [tables.unit(bytes(w), tables.place.get(bytes(w), OWN_UNITS)) for w in batch["word"]], "c": batch["c"]})
+            rows = []
+            for cells, asked, n, known, logs, far in zip(batch["cells"], batch["asked"], batch["n_far"], batch["known"], batch["logs"], batch["far"], strict=True):
+                if n:
+                    cls, c = np.full(n, unknown), np.zeros(n)
+                    for x in far if far is not None else ():
+                        cls[x["i"]], c[x["i"]] = x["cls"], x["c"]
+                    asked = np.frombuffer(asked, "<i4").reshape(-1, 2)
+                    both = np.where(asked < 0, cls[np.where(asked < 0, -1 - asked, 0)], asked)
+                    own = -1 - asked[asked[:, 1] < 0, 1]
+                    cells = np.frombuffer(cells, "<u2").copy()
+                    cells[cells == _OPEN] = both[:, 0] * classes + both[:, 1]
+                    cells, known, logs = cells.tobytes(), known + int((c[own] > 0).sum()), logs + float(np.log10(c[own] + 1).sum())
+                rows.append((cells, known, logs))
+            out = pd.DataFrame(rows, columns=["cells", "n_known", "logs"])
+            yield batch[["doc_id", "learn", "wanted", "n_tokens"]].reset_index(drop=True).assign(**out)
 
     return run
 
 
-def near_words(vocabulary: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, whole ranks of equal counts only, at most `most`; most frequent first."""
+def _count_cells(classes: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch["cells"]), "<u2"), minlength=classes * classes)
+        key = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": key, "n": total[key]})
+
+    return run
+
+
+def class_terms(table: np.ndarray, kinds: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of what multiplies c(w) + 1, for each previous class and class. table: transitions; kinds: words a class.
+
+    A class's words and one slot for its unknown ones share its probability, as in the base model.
+    """
+    tokens = table.sum(0)
+    start = (tokens + 1) / (tokens.sum() + len(tokens))
+    step = (table + SMOOTH * start) / (table.sum(1, keepdims=True) + SMOOTH)
+    return np.log10(MIX * step / (tokens + kinds + 1) + (1 - MIX) / (n + v + 1))
+
+
+def _sum_terms(terms: np.ndarray):
+    flat = terms.reshape(-1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cells = np.frombuffer(b"".join(batch["cells"]), "<u2")
+            doc = np.repeat(np.arange(len(batch)), batch["cells"].str.len().to_numpy() // 2)
+            yield batch.drop(columns="cells").reset_index(drop=True).assign(classes=np.bincount(doc, flat[cells], len(batch)))
+
+    return run
+
+
+def near_words(lexicon: DataFrame, most: int) -> pd.DataFrame:
+    """The most frequent words (word, c and further columns), whole ranks of equal counts only, at most `most`."""
     size = F.floor(F.log2("c") * 16)
-    ranks = sorted(vocabulary.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])  # a few hundred rows at any size
+    ranks = sorted(lexicon.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])  # a few hundred rows at any size
     total, least = 0, None
     for r in ranks:
         total += r["count"]
         if total > most:
             break
         least = r["size"]
-    if least is None:
-        return [], np.zeros(0)
-    got = vocabulary.where(size >= least).toArrow().to_pandas()
+    got = (lexicon.where(size >= least) if least is not None else lexicon.limit(0)).toArrow().to_pandas()
     got["word"] = [bytes(w) for w in got["word"]]
-    got = got.sort_values(["c", "word"], ascending=[False, True])
-    return list(got["word"]), got["c"].to_numpy(float)
+    return got.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
 
-def score_texts(df: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", near: int = NEAR_WORDS, classes: int = CLASSES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of df, with a model of train's texts.
-
-    Null texts count as empty: one end token. Repeated rows count each; null ids, extra columns and very long texts are
-    no trouble. An empty train knows no word. An empty df gives an empty table.
+def word_classes(texts: DataFrame, vocabulary: DataFrame, core: list[bytes], classes: int) -> DataFrame:
+    """key (the hash of the word, halved) and cls of every word in texts (text), the end's apart."""
+    spark, units = texts.sparkSession, len(core) + 2
+    found = texts.mapInPandas(_count_core_pairs(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # units ** 2 rows at most
+    pairs = np.zeros(units * units)
+    pairs[found["pair"]] = found["n"]
+    pairs = pairs.reshape(units, units)
+    cls = exchange_clusters(pairs, classes, rest=True)
+    member = np.zeros((units, classes + 1))
+    member[np.arange(units), cls] = 1
+    growth = association(member.T @ pairs @ member)
+    own = pd.DataFrame({"key": np.array([key_of(w) >> 1 for w in core], np.int64), "cls": cls[1 : len(core) + 1].astype(np.int16)})
+    rest = texts.mapInPandas(_neighbours(core, cls), "key long, around binary").repartition("key").sortWithinPartitions("key").mapInPandas(_place_words(growth, growth.T, classes), "key long, cls short")
+    return rest.unionByName(spark.createDataFrame(own, "key long, cls short"))
+
+
+def score_texts(df: DataFrame, train: DataFrame | Column, doc_id: str = "doc_id", text: str = "text", near: int = NEAR_WORDS, classes: int = CLASSES, core: int = CORE) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of df, with a model of the training texts.
+
+    train: a condition on df's rows, or another table. Null texts count as empty: one end token. Repeated rows count each;
+    null ids, extra columns and very long texts are no trouble. Without training texts no word is known. An empty df gives
+    an empty table. A word that no training text holds has the class that most words met once have.
     """
     spark = df.sparkSession
     id_type = df.schema[doc_id].dataType.simpleString()
-    texts = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    row = [F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    if isinstance(train, Column):
+        whole = df.select(*row, F.coalesce(train, F.lit(False)).alias("learn"), F.lit(True).alias("wanted"))
+    else:
+        whole = df.select(*row, F.lit(False).alias("learn"), F.lit(True).alias("wanted")).unionByName(train.select(F.lit(None).cast(id_type).alias("doc_id"), row[1], F.lit(True).alias("learn"), F.lit(False).alias("wanted")))
+    texts = whole.where("learn").select("text")
     vocabulary = written(texts.mapInPandas(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    words, counts = near_words(vocabulary, near)
-    ends = vocabulary.where(F.octet_length("word") > 0).groupBy(F.substring("word", -3, 3).alias("ending")).agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "ending").limit(ENDINGS)
-    shared = spark.sparkContext.broadcast(_Tables(words, counts, [bytes(r["ending"]) for r in ends.collect()]))
-    by_unit = vocabulary.mapInPandas(_unit_of_words(shared), "unit int, c long").groupBy("unit").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds")).toArrow().to_pandas()
-    unit_tokens, unit_words = np.zeros(UNITS), np.zeros(UNITS)
-    unit_tokens[by_unit["unit"]], unit_words[by_unit["unit"]] = by_unit["c"], by_unit["kinds"]
-    found = texts.mapInPandas(_count_neighbours(shared), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # UNITS ** 2 rows at most
-    pairs = np.zeros(UNITS * UNITS)
-    pairs[found["pair"]] = found["n"]
-    pairs = pairs.reshape(UNITS, UNITS)
-    cls = exchange_clusters(pairs, classes)
-    terms = class_terms(pairs, cls, unit_tokens, unit_words, n, v)
-
-    whole = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = f"doc_id {id_type}, n_tokens long, known long, logs double, classes double, word array<binary>, times array<long>"
-    docs = written(whole.mapInPandas(_score(shared, terms, cls), schema).withColumn("uid", F.monotonically_increasing_id()), "lm-docs")
-    far = docs.select("uid", F.explode(F.arrays_zip("word", "times")).alias("w")).select("uid", F.col("w.word").alias("word"), F.col("w.times").alias("times"))
-    rest = far.join(vocabulary, "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    out = docs.drop("word", "times").join(rest, "uid", "left")
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
+    first = near_words(vocabulary.where(F.octet_length("word") > 0).orderBy(F.col("c").desc(), "word").limit(core), core)
+    placed = word_classes(texts, vocabulary, list(first["word"]), classes)
+    keyed = vocabulary.withColumn("key", F.shiftrightunsigned(F.xxhash64("word"), 1))
+    lexicon = written(keyed.join(placed, "key", "left").select("word", "c", F.when(F.octet_length("word") == 0, 0).otherwise(F.col("cls")).cast("int").alias("cls")), "lm-lexicon")
+    kinds, once = np.zeros(classes), np.zeros(classes)
+    for r in lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("one")).collect():  # a row a class
+        kinds[r["cls"]], once[r["cls"]] = r["k"], r["one"]
+    unknown = 1 + int(once[1:].argmax())
+    known = near_words(lexicon, near)
+    shared = spark.sparkContext.broadcast(_Near(list(known["word"]), known["c"].to_numpy(float), known["cls"].to_numpy(np.int64)))
+
+    read = whole.mapInPandas(_read(shared, classes), f"doc_id {id_type}, learn boolean, wanted boolean, n_tokens long, known long, logs double, cells binary, asked binary, words array<binary>")
+    docs = written(read.withColumn("uid", F.monotonically_increasing_id()), "lm-docs")
+    asked = docs.where(F.size("words") > 0).select("uid", F.posexplode("words").alias("i", "word"))
+    told = asked.join(lexicon, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "c", "cls")).alias("far"))
+    filled = docs.withColumn("n_far", F.size("words")).drop("words").join(told, "uid", "left")
+    filled = written(filled.mapInPandas(_fill(unknown, classes), f"doc_id {id_type}, learn boolean, wanted boolean, n_tokens long, cells binary, n_known long, logs double"), "lm-cells")
+    table = np.zeros(classes * classes)
+    for r in filled.where("learn").select("cells").mapInPandas(_count_cells(classes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes ** 2 rows at most
+        table[r["cell"]] = r["n"]
+    terms = class_terms(table.reshape(classes, classes), kinds, n, v)
+    out = filled.where("wanted").drop("learn", "wanted").mapInPandas(_sum_terms(terms), f"doc_id {id_type}, n_tokens long, n_known long, logs double, classes double")
     return out.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (logs + F.col("classes")).alias("score"),
+        "doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.col("logs") + F.col("classes")).alias("score"),
     )
 
 
 def op5_class_lm_scores(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
     held = fold_of(F.col("doc_id"), 7) == 2
-    out = score_texts(docs, docs.where(~held))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-#: The columns that SQL has; the class model's score is held against a plain version in the tests.
-BASE_SQL = r"""
-WITH words AS (
-  SELECT doc_id, crc32_mod7 <> 2 AS train, unnest(list_concat(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [''])) AS word
-  FROM docs),
-counts AS (SELECT word, count(*) AS c FROM words WHERE train GROUP BY word),
-totals AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM counts)
-SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, sum(log10((coalesce(c, 0) + 1) / (n + v + 1)::DOUBLE)) AS base_score
-FROM words LEFT JOIN counts USING (word), totals GROUP BY doc_id
-"""
+    return score_texts(documents(spark, sf_dir), ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

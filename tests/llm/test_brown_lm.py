@@ -3,59 +3,129 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from annot.llm import brown_lm
-from annot.llm.brown_lm import exchange_clusters, score_texts, words_of
+from annot.llm.brown_lm import MIX, SMOOTH, class_terms, exchange_clusters, key_of, score_texts, words_of
 
 from .cases import crowded, odd_rows, table, words
 
 
-def plain(train, texts, cls, unit_of, terms):
-    counts = Counter()
+def tokens_of(text):
+    return [*words_of(text), b""]
+
+
+def plain_model(train, core_size, classes):
+    """The model by loops over tokens; only the exchange itself is shared, which has tests of its own."""
+    counts = Counter(w for t in train for w in tokens_of(t))
+    core = sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[:core_size]
+    unit = {b"": 0, **{w: i + 1 for i, w in enumerate(core)}}
+    rest = len(core) + 1
+    pairs = np.zeros((rest + 1, rest + 1))
+    for t in train:
+        before = 0
+        for w in tokens_of(t):
+            pairs[before, unit.get(w, rest)] += 1
+            before = unit.get(w, rest)
+    cls = exchange_clusters(pairs, classes, rest=True)
+    table = np.zeros((classes + 1, classes + 1))
+    for a in range(rest + 1):
+        for b in range(rest + 1):
+            table[cls[a], cls[b]] += pairs[a, b]
+    total, rows, cols = table.sum() + 1, table.sum(1) + 1, table.sum(0) + 1
+
+    def growth(a, b):
+        chance = rows[a] * cols[b] / total
+        half = 0.5 * min(chance, 1) + 1e-9
+        return math.log((table[a, b] + half) / (chance + half))
+
+    around = {}
     for t in train:
-        counts.update([*words_of(t), b""])
+        tokens = [b"", *tokens_of(t)]
+        for k in range(1, len(tokens) - 1):
+            if tokens[k] not in unit:
+                around.setdefault(tokens[k], []).append((cls[unit.get(tokens[k - 1], rest)], cls[unit.get(tokens[k + 1], rest)]))
+    word_class = {w: int(cls[u]) for w, u in unit.items()}
+    for w, seen in around.items():
+        gains = [sum(growth(a, b) + growth(b, z) for a, z in seen) for b in range(1, classes)]
+        word_class[w] = 1 + max(range(classes - 1), key=lambda b: (round(gains[b], 9), -b))
+    once = Counter(word_class[w] for w in counts if w and counts[w] == 1)
+    unknown = min(range(1, classes), key=lambda c: (-once[c], c))
+    steps = np.zeros((classes, classes))
+    for t in train:
+        before = 0
+        for w in tokens_of(t):
+            steps[before, word_class[w]] += 1
+            before = word_class[w]
+    return counts, word_class, unknown, steps
+
+
+def plain(train, texts, core_size, classes):
+    counts, word_class, unknown, steps = plain_model(train, core_size, classes)
     n, v = sum(counts.values()), len(counts)
+    kinds = Counter(word_class.values())
+    tokens = steps.sum(0)
     out = []
     for t in texts:
-        tokens, before, base, score = [*words_of(t), b""], 0, 0.0, 0.0
-        for w in tokens:
-            c = cls[unit_of(w)]
+        before, base, score = 0, 0.0, 0.0
+        for w in tokens_of(t):
+            c = word_class.get(w, unknown)
+            step = (steps[before, c] + SMOOTH * (tokens[c] + 1) / (n + classes)) / (steps[before].sum() + SMOOTH)
             base += math.log10((counts[w] + 1) / (n + v + 1))
-            score += math.log10(counts[w] + 1) + terms[before, c]
+            score += math.log10(MIX * step * (counts[w] + 1) / (tokens[c] + kinds[c] + 1) + (1 - MIX) * (counts[w] + 1) / (n + v + 1))
             before = c
-        out.append((len(tokens), sum(counts[w] > 0 for w in tokens), n, round(base, 6), round(score, 6)))
+        out.append((len(tokens_of(t)), sum(counts[w] > 0 for w in tokens_of(t)), n, round(base, 6), round(score, 6)))
     return out
 
 
-def test_scores_equal_a_plain_version(spark, monkeypatch):
+def found(df):
+    return sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in df.collect())
+
+
+def test_scores_equal_a_plain_version(spark):
     rng = random.Random(7)
-    train = [(i, words(rng, rng.randint(1, 60), [f"{a}{b}" for a in "abcdef" for b in ("la", "mo", "ri")])) for i in range(120)]
-    rows = [*train[:40], *odd_rows()]
-    seen = {}
-    real = brown_lm._score
+    heads, tails = [f"{a}la" for a in "abcdefgh"], [f"{a}mo" for a in "abcdefgh"]
+    rare = [f"x{i}" for i in range(40)]
+
+    def text():
+        return " ".join(w for _ in range(rng.randint(1, 30)) for w in (rng.choice(heads), rng.choice(rare) if rng.random() < 0.2 else rng.choice(tails)))
+
+    train = [(i, text()) for i in range(120)]
+    rows = [*train[:40], *odd_rows(), (77, "ala x3 never x5 x6 seen"), (78, "never")]
+    want = sorted(plain([t for _, t in train], [t for _, t in rows], 10, 6))
+    for near in (200_000, 12, 0):  # all words at hand, frequent ones, none
+        assert found(score_texts(crowded(table(spark, rows)), table(spark, train), near=near, classes=6, core=10)) == want
+    # A condition on the rows themselves.
+    both = [(i, t) for i, (_, t) in enumerate(train)]
+    got = score_texts(table(spark, both), F.col("doc_id") % 3 == 0, classes=6, core=10)
+    assert found(got) == sorted(plain([t for i, t in both if i % 3 == 0], [t for _, t in both], 10, 6))
+
+
+def test_words_in_like_places_share_classes_and_help(spark):
+    """Rare words go where their neighbours say; held-out texts are likelier than by the base model."""
+    rng = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "pqr"]
+    text = lambda: " ".join(rng.choice(kinds[i % 3]) for i in range(rng.randint(9, 60)))
+    train = [text() for _ in range(150)]
+    _, word_class, _, _ = plain_model(train, 30, 5)
+    sets = [{word_class[w.encode()] for w in k if w.encode() in word_class} for k in kinds]
+    assert all(len(s) <= 2 for s in sets) and not sets[0] & sets[1] and not sets[1] & sets[2] and not sets[0] & sets[2]
+    got = score_texts(table(spark, [(i, text()) for i in range(40)]), table(spark, list(enumerate(train))), classes=5, core=30).collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.3 * sum(r.n_tokens for r in got)
 
-    def keep(shared, terms, cls):
-        seen.update(tables=shared.value.build(), terms=terms, cls=cls)
-        return real(shared, terms, cls)
 
-    monkeypatch.setattr(brown_lm, "_score", keep)
-    for near in (200_000, 5):
-        got = score_texts(crowded(table(spark, rows)), table(spark, train), near=near, classes=6).collect()
-        unit = lambda w: seen["tables"].unit(w, seen["tables"].place.get(w, brown_lm.OWN_UNITS))
-        want = plain([t for _, t in train], [t for _, t in rows], seen["cls"], unit, seen["terms"])
-        assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
+def test_keys_are_those_of_spark(spark):
+    df = spark.createDataFrame([(b"",), (b"word",), ("größer, 世界".encode(),)], "w binary")
+    assert [(r[1] - 2**64 if r[1] >= 2**63 else r[1]) == r[2] for r in [(x.w, key_of(bytes(x.w)), x.k) for x in df.withColumn("k", F.xxhash64("w")).collect()]] == [True] * 3
 
 
 def test_probabilities_of_a_class_add_up():
     rng = np.random.default_rng(1)
-    pairs = rng.integers(0, 9, (brown_lm.UNITS, brown_lm.UNITS)).astype(float)
-    cls = np.arange(brown_lm.UNITS) % 7
-    tokens, kinds = rng.integers(1, 50, brown_lm.UNITS), rng.integers(1, 9, brown_lm.UNITS)
-    n, v = int(tokens.sum()), int(kinds.sum())
-    terms = 10 ** brown_lm.class_terms(pairs, cls, tokens, kinds, n, v)
-    size = np.bincount(cls, tokens + kinds, 7)
+    steps = rng.integers(0, 90, (7, 7)).astype(float)
+    kinds = rng.integers(1, 9, 7)
+    n, v = int(steps.sum()), int(kinds.sum())
+    terms = 10 ** class_terms(steps, kinds, n, v)
     # All words, and one unknown word a class: the mixed-in unigram model has one for all.
-    total = (terms * (size + 1)).sum(1)
+    total = (terms * (steps.sum(0) + kinds + 1)).sum(1)
     assert np.all(total < 1 + 7 / (n + v + 1)) and np.all(total > 0.999)
 
 
@@ -82,6 +152,8 @@ def test_exchange_ends_where_no_move_helps():
             moved = cls.copy()
             moved[u] = c
             assert likelihood(pairs, moved, 4) <= best + 1e-6
+    apart = exchange_clusters(pairs, 4, rest=True)
+    assert apart[-1] == 4 and max(apart[:-1]) < 4 and apart[0] == 0
 
 
 def test_empty_tables(spark):
