@@ -12,6 +12,9 @@ neighbours, and two equal windows have anchors whose suffixes agree for at least
    Neighbours that share SPAN - PICK bytes or more form a cluster, and within it the first and the last repeated window
    of each anchor is found by comparing bytes. Windows between two repeated ones of an anchor add nothing to their union.
 4. The spans of a document are united and cut out.
+
+The same steps, with a hash of eight bytes for each word, find passages of PASSAGE words or more that occur twice, however
+few bytes they have.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import documents, written
 
 SPAN = 400
+#: Words of the passages that are counted: over 50.
+PASSAGE = 51
+WORD_BYTES = 8
+WORD_PICK = 16  # words
 PICK = 128  # a power of two
 GRAM = 8
 #: Bytes of text that are looked at together.
@@ -52,8 +59,11 @@ def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
     return n
 
 
-def anchors(raws: list[bytes], span: int = SPAN, pick: int = PICK) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text of at least span bytes: its number, and for each anchor its place and its first and last window."""
+def anchors(raws: list[bytes], span: int = SPAN, pick: int = PICK, unit: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text of at least span bytes: its number, and for each anchor its place and its first and last window.
+
+    Windows and anchors are at multiples of unit bytes, and so are span, pick and the texts' lengths.
+    """
     i = 0
     while i < len(raws):
         group, total = [], 0
@@ -65,25 +75,25 @@ def anchors(raws: list[bytes], span: int = SPAN, pick: int = PICK) -> Iterator[t
         if not group:
             continue
         joined = b"".join(raws[k] for k in group)
-        n = len(joined) - GRAM + 1
-        h = np.ndarray((n,), "<u8", joined, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+        n = (len(joined) - GRAM) // unit + 1
+        h = np.ndarray((n,), "<u8", joined, strides=(unit,)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h &= np.uint64(0xFFFFFFFF00000000)
         h |= np.arange(n, dtype=np.uint64)
         width = 1
-        while width < pick:
+        while width < pick // unit:
             h = np.minimum(h[:-width], h[width:])
             width *= 2
         at = (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = 0
         for k in group:
-            size = len(raws[k])
-            own = at[start : start + size - span + 1]
+            size = len(raws[k]) // unit
+            own = at[start : start + size - span // unit + 1]
             cut = np.flatnonzero(own[1:] != own[:-1]) + 1
             first = np.concatenate([[0], cut])
             last = np.concatenate([cut - 1, [len(own) - 1]])
-            yield k, own[first] - start, first, last
+            yield k, (own[first] - start) * unit, first * unit, last * unit
             start += size
 
 
@@ -94,16 +104,33 @@ def _keys(raw: bytes, places: np.ndarray, reach: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[p : p + reach]) for p in places.tolist()], np.uint64).view(np.int64)
 
 
-def _raws(batch: pd.DataFrame) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+class _Words(dict):
+    """Eight bytes for each word."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
+
+        if len(self) > 400_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_digest(word)
+        return found
+
+
+_words = _Words()
 
 
-def _count_keys(span: int, pick: int):
+def _raws(batch: pd.DataFrame, unit: int = 1) -> list[bytes]:
+    """The texts' bytes, or the hashes of their words."""
+    raws = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
+    return raws if unit == 1 else [b"".join(map(_words.__getitem__, r.split())) for r in raws]
+
+
+def _count_keys(span: int, pick: int, unit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = span - pick
         for batch in batches:
-            raws, found, samples = _raws(batch), [], {}
-            for k, places, _, _ in anchors(raws, span, pick):
+            raws, found, samples = _raws(batch, unit), [], {}
+            for k, places, _, _ in anchors(raws, span, pick, unit):
                 keys = _keys(raws[k], places, reach)
                 found.append(keys)
                 for j in np.flatnonzero(keys & 4095 == 0):
@@ -115,13 +142,13 @@ def _count_keys(span: int, pick: int):
     return run
 
 
-def _each_key(span: int, pick: int):
+def _each_key(span: int, pick: int, unit: int):
     """(doc_id, h, place, key) of every anchor, for the join that stands in for sending the keys to every task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raws = _raws(batch)
-            for k, places, _, _ in anchors(raws, span, pick):
+            raws = _raws(batch, unit)
+            for k, places, _, _ in anchors(raws, span, pick, unit):
                 yield pd.DataFrame({"doc_id": [batch["doc_id"].iloc[k]] * len(places), "h": batch["h"].iloc[k], "place": places, "key": _keys(raws[k], places, span - pick)})
 
     return run
@@ -205,7 +232,7 @@ def merge_runs(runs: list[Iterator[tuple]]) -> Iterator[tuple[int, bytes, tuple]
             node //= 2
 
 
-def repeated_windows(cluster: list[tuple[bytes, tuple]], shared: list[int], span: int) -> Iterator[tuple[int, int, tuple]]:
+def repeated_windows(cluster: list[tuple[bytes, tuple]], shared: list[int], span: int, unit: int = 1) -> Iterator[tuple[int, int, tuple]]:
     """For each row with a repeated window: the bytes before its anchor of the first and of the last such window.
 
     cluster: rows (suffix, (before, skip, docs, places)) whose neighbours share shared[i] bytes. A row's windows start at
@@ -218,8 +245,8 @@ def repeated_windows(cluster: list[tuple[bytes, tuple]], shared: list[int], span
         return
     if len(cluster) == 2 and all(len(c[1][2]) == 1 for c in cluster):
         (_, a), (_, b) = cluster
-        most = common_prefix(a[0][::-1], b[0][::-1])
-        least = max(a[1], b[1], span - shared[1])
+        most = common_prefix(a[0][::-1], b[0][::-1]) // unit * unit
+        least = max(a[1], b[1], span - shared[1] // unit * unit)
         if least <= most:
             for row in cluster:
                 yield most, least, row
@@ -252,22 +279,22 @@ def repeated_windows(cluster: list[tuple[bytes, tuple]], shared: list[int], span
 
     if open_rows:
         lowest, highest = min(r[1][1] for r in cluster), max(len(r[1][0]) for r in cluster)
-        most = bounds(range(highest, lowest - 1, -1))
+        most = bounds(range(highest, lowest - 1, -unit))
         if most:
             open_rows = list(most)
-            least = bounds(range(lowest, highest + 1))
+            least = bounds(range(lowest, highest + 1, unit))
             for i in most:
                 yield most[i], least[i], cluster[i]
 
 
-def _sort_runs(span: int, pick: int, splitters: list[bytes], shared_keys):
+def _sort_runs(span: int, pick: int, unit: int, splitters: list[bytes], shared_keys):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = span - pick
         live = shared_keys.value if shared_keys is not None else None
         for batch in batches:
-            raws, contexts = _raws(batch), {}
+            raws, contexts = _raws(batch, unit), {}
             ids, hs = batch["doc_id"].tolist(), batch["h"].tolist()
-            for k, places, first, last in anchors(raws, span, pick):
+            for k, places, first, last in anchors(raws, span, pick, unit):
                 raw = raws[k]
                 if live is not None:
                     keys = _keys(raw, places, reach)
@@ -293,7 +320,7 @@ def _sort_runs(span: int, pick: int, splitters: list[bytes], shared_keys):
     return run
 
 
-def _merge(span: int, pick: int, id_dtype):
+def _merge(span: int, pick: int, unit: int, id_dtype):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, hs, runs, base = [], [], [], 0
         for _, r in rows.iterrows():
@@ -304,7 +331,7 @@ def _merge(span: int, pick: int, id_dtype):
         docs, starts, ends = [], [], []
 
         def solve(cluster, shared):
-            for most, least, (_, (_, _, d, p)) in repeated_windows(cluster, shared, span):
+            for most, least, (_, (_, _, d, p)) in repeated_windows(cluster, shared, span, unit):
                 docs.append(d)
                 starts.append(p - most)
                 ends.append(p - least + span)
@@ -331,30 +358,36 @@ def _merge(span: int, pick: int, id_dtype):
     return run
 
 
+def _united(spans, unit: int) -> list[list[int]]:
+    """The spans of this unit, those that meet joined, in order."""
+    merged: list[list[int]] = []
+    for s, e in sorted((int(x["s"]), int(x["e"])) for x in spans if x["unit"] == unit) if spans is not None else []:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    return merged
+
+
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for doc_id, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
             raw, kept, at, n, removed = text.encode("utf-8", "surrogatepass"), hashlib.sha256(), 0, 0, 0
-            merged: list[list[int]] = []
-            for span in sorted((int(x["s"]), int(x["e"])) for x in spans) if spans is not None else []:
-                if merged and span[0] <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], span[1])
-                else:
-                    merged.append(list(span))
-            for s, e in merged:
+            for s, e in _united(spans, 1):
                 kept.update(raw[at:s])
                 removed, at, n = removed + e - s, e, n + 1
             kept.update(raw[at:])
-            rows.append((doc_id, len(raw), removed, n, kept.hexdigest()))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            words = sum(e - s for s, e in _united(spans, WORD_BYTES)) // WORD_BYTES
+            rows.append((doc_id, len(raw), removed, n, kept.hexdigest(), words))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"])
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, pick: int = PICK, near_keys: int = NEAR_KEYS) -> DataFrame:
-    """doc_id, h, s, e: stretches of bytes that repeated windows cover, in docs (doc_id, h, text)."""
+def repeated_spans(docs: DataFrame, span: int = SPAN, pick: int = PICK, near_keys: int = NEAR_KEYS, unit: int = 1) -> DataFrame:
+    """doc_id, h, s, e: stretches of bytes, or of the hashes of words, that repeated windows cover, in docs (doc_id, h, text)."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counted = docs.mapInPandas(_count_keys(span, pick), "key long, n long, sample binary").groupBy("key").agg(F.sum("n").alias("n"), F.max("sample").alias("sample"))
+    counted = docs.mapInPandas(_count_keys(span, pick, unit), "key long, n long, sample binary").groupBy("key").agg(F.sum("n").alias("n"), F.max("sample").alias("sample"))
     live = written(counted.where("n > 1"), "suffix-keys")
     total, n_live = live.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).head()
     sample = sorted(bytes(r["sample"]) for r in live.where("sample is not null").orderBy("key").limit(SAMPLES).select("sample").collect())
@@ -362,18 +395,21 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, pick: int = PICK, near_key
     splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
     if n_live <= near_keys:
         keys = spark.sparkContext.broadcast(np.sort(live.select("key").toArrow()["key"].to_numpy()))
-        runs = docs.mapInPandas(_sort_runs(span, pick, splitters, keys), f"part int, run binary, ids array<{id_type}>, hs array<long>")
+        runs = docs.mapInPandas(_sort_runs(span, pick, unit, splitters, keys), f"part int, run binary, ids array<{id_type}>, hs array<long>")
     else:
-        places = docs.mapInPandas(_each_key(span, pick), f"doc_id {id_type}, h long, place long, key long").join(live.select("key"), "key")
+        places = docs.mapInPandas(_each_key(span, pick, unit), f"doc_id {id_type}, h long, place long, key long").join(live.select("key"), "key")
         places = places.groupBy("doc_id", "h").agg(F.collect_set("place").alias("places")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "places")
         some = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "text", "places")
-        runs = some.mapInPandas(_sort_runs(span, pick, splitters, None), f"part int, run binary, ids array<{id_type}>, hs array<long>")
+        runs = some.mapInPandas(_sort_runs(span, pick, unit, splitters, None), f"part int, run binary, ids array<{id_type}>, hs array<long>")
     dtype = "Int64" if id_type in ("bigint", "int", "smallint", "tinyint") else object
-    return runs.groupBy("part").applyInPandas(_merge(span, pick, dtype), f"doc_id {id_type}, h long, s long, e long")
+    return runs.groupBy("part").applyInPandas(_merge(span, pick, unit, dtype), f"doc_id {id_type}, h long, s long, e long")
+
 
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, pick: int = PICK, near_keys: int = NEAR_KEYS, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_words for each row of df.
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, pick: int = PICK, near_keys: int = NEAR_KEYS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of df.
+    n_passage_words: the words that lie in passages of at least `passage` words which also begin anywhere else; nothing is
+    removed for these.
 
     Null texts count as empty, and texts of under `span` bytes lose nothing. Rows with equal texts lose all that is
     longer, also when their ids are equal. An empty table gives an empty table; extra columns are ignored.
@@ -381,9 +417,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     id_type = df.schema[doc_id].dataType.simpleString()
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     spans = written(repeated_spans(docs.where(F.octet_length("text") >= span), span, pick, near_keys), "suffix-spans")
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
+    words = written(repeated_spans(docs.where(F.octet_length("text") >= 2 * passage - 1), passage * WORD_BYTES, WORD_PICK * WORD_BYTES, near_keys, WORD_BYTES), "passage-spans")
+    spans = spans.withColumn("unit", F.lit(1)).unionByName(words.withColumn("unit", F.lit(WORD_BYTES)))
+    spans = spans.groupBy("doc_id", "h").agg(F.collect_set(F.struct("unit", "s", "e")).alias("spans")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
     joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(_cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInPandas(_cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long")
 
 
 def op7_remove_repeats(spark, sf_dir: str) -> DataFrame:

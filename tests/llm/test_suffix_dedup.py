@@ -71,3 +71,39 @@ def test_runs_merge_in_order():
     assert [s for _, s, _ in merged] == sorted(s for run in runs for s in run)
     for (_, a, _), (n, b, _) in zip(merged, merged[1:], strict=False):
         assert n == common_prefix(a, b)
+
+
+def plain_words(rows, passage):
+    texts = [(t or "").encode().split() for _, t in rows]
+    seen = Counter(tuple(w[i : i + passage]) for w in texts for i in range(len(w) - passage + 1))
+    out = []
+    for (doc, _), w in zip(rows, texts, strict=True):
+        covered = {j for i in range(len(w) - passage + 1) if seen[tuple(w[i : i + passage])] > 1 for j in range(i, i + passage)}
+        out.append((str(doc), len(covered)))
+    return sorted(out)
+
+
+def test_words_of_repeated_passages_equal_brute_force(spark):
+    for seed, passage in ((1, 20), (2, 51)):
+        rng = random.Random(seed)
+        text = lambda n: " ".join(rng.choice(["a", "b", "c", "de", "é"]) for _ in range(n))
+        shared = [text(rng.randint(passage - 4, passage + 12)) for _ in range(8)]
+        rows = [(i, "  ".join([text(rng.randint(0, 40)), rng.choice(shared), text(rng.randint(0, 9)), *([rng.choice(shared)] if i % 3 == 0 else [])])) for i in range(60)]
+        rows += [(100, "x " * 150), rows[3], (101, rows[4][1] + " "), (102, None), (103, " \n")]
+        want = plain_words(rows, passage)
+        assert any(n for _, n in want) and any(not n for _, n in want)
+        for near in (2_000_000, 0):
+            got = remove_repeats(crowded(table(spark, rows)), passage=passage, near_keys=near).collect()
+            assert sorted((str(r.doc_id), r.n_passage_words) for r in got) == want
+
+
+def test_short_passages_of_many_words_are_told(spark):
+    """A passage of over 50 words and under 400 bytes stays, as the span asks, and is counted; other texts have none."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = text(54)
+    assert len(passage) < 400
+    rows = [(i, text(100) + " " + passage + " " + text(60)) for i in range(5)] + [(i, text(200)) for i in range(10, 20)]
+    got = {r.doc_id: r for r in remove_repeats(table(spark, rows)).collect()}
+    assert all(got[i].n_passage_words == 54 and got[i].n_removed == 0 for i in range(5))
+    assert all(got[i].n_passage_words == 0 and got[i].n_removed == 0 for i in range(10, 20))
