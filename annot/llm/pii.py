@@ -4,13 +4,16 @@ The base spans come from the contract's patterns. The tagger is trained in numpy
 sample of documents with their base spans, some of them rewritten in forms that the patterns miss, and windows without
 any. It then reads every character of every text in overlapping windows. A window whose best path is outside any kind
 throughout (shown by a bound on what transitions can add) ends there; the others are decoded. A span counts in the window
-in whose core it begins; spans that meet a base span or fail the kind's check of digits are dropped, base spans stay.
+in whose core it begins. Where it touches that window's edge, the text around it is read once more as one window with the
+span in its midst, which has the last word. Spans that meet a base span or fail the kind's check of digits are dropped,
+base spans stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -341,14 +344,40 @@ class Tagger:
         return out, most + (self.enter + self.leave - self.stay) > 0
 
     def __call__(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """text number, start, kind and end of the spans of all texts."""
         step, places, parts = WINDOW - OVERLAP, [], []
-        for k, text in enumerate(texts):
-            if text:
-                c = char_classes(text)
-                for a in range(0, max(1, len(c) - OVERLAP), step):
-                    places.append((k, a, len(c)))
-                    parts.append(c[a : a + WINDOW])
-        found = []
+        classes = [char_classes(text) for text in texts]
+        for k, c in enumerate(classes):
+            for a in range(0, max(1, len(c) - OVERLAP), step) if len(c) else ():
+                places.append((k, a))
+                parts.append(c[a : a + WINDOW])
+        found, open_spans = set(), []
+        for i, s, kind, e in self.decoded(parts):
+            (k, a), size = places[i], len(classes[places[i][0]])
+            core_lo = a + (OVERLAP // 2 if a else 0)
+            core_hi = size if a + WINDOW >= size else a + WINDOW - OVERLAP // 2
+            if core_lo <= a + s < core_hi:
+                if (e == WINDOW and a + e < size) or (s == 0 and a):
+                    open_spans.append((k, a + s, a + e))
+                else:
+                    found.add((k, a + s, kind, a + e))
+        # Spans at an edge: what a window of twice the length around them says of the place.
+        firsts = [max(0, s - WINDOW // 2) for _, s, _ in open_spans]
+        for i, s, kind, e in self.decoded([classes[k][a : a + 2 * WINDOW] for (k, _, _), a in zip(open_spans, firsts, strict=True)]):
+            k, lo, hi = open_spans[i]
+            if firsts[i] + s < hi and firsts[i] + e > lo:
+                found.add((k, firsts[i] + s, kind, firsts[i] + e))
+        # Of spans that meet, from different windows, the longest stays.
+        out: list[tuple[int, int, int, int]] = []
+        for k, s, kind, e in sorted(found, key=lambda x: (x[0], x[1] - x[3], x[1], x[2])):
+            at = bisect_left(out, (k, s))
+            near = out[max(0, at - 1) : at + 1]
+            if all(x[0] != k or e <= x[1] or s >= x[3] for x in near):
+                out.insert(at, (k, s, kind, e))
+        return out
+
+    def decoded(self, parts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """Part number, start, kind and end of the spans on each part's best path."""
         # Windows of like length go together, so that little is read beyond the ends.
         order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
         for lo in range(0, len(order), BATCH):
@@ -363,16 +392,12 @@ class Tagger:
                 continue
             tags = viterbi(np.ascontiguousarray(e[:, :, some]), self.move, self.m["start"])
             for r, col in zip(some, tags.T, strict=True):
-                k, a, size = places[group[r]]
-                core_lo = a + (OVERLAP // 2 if a else 0)
-                core_hi = size if a + WINDOW >= size else a + WINDOW - OVERLAP // 2
-                for s in np.flatnonzero((col > 0) & (col % 2 == 1)):
+                size = len(parts[group[r]])
+                for s in np.flatnonzero((col[:size] > 0) & (col[:size] % 2 == 1)):
                     end = s + 1
-                    while end < len(col) and col[end] == col[s] + 1:
+                    while end < size and col[end] == col[s] + 1:
                         end += 1
-                    if core_lo <= a + s < core_hi:
-                        found.append((k, int(a + s), int(col[s] // 2), int(min(a + end, size))))
-        return sorted(found)
+                    yield group[r], int(s), int(col[s] // 2), end
 
 
 def accepted(kind: int, text: str) -> bool:
