@@ -20,8 +20,9 @@ from .common import documents, fold_of, labels, seeded, written
 
 #: The fit uses at most so many labelled documents, those with the lowest seeded hash.
 FIT_ROWS = 16_000
-#: Words and beginnings of words whose association with toxic documents is strongest.
-FIT_WORDS = 3000
+#: A word or beginning can have a weight if it is in so many toxic documents of those, and in so many standard deviations
+#: more than chance explains. Which of these have one is the fit's choice, by a penalty on the weights' sum.
+LEAST_TOXIC, LEAST_Z, PENALTY = 3, 3.0, 3e-5
 BEGINNINGS = range(3, 9)
 #: Words that a Python worker remembers.
 MEMO = 200_000
@@ -72,8 +73,8 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), "n_toxic": [toxic[f] for f in seen]})
 
 
-def telling_words(sample: DataFrame, most: int) -> list[str]:
-    """Words found in more toxic documents than chance explains, most telling first, at most `most`."""
+def telling_words(sample: DataFrame) -> list[str]:
+    """Words found in more toxic documents than chance explains, as many as there are: the sample bounds them."""
     total = sample.agg(F.count(F.lit(1)), F.sum("label")).head()
     n, n_toxic = total[0], total[1] or 0
     if not n_toxic or n_toxic == n:
@@ -81,7 +82,7 @@ def telling_words(sample: DataFrame, most: int) -> list[str]:
     p = n_toxic / n
     counts = sample.mapInPandas(_word_counts, "word string, n long, n_toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
     z = (F.col("n_toxic") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    return [r[0] for r in counts.where("n_toxic >= 4").withColumn("z", z).where("z > 5").orderBy(F.col("z").desc(), "word").limit(most).collect()]
+    return sorted(r[0] for r in counts.where(F.col("n_toxic") >= LEAST_TOXIC).where(z > LEAST_Z).select("word").collect())
 
 
 def _bags(words: dict[str, int]):
@@ -102,9 +103,10 @@ def _bags(words: dict[str, int]):
     return run
 
 
-def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k: int, steps: int = 500, rate: float = 0.05, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k: int, steps: int = 500, rate: float = 0.05, ridge: float = 3e-4, lasso: float = PENALTY) -> tuple[np.ndarray, float]:
     """Weights of k words and the bias, by gradient ascent (Adam) on the log-likelihood of the labels.
 
+    Penalties on the weights' squares and on their sum; the second, taken as a proximal step, makes most of them zero.
     Sentences without a known word all have the bias's probability; they enter by their number.
     """
     docs = len(label)
@@ -125,22 +127,24 @@ def fit_noisy_or(label: np.ndarray, n: np.ndarray, sentence: list, word: list, k
         gz = pull[bag] * p
         g = np.append(np.bincount(ids, gz[inst], k)[:k] / docs - ridge * w, (gz.sum() + (pull * plain).sum() * p0) / docs)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        pace = rate / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        step = pace * (m / (1 - 0.9**t))
         w, b = w + step[:-1], b + step[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(pace[:-1] * lasso, rate), 0)
     return w, float(b)
 
 
-def fit_toxicity(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS) -> tuple[dict[str, float], float]:
-    """Weight of each telling word, and the bias. marked: doc_id and label (1 toxic, 0 not)."""
+def fit_toxicity(df: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
+    """Weight of each word that has one, and the bias. marked: doc_id and label (1 toxic, 0 not)."""
     rows = marked.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(seeded(F.lit(SEED), F.col("doc_id")), "doc_id").limit(fit_rows)
     texts = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     sample = written(texts.join(rows.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id").select("text", "label"), "toxic-sample")
-    words = {w: i for i, w in enumerate(telling_words(sample, fit_words))}
+    words = {w: i for i, w in enumerate(telling_words(sample))}
     bags = sample.mapInPandas(_bags(words), "label int, n int, sentence array<int>, word array<int>").toArrow().to_pandas()
     if not len(bags):
         return {}, -6.0
     w, b = fit_noisy_or(bags["label"].to_numpy(), bags["n"].to_numpy(), list(bags["sentence"]), list(bags["word"]), len(words))
-    return {x: float(w[i]) for x, i in words.items()}, b
+    return {x: float(w[i]) for x, i in words.items() if w[i]}, b
 
 
 def _score(weights: dict[str, float], bias: float):
