@@ -2,10 +2,11 @@
 
 Texts with equal sets of shingles form one class and are joined once. Each class gets a MinHash signature, its sample of
 tokens. A run sends every class down a tree: a node picks one or two places of the signature by its own hash, and the
-classes at the node move to the children that the values at those places name. Nodes with few classes are leaves; larger
-ones are compared with one of their classes, which those much like it are linked to, and the rest is split again. In a leaf, signatures are compared by brute force, and classes that look similar are linked to one
-of them. Runs are repeated so often that a pair at the threshold is met with the target probability; classes that
-went deeper than usual get more of them.
+classes at the node move to the children that the values at those places name. Nodes with few classes are leaves: there
+signatures are compared by brute force, and classes that look similar are linked to one of them. Runs are repeated so
+often that a pair at the threshold is met with the target probability. The classes of nodes that are still large after
+the usual number of steps are compared with one of them; those that aren't much like it go down again, deeper and in more
+runs, through nodes that hold classes which no links join yet.
 
 Linked classes form candidate groups. Within each group all pairs are verified on the full sets: small groups many to a
 task, large groups in blocks of bounded size, one task for each pair of blocks. A task returns the number of links of
@@ -204,16 +205,17 @@ def descend(classes: DataFrame, runs: range, depths: int, threshold: float) -> t
         full = sized.where(F.col("count") > LEAF).select("id", "comp", "node", "hub")
         if not full.limit(1).count():
             break
-        # A large node's classes are compared with one of them. Those much like it leave: what is near them is near it
-        # too, as 1 - similarity is a distance, and so is linked to it.
-        full = full.join(known, "id").join(known.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        full = full.join(known, "id")
+        if depth < depths:
+            level = full.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+            continue
+        # Nodes that are still large are compared with one of their classes. Those much like it need no more: what is
+        # near them is near it too, as 1 - similarity is a distance, and so is linked to it.
+        full = full.join(known.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
         share = sum(((F.get("sig", F.lit(k)) == F.get("hub_sig", F.lit(k))).cast("int") for k in range(PLACES)), F.lit(0)) / float(PLACES)
-        full = written(full.select("id", "comp", "node", "sig", "hub", share.alias("share")), f"path-hubs-{depth}")
+        full = written(full.select("id", "hub", share.alias("share")), "path-hubs")
         links.append(full.where(F.col("share") >= threshold - MARGIN).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-        rest = full.where((F.col("share") < (1 + threshold) / 2) & (F.col("id") != F.col("hub")))
-        if depth == depths:
-            left = rest.select("id", "hub")
-        level = rest.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+        left = full.where((F.col("share") < (1 + threshold) / 2) & (F.col("id") != F.col("hub"))).select("id", "hub")
     sketch = known.select("id", F.unhex(F.concat_ws("", F.transform("sig", lambda x: F.lpad(F.hex(F.pmod(x, F.lit(256))), 2, "0")))).alias("sketch"))
     compared = reduce(DataFrame.unionByName, leaves).join(sketch, "id").repartition("node").sortWithinPartitions("node", "id").mapInPandas(_leaf_links(threshold), "a long, b long")
     return reduce(DataFrame.unionByName, [compared, *links]).where("a <> b"), left
