@@ -1,12 +1,13 @@
 """Packing of tokenised documents into sequences of bounded length by bin completion.
 
 Tokenising runs in Spark's tasks; a text longer than a sequence is cut so that all its pieces but the first fill one.
-The other pieces are dealt at random to shards of a bounded number of pieces, and each shard is packed by itself: around
-the largest piece left, the fillings of the remaining room are searched from large pieces to small ones, so that a
-filling that others dominate is met after them, and the first one without waste, else the one with least, is taken for
-as many bins as the counts allow. The last pieces of a shard are packed by branch and bound: all fillings of a bin are
-tried in the order of their waste, a branch ends when its waste exceeds what one bin less than the incumbent's would
-leave, and best-fit gives the first incumbent. A shard wastes about one bin in its thousands at most.
+The other pieces are dealt at random to shards of a bounded number of pieces, and each shard is packed by itself, by branch
+and bound on the numbers of pieces of each size. Best-fit gives the first incumbent; if it has as few bins as all sizes
+together need, it stands. Else the undominated fillings of the room around the largest piece left are tried in the order
+of their waste, each for as many bins alike as the numbers allow, and a branch ends when its waste exceeds what one bin
+less than the incumbent's would leave. A filling is dominated if a piece left out could replace some of its pieces that
+are no larger together, or be added. When a bound on the nodes is reached, the branch at hand is ended with the first
+fillings, and the best packing so far is taken.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded words that a Python worker remembers.
 MEMO = 200_000
-FILL_NODES, TAIL_PIECES, TAIL_NODES = 400, 48, 4000
+#: Nodes that the search for the first filling of a bin, and that for the fillings of a whole shard, may take.
+FILL_NODES, SHARD_NODES = 400, 60_000
 
 
 class Encoder:
@@ -109,7 +111,7 @@ def token_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     return texts.mapInPandas(_pieces(files or tokenizer_files(), length), f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def _filling(counts: np.ndarray, mask: int, room: int, nodes: int) -> list[int]:
+def _filling(counts: list[int], mask: int, room: int, nodes: int) -> list[int]:
     """The sizes, large ones first, that fill `room` best, of sizes with a bit in mask and no more often than counted."""
     best, least, left = [], room, [nodes]
 
@@ -132,100 +134,148 @@ def _filling(counts: np.ndarray, mask: int, room: int, nodes: int) -> list[int]:
     return best
 
 
-def _best_fit(sizes: list[int], cap: int) -> list[list[int]]:
+def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
+    """Bins by best-fit, large sizes first: each goes where least room is left."""
     bins: list[list[int]] = []
-    rooms: list[int] = []
+    by_room: list[list[int]] = [[] for _ in range(cap + 1)]
+    rooms = 0  # a bit for each room that some bin has
     for s in sorted(sizes, reverse=True):
-        fits = [i for i, r in enumerate(rooms) if r >= s]
+        fits = rooms >> s
         if fits:
-            i = min(fits, key=rooms.__getitem__)
+            room = s + (fits & -fits).bit_length() - 1
+            i = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
             bins[i].append(s)
-            rooms[i] -= s
         else:
+            room, i = cap, len(bins)
             bins.append([s])
-            rooms.append(cap - s)
+        by_room[room - s].append(i)
+        rooms |= 1 << (room - s)
     return bins
 
 
-def _all_fillings(sizes: list[int], room: int, limit: int) -> list[list[int]]:
-    """Maximal multisets of sizes (descending) that fit into room, least waste first."""
-    found: list[list[int]] = []
-
-    def rec(i: int, room: int, chosen: list[int]) -> None:
-        if len(found) >= limit:
-            return
-        more, last = False, None
-        for j in range(i, len(sizes)):
-            if sizes[j] <= room and sizes[j] != last:
-                more, last = True, sizes[j]
-                rec(j + 1, room - sizes[j], [*chosen, sizes[j]])
-        if not more:
-            found.append(chosen)
-
-    rec(0, room, [])
-    return sorted(found, key=lambda f: (-sum(f), [-x for x in f]))
-
-
-def branch_and_bound(sizes: list[int], cap: int, nodes: int = TAIL_NODES) -> list[list[int]]:
-    """Bins of a few sizes: fewest, unless the nodes run out before it is shown."""
-    best, total, left = _best_fit(sizes, cap), sum(sizes), nodes
-
-    def rec(rest: list[int], bins: list[list[int]], waste: int) -> None:
-        nonlocal best, left
-        if not rest:
-            if len(bins) < len(best):
-                best = bins
+def dominated(filling: list[int], counts: list[int], mask: int, room: int) -> bool:
+    """Whether a size that is left could replace some of the filling's that are no larger together, or be added to it."""
+    one, more = 0, 0  # sums of one or more, and of two or more
+    for x in filling:
+        more |= (one << x) | (more << x)
+        one |= more | (1 << x)
+        if counts[x] <= filling.count(x):
+            mask &= ~(1 << x)
+    waste = room - sum(filling)
+    reach, width = (one | 1) << 1, 1
+    while width < waste:
+        reach |= reach << min(width, waste - width)
+        width *= 2
+    return bool(mask & (more | (reach if waste else 0)))
+
+
+def fillings_in_order(counts: list[int], mask: int, room: int, left: list[int]) -> Iterator[list[int]]:
+    """Undominated fillings of the room, least waste first, large sizes first among these; ends when left[0] nodes are used up."""
+    sizes = [s for s in range(room, 0, -1) if mask >> s & 1]
+    reach = [1] * (len(sizes) + 1)  # sums of the sizes from each place on
+    for i in range(len(sizes) - 1, -1, -1):
+        sums = reach[i + 1]
+        for _ in range(min(counts[sizes[i]], room // sizes[i])):
+            sums |= sums << sizes[i]
+        reach[i] = sums & ((1 << (room + 1)) - 1)
+
+    def exact(i: int, total: int, chosen: list[int]) -> Iterator[list[int]]:
+        left[0] -= 1
+        if not total:
+            yield chosen
+        elif i < len(sizes) and left[0] > 0:
+            s = sizes[i]
+            for k in range(min(counts[s], total // s), -1, -1):
+                if reach[i + 1] >> (total - k * s) & 1:
+                    yield from exact(i + 1, total - k * s, [*chosen, *[s] * k])
+
+    for total in range(room, -1, -1):
+        if left[0] <= 0:
             return
-        first, others = rest[0], rest[1:]
-        for f in _all_fillings(others, cap - first, 200):
-            left -= 1
-            more = waste + cap - first - sum(f)
-            if left <= 0 or more > (len(best) - 1) * cap - total:
-                return
-            after = others.copy()
-            for s in f:
-                after.remove(s)
-            rec(after, [*bins, [first, *f]], more)
-
-    if len(best) > -(-total // cap):
-        rec(sorted(sizes, reverse=True), [], 0)
+        if reach[0] >> total & 1:
+            for f in exact(0, total, []):
+                if not dominated(f, counts, mask, room):
+                    yield f
+
+
+def _fillings(counts: list[int], mask: int, room: int, left: list[int]) -> Iterator[list[int]]:
+    """At least one filling of the room, and all others in order while nodes are left."""
+    left[0] -= 1
+    first, told = _filling(counts, mask, room, FILL_NODES), False
+    if sum(first) == room or left[0] <= 0:  # without waste, and met before those that it dominates
+        told = True
+        yield first
+    if left[0] > 0:
+        for f in fillings_in_order(counts, mask, room, left):
+            if not (told and f == first):
+                told = True
+                yield f
+    if not told:
+        yield first
+
+
+def branch_and_bound(sizes: list[int], cap: int, nodes: int = SHARD_NODES) -> list[list[int]]:
+    """Bins of the sizes: fewest, unless the nodes run out before it is shown."""
+    best, total, left = best_fit(sizes, cap), sum(sizes), [nodes]
+    least = -(-total // cap)
+    if len(best) <= least:
+        return best
+    counts = [0] * (cap + 1)
+    for s in sizes:
+        counts[s] += 1
+    waste, path, stack = 0, [], []
+
+    def put(pattern: list[int], times: int) -> None:
+        for s in pattern:
+            counts[s] -= times
+
+    def options() -> Iterator[list[int]]:
+        rest = counts.copy()
+        largest = max(s for s in range(cap + 1) if rest[s])
+        rest[largest] -= 1
+        mask = sum(1 << s for s in range(1, cap + 1) if rest[s])
+        return ([largest, *f] for f in _fillings(rest, mask, cap - largest, left))
+
+    stack.append(options())
+    while stack:
+        if len(path) == len(stack):  # back at a step that was taken
+            pattern, times = path.pop()
+            put(pattern, -times)
+            waste -= (cap - sum(pattern)) * times
+        pattern = next(stack[-1], None)
+        most = (len(best) - 1) * cap - total
+        if pattern is None or waste + cap - sum(pattern) > most:
+            stack.pop()
+            continue
+        times = min(counts[s] // pattern.count(s) for s in set(pattern))
+        if waste + (cap - sum(pattern)) * times > most:
+            times = 1
+        put(pattern, times)
+        path.append((pattern, times))
+        waste += (cap - sum(pattern)) * times
+        if any(counts):
+            stack.append(options())
+            continue
+        best = [p for p, n in path for _ in range(n)]
+        if len(best) <= least:
+            break
     return best
 
 
 def complete_bins(lengths: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and place within the bin of each length."""
-    counts = np.bincount(lengths, minlength=cap + 1).astype(np.int64)
-    mask = sum(1 << int(s) for s in np.flatnonzero(counts))
-    patterns: list[tuple[list[int], int]] = []
-    left = len(lengths)
-    while left > TAIL_PIECES:
-        largest = mask.bit_length() - 1
-        counts[largest] -= 1
-        filling = _filling(counts, mask if counts[largest] else mask ^ (1 << largest), cap - largest, FILL_NODES)
-        counts[largest] += 1
-        pattern = [largest, *filling]
-        times = min(int(counts[s]) // pattern.count(s) for s in set(pattern))
-        for s in pattern:
-            counts[s] -= times
-            if not counts[s]:
-                mask &= ~(1 << s)
-        patterns.append((pattern, times))
-        left -= times * len(pattern)
-    if left:
-        patterns += [(b, 1) for b in branch_and_bound([int(s) for s in np.repeat(np.arange(cap + 1), counts)], cap)]
-
     order = np.argsort(lengths, kind="stable")
     next_of = np.searchsorted(lengths[order], np.arange(cap + 2))
-    bins, places, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for pattern, times in patterns:
-        for _ in range(times):
-            at = 0
-            for s in pattern:
-                i = order[next_of[s]]
-                next_of[s] += 1
-                bins[i], places[i] = n, at
-                at += s
-            n += 1
+    bins, places = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    for n, pattern in enumerate(branch_and_bound(lengths.tolist(), cap)):
+        at = 0
+        for s in pattern:
+            i = order[next_of[s]]
+            next_of[s] += 1
+            bins[i], places[i] = n, at
+            at += s
     return bins, places
 
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from annot.llm.packing import Encoder, branch_and_bound, complete_bins, pack, tokenizer_files
+from annot.llm.packing import Encoder, best_fit, branch_and_bound, complete_bins, dominated, fillings_in_order, pack, tokenizer_files
 
 from .cases import crowded, odd_rows, table, words
 
@@ -39,6 +39,46 @@ def test_branch_and_bound_finds_the_fewest_bins():
         assert len(branch_and_bound(sizes, 12)) == fewest(sizes, 12)
 
 
+def test_branch_and_bound_betters_best_fit():
+    # Best-fit puts 6 with 5; 6 4 2, 5 4 3 fill two bins of 12.
+    assert len(best_fit([6, 5, 4, 4, 3, 2], 12)) == 3 and len(branch_and_bound([6, 5, 4, 4, 3, 2], 12)) == 2
+    rng, better = random.Random(5), 0
+    for _ in range(30):
+        sizes = [x for _ in range(12) for x in (lambda a, b: (a, b, 100 - a - b))(rng.randint(30, 45), rng.randint(20, 30))]
+        found = branch_and_bound(sizes, 100)
+        assert sorted(s for b in found for s in b) == sorted(sizes) and all(sum(b) <= 100 for b in found)
+        assert len(found) <= len(best_fit(sizes, 100))
+        better += len(found) < len(best_fit(sizes, 100))
+    assert better >= 3
+
+
+def test_fillings_are_undominated_and_in_order():
+    import itertools
+
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = [rng.randint(1, 9) for _ in range(7)]
+        counts = [sizes.count(s) for s in range(30)]
+        mask = sum(1 << s for s in set(sizes))
+        room = rng.randint(3, 16)
+        every = {tuple(sorted(c, reverse=True)) for n in range(8) for c in itertools.combinations(sizes, n) if sum(c) <= room}
+
+        def worse(f):
+            waste = room - sum(f)
+            for s in set(sizes):
+                if counts[s] > f.count(s):
+                    for n in range(len(f) + 1):
+                        for part in itertools.combinations(f, n):
+                            if part != (s,) and s - waste <= sum(part) <= s and (sum(part) < s or n > 1):
+                                return True
+            return False
+
+        got = [tuple(f) for f in fillings_in_order(counts, mask, room, [10**6])]
+        assert len(set(got)) == len(got) and set(got) == {f for f in every if not worse(f)}
+        assert [room - sum(f) for f in got] == sorted(room - sum(f) for f in got)
+        assert all(dominated(list(f), counts, mask, room) == worse(f) for f in every)
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
