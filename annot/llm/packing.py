@@ -32,7 +32,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 #: Encoded words that a Python worker remembers.
 MEMO = 200_000
 #: Nodes that the search for the first filling of a bin, and that for the fillings of a whole shard, may take.
-FILL_NODES, SHARD_NODES = 400, 60_000
+FILL_NODES, SHARD_NODES = 400, 20_000
 
 
 class Encoder:
