@@ -41,3 +41,20 @@ def test_weights_order_by_preference():
     y = (x[:, 0] + 0.01 * x[:, 1] > 0).astype(int)
     w, cut, _ = fit_bradley_terry(x, y, pairs=3000)
     assert (((x @ w) >= cut) == y).mean() > 0.98
+
+
+def test_odd_rows_with_labels(spark):
+    """Null, empty, repeated, very long and non-ASCII texts meet a model that was trained."""
+    good, bad = corpus()
+    rng = random.Random(2)
+    odd = [(i and i + 7000, t) for i, t in odd_rows()] + [(6000, words(rng, 60_000) + "."), (6001, "WORD!! " * 20_000), (6002, "Ünïcode größer 世界 🙂. " + words(rng, 50)), (None, good[0][1])]
+    marked = spark.createDataFrame([(i, 1) for i, _ in good[::2]] + [(i, 0) for i, _ in bad[::2]] + [(7001, 0), (7004, 1), (None, 0)], "doc_id long, label int")
+    got = quality_scores(crowded(table(spark, good + bad + odd)), marked).collect()
+    assert len(got) == len(good) + len(bad) + len(odd) and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert by[7001] == by[7002] and len(by[7004]) == 2 and len(set(by[7004])) == 1 and by[good[0][0]][0] in by[None]
+    assert by[6000][0] > 0.5 > by[6001][0]
+    kept = drop_low_quality(crowded(table(spark, good + bad + odd)), marked)
+    assert kept.count() == sum(r.predicted for r in got)

@@ -41,3 +41,24 @@ def test_odd_rows(spark):
     assert all(r.score == 0 for r in got if r.doc_id in (1, 2))
     assert toxicity_scores(table(spark, []), none).count() == 0
     assert sentences("a. b\nc!") == [(0, 1), (2, 4), (5, 6)]
+
+
+def test_odd_rows_with_labels(spark):
+    """Null, empty, repeated, very long and non-ASCII texts meet a model that was trained, and clashing columns."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(100, 500):
+        toxic = i % 4 == 0
+        rows.append((i, words(rng, 20) + (". foul vile. " if toxic else ". ") + words(rng, 9)))
+        labels.append((i, int(toxic)))
+    odd = odd_rows() + [(600, "foul vile"), (600, "foul vile"), (601, words(rng, 30_000) + ". foul vile thing. " + words(rng, 30_000)), (602, "FOUL VILE \u0130\u00df \U0001f642"), (None, "foul vile")]
+    marked = spark.createDataFrame([*labels, (1, 0), (2, 1), (4, 0), (None, 1), (600, None)], "doc_id long, label int")
+    got = toxicity_scores(crowded(table(spark, rows + odd)), marked).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[1][0].score == by[2][0].score == 0
+    assert len({(r.score, r.predicted) for r in by[600]}) == 1 and by[600][0].predicted == 1
+    assert by[601][0].predicted == by[602][0].predicted == 1 and by[None][0].score in {by[600][0].score, min(r.score for r in by[None])}
+    assert all(r.predicted == 0 for r in by[10] + by[9])
