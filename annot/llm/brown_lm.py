@@ -36,10 +36,10 @@ MIX = 0.95
 #: Weight of the unigram class distribution in each class's transitions, in counts.
 SMOOTH = 20.0
 #: Distinct words that a task counts before it hands them on, and words whose numbers it remembers.
-FLUSH = 400_000
+FLUSH, MEMO = 300_000, 200_000
 END = b""  # no word is empty
-#: Characters of text that a task looks at together.
-CHUNK = 2_000_000
+#: Characters of text that a task looks at together; more where that makes rows fewer.
+CHUNK, LARGE_CHUNK = 1_000_000, 4_000_000
 _OPEN = 65535  # a transition whose classes aren't both known yet
 
 
@@ -48,14 +48,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame], most: int = CHUNK) -> Iterator[pd.DataFrame]:
     """Batches cut into parts of some millions of characters, of one text at least."""
     for batch in batches:
         total = batch["text"].str.len().cumsum().to_numpy()
         start = 0
         while start < len(batch):
             done = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, done + CHUNK, side="right")))
+            stop = max(start + 1, int(np.searchsorted(total, done + most, side="right")))
             yield batch.iloc[start:stop]
             start = stop
 
@@ -87,7 +87,7 @@ class _Codes(dict):
         super().__init__(self.core)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
+        if len(self) > MEMO:
             self.clear()
             self.update(self.core)
         found = self[word] = -1 - (key_of(word) >> 1)
@@ -144,7 +144,7 @@ def _neighbours(core: list[bytes], cls: np.ndarray):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, units = _Codes(core), len(core) + 2
-        for batch in _chunks(batches):
+        for batch in _chunks(batches, LARGE_CHUNK):
             words, lengths = _tokens(batch["text"])
             at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
             c = cls[np.where(at < 0, units - 1, at)].astype(np.uint8)
@@ -152,7 +152,9 @@ def _neighbours(core: list[bytes], cls: np.ndarray):
             if not len(rare):
                 continue
             order = rare[np.argsort(at[rare], kind="stable")]
-            keys, first = np.unique(at[order], return_index=True)
+            codes_of = at[order]
+            first = np.concatenate([[0], np.flatnonzero(codes_of[1:] != codes_of[:-1]) + 1])
+            keys = codes_of[first]
             raw = np.stack([_before(c, lengths)[order], c[order + 1]], 1).tobytes()
             cuts = [*(2 * first).tolist(), len(raw)]
             yield pd.DataFrame({"key": -1 - keys, "around": [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
@@ -237,7 +239,9 @@ def _place_words(after: np.ndarray, before: np.ndarray, classes: int):
     weights = np.concatenate([after, before])[:, 1:classes]
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, group = np.unique(rows["key"].to_numpy(), return_inverse=True)
+        key = rows["key"].to_numpy()
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        keys, group = key[new], np.cumsum(new) - 1
         raw = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(-1, 2)
         own = np.repeat(group, rows["around"].str.len().to_numpy() // 2)
         growth = np.zeros((len(keys), classes - 1))
@@ -315,16 +319,16 @@ def _read(shared, classes: int):
 
 
 def _fill(unknown: int, classes: int):
-    """Fills in the transitions at other words, and adds what is known of these. far: rows (i, c, cls) of those in the vocabulary."""
+    """Fills in the transitions at other words, and adds what is known of these: far_i, far_c and far_cls of those in the vocabulary."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for cells, asked, n, known, logs, far in zip(batch["cells"], batch["asked"], batch["n_far"], batch["known"], batch["logs"], batch["far"], strict=True):
+            for cells, asked, n, known, logs, i, far_c, far_cls in zip(*(batch[x] for x in ("cells", "asked", "n_far", "known", "logs", "far_i", "far_c", "far_cls")), strict=True):
                 if n:
                     cls, c = np.full(n, unknown), np.zeros(n)
-                    for x in far if far is not None else ():
-                        cls[x["i"]], c[x["i"]] = x["cls"], x["c"]
+                    if i is not None:
+                        cls[i], c[i] = far_cls, far_c
                     asked = np.frombuffer(asked, "<i4").reshape(-1, 2)
                     both = np.where(asked < 0, cls[np.where(asked < 0, -1 - asked, 0)], asked)
                     own = -1 - asked[asked[:, 1] < 0, 1]
@@ -436,6 +440,7 @@ def score_texts(df: DataFrame, train: DataFrame | Column, doc_id: str = "doc_id"
     asked = docs.where(F.size("words") > 0).select("uid", F.posexplode("words").alias("i", "word"))
     told = asked.join(lexicon, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "c", "cls")).alias("far"))
     filled = docs.withColumn("n_far", F.size("words")).drop("words").join(told, "uid", "left")
+    filled = filled.withColumns({f"far_{x}": F.col(f"far.{x}") for x in ("i", "c", "cls")}).drop("far")
     filled = written(filled.mapInPandas(_fill(unknown, classes), f"doc_id {id_type}, learn boolean, wanted boolean, n_tokens long, cells binary, n_known long, logs double"), "lm-cells")
     table = np.zeros(classes * classes)
     for r in filled.where("learn").select("cells").mapInPandas(_count_cells(classes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes ** 2 rows at most
