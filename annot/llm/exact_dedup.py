@@ -88,7 +88,8 @@ def text_identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of df; of rows equal in id too, one is kept."""
     found = written(text_identities(df, doc_id, text, **options), "exact-found")
-    groups = found.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
+    # Written, so that the join's sides are plain exchanges, of which Spark can split that of a group with many copies.
+    groups = written(found.groupBy("rounds", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep")), "exact-groups")
     kept = F.col("row_id") == F.col("keep.row_id")
     return found.join(groups, ["rounds", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256", "row_id", "h")
 
