@@ -31,9 +31,10 @@ THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PLACES = 64
 LEAF = 256
-#: Runs over all classes go to this depth; classes then still in large nodes get the runs that DEPTH asks for.
-USUAL_DEPTH = 3
-DEPTH = 8
+#: Steps between which nodes are looked at. Runs over all classes go to the depth of the first; classes then still in large
+#: nodes get the runs that the depth of the second asks for.
+USUAL_STEPS, DEEP_STEPS = (3,), (3, 3, 2)
+USUAL_DEPTH, DEPTH = sum(USUAL_STEPS), sum(DEEP_STEPS)
 BLOCK = 1024
 #: How far below the threshold an estimate from PLACES places may lie: five standard deviations.
 MARGIN = 0.25
@@ -187,27 +188,31 @@ def _children(node: Column, sig: Column, threshold: float) -> Column:
     return F.when(F.pmod(F.xxhash64(node, F.lit(3)), F.lit(1000)) < extra, F.array_distinct(F.array(child(first), child(second)))).otherwise(F.array(child(first)))
 
 
-def descend(classes: DataFrame, runs: range, depths: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Sends classes (id, sig, comp) down the trees of these runs, so many steps: links (a, b), and what is left (id, hub).
+def descend(classes: DataFrame, runs: range, plan: tuple[int, ...], threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Sends classes (id, sig, comp) down the trees of these runs: links (a, b), and what is left (id, hub).
+
+    plan: numbers of steps; after each, small nodes are leaves and large ones go on.
 
     Classes of one comp are known to be linked: nodes that hold no others are left out. What is left are the classes of
     nodes that are still large after the last step.
     """
     known = classes.select("id", "sig")
-    roots = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])))
-    level = roots.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+    level = classes.withColumn("node", F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs])))
     leaves, links, left = [], [], classes.select("id", F.col("id").alias("hub")).limit(0)
-    for depth in range(1, depths + 1):
+    for number, steps in enumerate(plan):
+        for _ in range(steps):
+            level = level.withColumn("node", F.explode(_children(F.col("node"), F.col("sig"), threshold)))
+        level = level.select("id", "comp", "node")
         # The least id is the hub, so that runs and levels agree on it and repeat few links.
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        sized = written(level.join(sizes.select("node", "count", "hub"), "node"), f"path-{depth}")
+        sized = written(level.join(sizes.select("node", "count", "hub"), "node"), f"path-{number}")
         leaves.append(sized.where(F.col("count") <= LEAF).select("id", "node"))
         full = sized.where(F.col("count") > LEAF).select("id", "comp", "node", "hub")
         if not full.limit(1).count():
             break
         full = full.join(known, "id")
-        if depth < depths:
-            level = full.select("id", "comp", F.explode(_children(F.col("node"), F.col("sig"), threshold)).alias("node"))
+        if number + 1 < len(plan):
+            level = full.select("id", "comp", "node", "sig")
             continue
         # Nodes that are still large are compared with one of their classes. Those much like it need no more: what is
         # near them is near it too, as 1 - similarity is a distance, and so is linked to it.
@@ -229,12 +234,12 @@ def candidate_groups(classes: DataFrame, threshold: float, target: float) -> Dat
     that it is verified as it is.
     """
     runs = runs_needed(threshold, target)
-    links, left = descend(classes.withColumn("comp", F.col("id")), range(runs), USUAL_DEPTH, threshold)
+    links, left = descend(classes.withColumn("comp", F.col("id")), range(runs), USUAL_STEPS, threshold)
     groups = components(links, "path-groups")
     deep = written(classes.join(left.select("id").distinct(), "id").join(groups, "id", "left").select("id", "sig", F.coalesce("comp", "id").alias("comp")), "path-deep")
     if not deep.limit(1).count():
         return groups
-    more, left = descend(deep, range(runs, runs + runs_needed(threshold, target, DEPTH)), DEPTH, threshold)
+    more, left = descend(deep, range(runs, runs + runs_needed(threshold, target, DEPTH)), DEEP_STEPS, threshold)
     known = groups.select(F.col("id").alias("a"), F.col("comp").alias("b"))
     return components(known.unionByName(more).unionByName(left.select(F.col("id").alias("a"), F.col("hub").alias("b"))).where("a <> b"), "path-groups")
 
