@@ -30,10 +30,10 @@ WORDS = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 PLACES = 64
-LEAF = 256
+LEAF = 1024
 #: Steps between which nodes are looked at. Runs over all classes go to the depth of the first; classes then still in large
 #: nodes get the runs that the depth of the second asks for.
-USUAL_STEPS, DEEP_STEPS = (3,), (3, 3, 2)
+USUAL_STEPS, DEEP_STEPS = (3,), (5,)
 USUAL_DEPTH, DEPTH = sum(USUAL_STEPS), sum(DEEP_STEPS)
 BLOCK = 1024
 #: How far below the threshold an estimate from PLACES places may lie: five standard deviations.
@@ -109,8 +109,10 @@ def _leaf_links(threshold: float):
     """Batches sorted by node; links the classes of a node that look similar to the first of each group of them."""
 
     def link(ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = (sketches[:, None, :] == sketches[None, :, :]).mean(2)
-        near = (share - 1 / 256) / (1 - 1 / 256) >= threshold - MARGIN
+        near = np.empty((len(ids), len(ids)), bool)
+        for i in range(0, len(ids), 128):  # some megabytes at a time
+            share = (sketches[i : i + 128, None, :] == sketches[None, :, :]).mean(2, dtype=np.float32)
+            near[i : i + 128] = (share - 1 / 256) / (1 - 1 / 256) >= threshold - MARGIN
         root = np.arange(len(ids))
         while True:  # the least index that reaches each row
             new = np.where(near, root[None, :], len(ids)).min(1)
