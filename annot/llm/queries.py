@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import brown_lm, chosen_path, exact_dedup, mixing, packing, pii, quality, suffix_dedup, toxicity, weighted_sampling
+from . import brown_lm, chosen_path, collocations, exact_dedup, mixing, packing, periodic_runs, pii, quality, repetition_rules, suffix_dedup, toxicity, weighted_sampling
 
 
 def queries() -> dict:
@@ -19,9 +19,12 @@ def queries() -> dict:
         "op8_weighted_fingerprints": weighted_sampling.op8_weighted_fingerprints,
         "op9_toxicity_scores": toxicity.op9_toxicity_scores,
         "op10_personal_data": pii.op10_personal_data,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
+        "op12_quality_rules": repetition_rules.op12_quality_rules,
+        "op13_periodic_runs": periodic_runs.op13_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE}
+    return {"op3_mix_sources": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op11_phrase_collocations": collocations.ORACLE}
