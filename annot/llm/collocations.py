@@ -6,8 +6,8 @@ so no table of two-, three- or four-word phrases is ever exploded from the texts
 
 A phrase can't be more frequent than its words and pairs. So a window is padded as well from its first word on that has
 fewer than `least` occurrences, or forms a pair of fewer with the word before: no prefix that reaches beyond can be a
-candidate, or a part of one. Words and pairs that are frequent are known to tasks as bits in a table of fixed size; a wrong
-bit makes a window longer, never a count wrong.
+candidate, or a part of one. Words and pairs that are frequent are known to tasks as bits in a table of fixed size, pairs by
+sums over hashed keys, which are too large at most; a wrong bit makes a window longer, never a count wrong.
 
 Texts are split once, into a table of 64-bit hashes of their words; that no two different words have one hash is checked,
 and another seed is taken where they have. Only the words of candidates become strings again.
@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,8 @@ LONGEST, LEAST, ABSORB_PCT = 5, 100, 100
 TOP = 2000
 #: Bits, as a power of two, of the table of frequent words and of that of frequent pairs: 4 MB each at every size of input.
 BITS = 25
+#: Pairs that a task gathers before it sends them, and words of the corpus for each part of the pairs' keys.
+BLOCK_PAIRS, PART_WORDS = 3_000_000, 2_000_000
 #: Words whose hash a Python worker remembers.
 MEMO = 300_000
 #: What separates pieces becomes a byte that UTF-8 doesn't have.
@@ -82,37 +85,92 @@ def _split(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return split
 
 
-def _slots(bits: int, lang: str, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
-    """The bits of words, or of pairs of words, of a language."""
-    x = first.astype(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
-    if second is not None:
-        x = x * _NEXT + second.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(29))) * _MIX
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+def _bit(bits: int, key: np.ndarray) -> np.ndarray:
+    """The bit of a key in a table of 2^bits."""
+    x = key.astype(np.uint64)
+    return (((x ^ (x >> np.uint64(29))) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _word_keys(lang: str, word: np.ndarray) -> np.ndarray:
+    return word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())).astype(np.int64)
+
+
+def _pair_keys(lang: str, first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
+    """A part, below `parts`, and 32 bits within it for each pair of words: the more parts, the more keys."""
+    x = (_word_keys(lang, first).astype(np.uint64) * _NEXT + second.astype(np.uint64)) * _MIX
+    x ^= x >> np.uint64(31)
+    return ((((x >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
 def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _table(frequent: DataFrame, columns: list[str], bits: int) -> np.ndarray:
-    """The bits of the rows of a table, set in tasks and gathered as at most 2^bits bits."""
+def _table(keys: DataFrame, bits: int) -> np.ndarray:
+    """The bits of a table's keys, set in tasks and gathered as at most 2^bits bits."""
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = np.array(b["lang"].to_pylist(), object)
-            slots = np.zeros(b.num_rows, np.int64)
-            for lang in set(langs.tolist()):
-                own = np.flatnonzero(langs == lang)
-                slots[own] = _slots(bits, lang, *(b[c].to_numpy()[own] for c in columns))
-            yield pa.RecordBatch.from_arrays([pa.array(slots)], names=["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(bits, b["key"].to_numpy()))], names=["slot"])
 
-    set_ = frequent.select("lang", *columns).mapInArrow(places, "slot long").groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
+    set_ = keys.mapInArrow(places, "slot long").groupBy(F.expr("bitmap_bucket_number(slot + 1)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot + 1))").alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for bucket, own in set_.collect():
         out[(bucket - 1) << 12 : bucket << 12] = np.frombuffer(own, np.uint8)
     return out
 
 
+def _frequent_words(words: DataFrame) -> DataFrame:
+    """The keys of words (lang, h)."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, h = np.array(b["lang"].to_pylist(), object), b["h"].to_numpy()
+            for lang in set(langs.tolist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_word_keys(lang, h[langs == lang]))], names=["key"])
+
+    return words.select("lang", "h").mapInArrow(keys, "key long")
+
+
+def _frequent_pairs(texts: DataFrame, known, bits: int, least: int, parts: int) -> DataFrame:
+    """The keys of pairs of frequent words that occur `least` times or more, together with other pairs of their key.
+
+    A task sends a part's keys as one sorted block of differences, which takes two bytes a pair; blocks of a part, of a
+    bounded number of words of the corpus, are added up in one group.
+    """
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, waiting, n = np.frombuffer(known.value, np.uint8), [], 0
+
+        def block() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            owner, keys = keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32)
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            steps = np.diff(keys, prepend=np.uint32(0))
+            steps[first] = keys[first]
+            cut = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+            packed = lambda x: [pa.compress(x[a:b].tobytes(), "zstd", asbytes=True) for a, b in cut]
+            return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array([b - a for a, b in cut], pa.int64()), pa.array(packed(steps), pa.binary()), pa.array(packed(counts.astype(np.uint32)), pa.binary())], names=["part", "size", "steps", "counts"])
+
+        for lang, codes in _each_lang(batches):
+            good = (codes != 0) & _has(table, _bit(bits, _word_keys(lang, codes)))
+            at = np.flatnonzero(good[:-1] & good[1:])
+            waiting.append(_pair_keys(lang, codes[at], codes[at + 1], parts))
+            n += len(at)
+            if n > BLOCK_PAIRS:
+                yield block()
+                waiting, n = [], 0
+        if n:
+            yield block()
+
+    def add(batch: pd.DataFrame) -> pd.DataFrame:
+        unpacked = lambda raw, size: np.frombuffer(pa.decompress(raw, 4 * size, "zstd", asbytes=True), np.uint32)
+        keys = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint32) for x, n in zip(batch["steps"], batch["size"], strict=True)])
+        counts = np.concatenate([unpacked(x, n) for x, n in zip(batch["counts"], batch["size"], strict=True)])
+        keys, where = np.unique(keys, return_inverse=True)
+        often = keys[np.bincount(where, weights=counts) >= least]
+        return pd.DataFrame({"key": (int(batch["part"].iloc[0]) << 32) | often.astype(np.int64)})
+
+    return texts.mapInArrow(blocks, "part long, size long, steps binary, counts binary").groupBy("part").applyInPandas(add, "key long")
+
+
 def _each_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     """The hashes of a number of texts of one language."""
     for rows, raws in groups(batches, "codes", 16 << 20):
@@ -123,15 +181,14 @@ def _each_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndar
             yield lang, np.frombuffer(b"".join(own), np.int64)
 
 
-def _windows(bits: int, words, pairs=None, longest: int = LONGEST) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _windows(words, pairs, bits: int, parts: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Lead columns at each word that has a frequent one after it: padded with 0 from where the piece or what is frequent ends."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, linked = (None if b is None else np.frombuffer(b.value, np.uint8) for b in (words, pairs))
+        known, linked = (np.frombuffer(b.value, np.uint8) for b in (words, pairs))
         for lang, codes in _each_lang(batches):
-            good = (codes != 0) & _has(known, _slots(bits, lang, codes))
+            good = (codes != 0) & _has(known, _bit(bits, _word_keys(lang, codes)))
             at = np.flatnonzero(good[:-1] & good[1:])
-            if linked is not None:
-                at = at[_has(linked, _slots(bits, lang, codes[at], codes[at + 1]))]
+            at = at[_has(linked, _bit(bits, _pair_keys(lang, codes[at], codes[at + 1], parts)))]
             goes_on = np.zeros(len(codes) + longest, bool)
             goes_on[at] = True
             alive, columns = np.ones(len(at), bool), [codes[at]]
@@ -174,10 +231,10 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     words, texts = _prepare(df, text, lang)
     frequent = words.where(F.col("n") >= least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = spark.sparkContext.broadcast(_table(frequent, ["h"], bits).tobytes())
-    pairs = texts.mapInArrow(_windows(bits, known, None, 2), "lang string, w1 long, w2 long").groupBy("lang", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    linked = spark.sparkContext.broadcast(_table(pairs, ["w1", "w2"], bits).tobytes())
-    counted = texts.mapInArrow(_windows(bits, known, linked, longest), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
+    known = spark.sparkContext.broadcast(_table(_frequent_words(frequent), bits).tobytes())
+    parts = max(64, (words.agg(F.sum("n")).head()[0] or 0) // PART_WORDS)
+    linked = spark.sparkContext.broadcast(_table(_frequent_pairs(texts, known, bits, least, parts), bits).tobytes())
+    counted = texts.mapInArrow(_windows(known, linked, bits, parts, longest), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
     rolled = counted.rollup("lang", *cols).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     size = F.lit(longest) - F.log2(F.col("g") + 1).cast("int")  # the last columns of a prefix are rolled up
     phrases = rolled.where(F.col("f") >= least).withColumn("size", size).where("size >= 2").withColumn("p", F.slice(F.array(*cols), 1, F.col("size"))).where(~F.array_contains("p", F.lit(0)))
