@@ -9,8 +9,8 @@ fewer than `least` occurrences, or forms a pair of fewer with the word before: n
 candidate, or a part of one. Words and pairs that are frequent are known to tasks as bits in a table of fixed size, pairs by
 sums over hashed keys, which are too large at most; a wrong bit makes a window longer, never a count wrong.
 
-Texts are split once, into a table of 64-bit hashes of their words; that no two different words have one hash is checked,
-and another seed is taken where they have. Only the words of candidates become strings again.
+Texts are split once, into a table of 64-bit hashes of their words; that no other word has the hash of a frequent one is
+checked, and another seed is taken where one has. Only the words of candidates become strings again.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ TOP = 2000
 BITS = 25
 #: Pairs that a task gathers before it sends them, and words of the corpus for each part of the pairs' keys.
 BLOCK_PAIRS, PART_WORDS = 3_000_000, 2_000_000
+#: Bytes of text whose words a task counts at a time.
+SPLIT_BYTES = 8 << 20
 #: Words whose hash a Python worker remembers.
 MEMO = 300_000
 #: What separates pieces becomes a byte that UTF-8 doesn't have.
@@ -63,7 +65,7 @@ def _split(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     """Rows (lang, text) -> for each text the hashes of its words (0 between pieces), and the words of a few texts with counts."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(seed)
-        for rows, raws in groups(batches, "text"):
+        for rows, raws in groups(batches, "text", SPLIT_BYTES):
             counts: dict[str, Counter] = {}
             langs, codes = rows["lang"].to_pylist(), []
             for lang, raw in zip(langs, raws, strict=True):
@@ -76,9 +78,8 @@ def _split(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             n = len(words)
             yield pa.RecordBatch.from_arrays([
                 pa.array([x for lang, own in counts.items() for x in [lang] * len(own)] + langs, pa.string()), pa.array(words + [None] * len(langs), pa.binary()).cast(pa.string()),
-                pa.array([hashes[w] for w in words] + [None] * len(langs), pa.int64()), pa.array([c for own in counts.values() for c in own.values()] + [None] * len(langs), pa.int64()),
-                pa.array([None] * n + codes, pa.binary()), pa.array([0] * n + [1] * len(langs), pa.int32()),
-            ], names=["lang", "word", "h", "n", "codes", "kind"])
+                pa.array([c for own in counts.values() for c in own.values()] + [None] * len(langs), pa.int64()), pa.array([None] * n + codes, pa.binary()), pa.array([0] * n + [1] * len(langs), pa.int32()),
+            ], names=["lang", "word", "n", "codes", "kind"])
             if len(hashes) > MEMO:
                 hashes = _Hashes(seed)
 
@@ -119,15 +120,30 @@ def _table(keys: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _frequent_words(words: DataFrame) -> DataFrame:
-    """The keys of words (lang, h)."""
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (lang, word, n) with the word's hash and its key in a language."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, h = np.array(b["lang"].to_pylist(), object), b["h"].to_numpy()
+            hashes = _Hashes(seed)
+            h, langs = np.array([hashes[w] for w in b["word"].cast(pa.binary()).to_pylist()], np.int64), np.array(b["lang"].to_pylist(), object)
+            key = np.zeros(len(h), np.int64)
             for lang in set(langs.tolist()):
-                yield pa.RecordBatch.from_arrays([pa.array(_word_keys(lang, h[langs == lang]))], names=["key"])
+                key[langs == lang] = _word_keys(lang, h[langs == lang])
+            yield pa.RecordBatch.from_arrays([b["lang"], b["word"], b["n"], pa.array(h), pa.array(key)], names=["lang", "word", "n", "h", "key"])
 
-    return words.select("lang", "h").mapInArrow(keys, "key long")
+    return add
+
+
+def _clash(words: DataFrame, known, bits: int) -> bool:
+    """Whether another word has the key of a frequent one: only words with a frequent word's bit can."""
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(known.value, np.uint8)
+        for b in batches:
+            keys = b["key"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(keys[_has(table, _bit(bits, keys))])], names=["key"])
+
+    keys = words.select("key").mapInArrow(likely, "key long").groupBy("key").count()
+    return keys.where("count > 1").limit(1).count() > 0
 
 
 def _frequent_pairs(texts: DataFrame, known, bits: int, least: int, parts: int) -> DataFrame:
@@ -204,15 +220,18 @@ def _wide(x: Column, digits: int) -> Column:
     return x.cast(f"decimal({digits},0)")
 
 
-def _prepare(df: DataFrame, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
-    """Words (lang, word, h, n) of all texts, and the texts as hashes (lang, codes): tables in the shared folder."""
+def _prepare(df: DataFrame, text: str, lang: str, least: int, bits: int):
+    """Words (lang, word, n, h, key) of all texts and the texts as hashes (lang, codes), tables in the shared folder, and the
+    bits of the frequent words."""
     rows = df.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     seed = 0
     while True:
-        table = written(rows.mapInArrow(_split(seed), "lang string, word string, h long, n long, codes binary, kind int"), "collocation-words")
-        words = written(table.where("kind = 0").groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), "collocation-counts")
-        if not words.select("word", "h").distinct().groupBy("h").count().where("count > 1").limit(1).count():
-            return words, table.where("kind = 1").select("lang", "codes")
+        table = written(rows.mapInArrow(_split(seed), "lang string, word string, n long, codes binary, kind int"), "collocation-words")
+        counts = table.where("kind = 0").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = written(counts.mapInArrow(_hashed(seed), "lang string, word string, n long, h long, key long"), "collocation-counts")
+        known = df.sparkSession.sparkContext.broadcast(_table(words.where(F.col("n") >= least).select("key"), bits).tobytes())
+        if not _clash(words, known, bits):
+            return words, table.where("kind = 1").select("lang", "codes"), known
         seed += 1
 
 
@@ -228,16 +247,15 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     none. Counts meet in partial aggregations, so a frequent phrase or language isn't sent to one task.
     """
     spark, cols = df.sparkSession, _W[:longest]
-    words, texts = _prepare(df, text, lang)
+    words, texts, known = _prepare(df, text, lang, least, bits)
     frequent = words.where(F.col("n") >= least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    known = spark.sparkContext.broadcast(_table(_frequent_words(frequent), bits).tobytes())
     parts = max(64, (words.agg(F.sum("n")).head()[0] or 0) // PART_WORDS)
     linked = spark.sparkContext.broadcast(_table(_frequent_pairs(texts, known, bits, least, parts), bits).tobytes())
     counted = texts.mapInArrow(_windows(known, linked, bits, parts, longest), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
-    rolled = counted.rollup("lang", *cols).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    rolled = spark.sql(f"SELECT lang, {', '.join(cols)}, sum(n) AS f, grouping_id() AS g FROM {{counted}} GROUP BY lang, w1, w2, ROLLUP({', '.join(cols[2:])})", counted=counted)
     size = F.lit(longest) - F.log2(F.col("g") + 1).cast("int")  # the last columns of a prefix are rolled up
-    phrases = rolled.where(F.col("f") >= least).withColumn("size", size).where("size >= 2").withColumn("p", F.slice(F.array(*cols), 1, F.col("size"))).where(~F.array_contains("p", F.lit(0)))
+    phrases = rolled.where(F.col("f") >= least).withColumn("size", size).withColumn("p", F.slice(F.array(*cols), 1, F.col("size"))).where(~F.array_contains("p", F.lit(0)))
     phrases = written(phrases.select("lang", "p", "f", "size"), "collocation-phrases")
     known_parts = phrases.select("lang", "p", "f").unionByName(frequent.select("lang", F.array("h").alias("p"), F.col("n").alias("f")))
 

@@ -66,17 +66,18 @@ def test_few_bits_change_nothing(spark):
 
 
 def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
-    rows, real = sample(5), c._split
-    monkeypatch.setattr(c, "_split", lambda seed: real(seed) if seed else _colliding(real(0)))
-    assert found(texts(spark, rows), least=5) == plain(rows, 5, 100)
+    rows, split, hashed, seeds = sample(5), c._split, c._hashed, []
+    monkeypatch.setattr(c, "_split", lambda seed: seeds.append(seed) or split(seed))
+    monkeypatch.setattr(c, "_hashed", lambda seed: hashed(seed) if seed else _clashing(hashed(0)))
+    assert found(texts(spark, rows), least=5) == plain(rows, 5, 100) and seeds == [0, 1]
 
 
-def _colliding(split):
+def _clashing(hashed):
     def same(batches):
         import pyarrow as pa
 
-        for b in split(batches):
-            yield b.set_column(2, "h", pa.array([None if w is None else 7 for w in b["word"].to_pylist()], pa.int64()))
+        for b in hashed(batches):
+            yield b.set_column(4, "key", pa.array([7] * b.num_rows, pa.int64()))
 
     return same
 
