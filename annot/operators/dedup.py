@@ -12,8 +12,8 @@ from annot.operators.clean import has_sequence
 from annot.operators.quantiles import beside
 from annot.sources.shared import written
 
-#: Seeds of a text of which the rarest is joined.
-SEEDS = 4
+#: Seeds of a text of which the rarest is joined, and letters or words of a part of a long text.
+SEEDS, PART = 4, 256
 
 
 def last_by_key(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -87,58 +87,100 @@ def removed_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return beside(a, b, []).select("n_before", "n_after", (F.col("n_before") - F.col("n_after")).alias("n_removed"), (100.0 * (F.col("n_before") - F.col("n_after")) / F.col("n_before")).alias("pct_removed"))
 
 
-def _rarest(seeds: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Of the seeds (id, seed) of each short text, the one that fewest long texts (large, seed) have; none if one has none."""
-    asked = pieces.join(seeds.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    best = seeds.join(asked, "seed", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "seed")).alias("x"))
-    return best.where("x.n > 0").select("id", F.col("x.seed").alias("seed"))
-
-
 def _spread(size: Column, many: int = SEEDS) -> Column:
     """Up to `many` places from 0 on below size, evenly spread."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.floor(i * size / many).cast("int")))
 
 
+def _letters(of: str, i: Column, size: Column) -> Column:
+    return F.substring(of, i + 1, size)
+
+
+def _words(of: str, i: Column, size: Column) -> Column:
+    return F.slice(of, i + 1, size)
+
+
+def _aligned(short: DataFrame, long: DataFrame, of: str, part, kinds: list[int]) -> DataFrame:
+    """id, large, start: places of long texts where a short one can lie, by the one of its seeds that they hold least often.
+
+    short has id, kind and n, long has id and n, the length in units of which `kind` make a seed; part(of, place, size) is a
+    part of a text. All seeds of long texts are exploded once, by parts, as a place far into a text is slow to reach; only
+    those that a short text asks for are kept, with their places, and counted.
+    """
+    def seed(of: str, i: Column) -> Column:
+        own = part(of, i, F.col("kind"))
+        return F.xxhash64("kind", F.array_join(own, "") if part is _words else own).alias("seed")
+
+    places = short.select("id", "kind", F.col("n").alias("size"), of, _spread(F.col("n") - F.col("kind") + 1).alias("places"))
+    asked = places.select("id", "kind", "size", of, F.size("places").alias("all"), F.explode("places").alias("off")).select("id", "size", "all", "off", seed(of, F.col("off")))
+    parts = long.where("n > 0").select(F.col("id").alias("large"), F.col("n").alias("room"), of, F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PART))).alias("from"))
+    parts = parts.select("large", "room", "from", part(of, F.col("from"), F.lit(PART + max(kinds) - 1)).alias("part"), F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    last = F.least(F.lit(PART - 1), F.col("room") - F.col("kind") - F.col("from"))
+    pieces = parts.where(last >= 0).select("large", "room", "from", "part", "kind", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    pieces = pieces.select("large", "room", (F.col("from") + F.col("i")).alias("at"), seed("part", F.col("i")))
+    hits = written(pieces.join(asked.select("seed"), "seed", "left_semi"), "hits")
+    counts = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    best = asked.join(counts, "seed").groupBy("id", "size", "all").agg(F.min(F.struct("n", "seed", "off")).alias("x"), F.count(F.lit(1)).alias("found"))
+    best = best.where("found = all").select("id", "size", "x.seed", "x.off")  # a text that holds it holds all its seeds
+    start = F.col("at") - F.col("off")
+    return best.join(hits, "seed").where((start >= 0) & (start + F.col("size") <= F.col("room"))).select("id", "large", start.alias("start"))
+
+
+def _kinds(rows: DataFrame) -> list[int]:
+    """The few kinds of seeds that short texts ask for."""
+    return sorted(r[0] for r in rows.select("kind").distinct().collect())
+
+
+def _by_letters(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
+    rows = short.withColumn("n", F.length("seq")).withColumn("kind", F.least(F.lit(k), F.col("n")))
+    kinds = _kinds(rows)
+    if not kinds:
+        return short.select("id", F.col("id").alias("large")).limit(0)
+    whole = long.withColumn("n", F.length("seq"))
+    found = _aligned(rows, whole, "seq", _letters, kinds)
+    found = found.join(rows.select("id", "n", F.sha2(F.col("seq").cast("binary"), 256).alias("digest")), "id")
+    here = found.join(whole.select(F.col("id").alias("large"), "seq", F.col("n").alias("room")), "large")
+    stretch = F.substring("seq", F.col("start") + 1, F.col("n"))
+    return here.where((F.col("n") < F.col("room")) & (F.sha2(stretch.cast("binary"), 256) == F.col("digest"))).select("id", "large")
+
+
+def _by_words(short: DataFrame, long: DataFrame) -> DataFrame:
+    """For short texts with words (w, each with the one white space after it) between the first and the last, which may be parts."""
+    inner = short.select("id", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"), F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
+    rows = inner.withColumn("n", F.size("w")).withColumn("kind", F.when(F.col("n") >= 5, 5).otherwise(1))
+    kinds = _kinds(rows)
+    if not kinds:
+        return short.select("id", F.col("id").alias("large")).limit(0)
+    whole = long.withColumn("n", F.size("w"))
+    found = _aligned(rows, whole, "w", _words, kinds)
+    found = found.join(rows.select("id", "n", "first", "last", F.sha2(F.array_join("w", "").cast("binary"), 256).alias("digest")), "id")
+    here = found.join(whole.select(F.col("id").alias("large"), "w", F.col("n").alias("room")), "large").where((F.col("start") > 0) & (F.col("start") + F.col("n") < F.col("room")))
+    before, after = F.get("w", F.col("start") - 1), F.get("w", F.col("start") + F.col("n"))
+    more = (F.col("n") + 2 < F.col("room")) | (F.length("first") < F.length(before)) | (F.length("last") < F.length(after))
+    same = F.sha2(F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), "").cast("binary"), 256) == F.col("digest")
+    return here.where(more & F.endswith(before, F.col("first")) & F.startswith(after, F.col("last")) & same).select("id", "large")
+
+
 def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str = "letters") -> DataFrame:
     """small, large: ids of texts of `short` that are contained in a different text of `long`. Both have id and seq.
 
-    Seeds instead of a nested loop: of a few seeds of each short text, the one that fewest long texts hold joins these;
-    only ids and hashes move until the few candidates are verified. Seeds are k letters, or (by='words', for long texts)
-    five whole words that have others on both sides, one if there are fewer. Texts too short for a seed of this kind are
-    sought as wholes among the strings of their length, so none is missed. Empty texts are contained in nothing.
+    Seeds instead of a nested loop: of a few seeds of each short text, the one with fewest places in all long texts says
+    where it can lie. Only ids, places and hashes move. The SHA-256 of the stretch at a place is held against that of the
+    short text where the long text is, so no text is sent for a candidate. Seeds are k letters, or (by='words', for long
+    texts) five whole words that have others on both sides, one if there are fewer; texts too short for a seed of this kind
+    are one seed as a whole, so none is missed. Empty and null texts are contained in nothing. Joins on seeds and on long
+    texts leave it to Spark to split a seed or a text with many rows.
     """
     short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
-
-    def by_letters(rows: DataFrame) -> DataFrame:
-        gram = lambda i: F.xxhash64(F.substring("seq", i + 1, F.lit(k)))
-        own = rows.select("id", F.explode(F.transform(_spread(F.length("seq") - k + 1), gram)).alias("seed")).distinct()
-        pieces = long.where(F.length("seq") >= k).select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.length("seq") - k), gram))).alias("seed"))
-        return _rarest(own, pieces).join(pieces, "seed").select("id", "large")
-
-    def by_words(rows: DataFrame, width: int) -> DataFrame:
-        gram = lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(width)])
-        own = rows.select("id", F.explode(F.transform(_spread(F.size("w") - width + 1), gram)).alias("seed")).distinct()
-        parts = long.select("id", F.split("seq", r"\s").alias("w")).where(F.size("w") >= width)
-        pieces = parts.select(F.col("id").alias("large"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - width), gram))).alias("seed"))
-        return _rarest(own, pieces).join(pieces, "seed").select("id", "large")
-
-    found = []
-    rest = short
-    if by == "words":
-        words = short.withColumn("w", F.slice(F.split("seq", r"\s"), 2, F.greatest(F.size(F.split("seq", r"\s")) - 2, F.lit(0))))
-        found = [by_words(words.where(F.size("w") >= 5), 5), by_words(words.where((F.size("w") >= 1) & (F.size("w") < 5)), 1)]
-        rest = written(words.where(F.size("w") < 1).select("id", "seq"), "few-words")
-    if by == "letters" or rest.limit(1).count():
-        found.append(by_letters(rest.where(F.length("seq") >= k)))
-        small = rest.where(F.length("seq") < k).select("id", F.length("seq").alias("n"), F.xxhash64("seq").alias("seed"))
-        lengths = small.agg(F.collect_set("n").alias("lengths"))  # k - 1 at most
-        strings = long.crossJoin(F.broadcast(lengths)).select(F.col("id").alias("large"), "seq", F.explode("lengths").alias("n")).where(F.length("seq") > F.col("n"))
-        strings = strings.select("large", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("seq") - F.col("n") + 1), lambda i: F.xxhash64(F.substring("seq", i, F.col("n")))))).alias("seed"))
-        found.append(small.join(strings, ["n", "seed"]).select("id", "large"))
-    found = reduce(DataFrame.unionByName, found).distinct()
-    a, b = short.select("id", F.col("seq").alias("a")), long.select(F.col("id").alias("large"), F.col("seq").alias("b"))
-    checked = found.join(a, "id").join(b, "large").where((F.col("a") != F.col("b")) & F.contains("b", "a"))
-    return checked.select(F.col("id").alias("small"), "large")
+    if by == "letters":
+        return _by_letters(short, long, k).select(F.col("id").alias("small"), "large").distinct()
+    words = lambda d: d.select("id", "seq", F.explode(F.array(F.split("seq", r"(?<=\s)"))).alias("w"))  # noqa: E731  one split a text
+    short = words(short)
+    found = _by_words(short.where(F.size("w") > 2), words(long))
+    rest = short.where(F.size("w") <= 2).select("id", "seq")
+    if rest.limit(1).count():
+        found = found.unionByName(_by_letters(rest, long, k))
+    return found.select(F.col("id").alias("small"), "large").distinct()
 
 
 def dedup_containment(df: DataFrame, id_col: str, seq: str, k: int = 12, by: str = "letters") -> DataFrame:
