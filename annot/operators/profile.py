@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annot.operators.quantiles import beside, describe, exact_quantiles
+from annot.sources.shared import written
 
 
 def overview(df: DataFrame, units: dict[str, str]) -> DataFrame:
@@ -120,19 +121,20 @@ def mean_composition(df: DataFrame, unit: str, category: str) -> DataFrame:
     return beside(by, units, []).select(category, (F.col("s") / F.col("units")).alias("mean_pct"))
 
 
-def histogram(df: DataFrame, column: str, bins: int, density: bool = False, by: str | None = None) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int, density: bool = False, by: str | None = None, weight: str | None = None) -> DataFrame:
     """bin (from 0), lo, hi, n and, if asked for, density. Equal widths over each group's own range, the last bin closed.
 
-    A range of one value is widened by half on either side. Empty bins have a row.
+    A range of one value is widened by half on either side. Empty bins have a row. A row counts `weight` times, if given.
     """
     keys = [by] if by else []
     v = F.col(column).cast("double")
-    rows = df.where(v.isNotNull()).select(*keys, v.alias("v"))
-    ends = rows.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("total"))
+    w = F.col(weight) if weight else F.lit(1)
+    rows = df.where(v.isNotNull()).select(*keys, v.alias("v"), w.cast("long").alias("_w"))
+    ends = rows.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.sum("_w").alias("total"))
     one = F.col("a") == F.col("b")
     ends = ends.where("total > 0").select(*keys, "total", F.when(one, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(one, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))
-    placed = beside(rows, ends, keys).select(*keys, F.least(F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    placed = beside(rows, ends, keys).select(*keys, "_w", F.least(F.floor((F.col("v") - F.col("a")) / ((F.col("b") - F.col("a")) / bins)), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = placed.groupBy(*keys, "bin").agg(F.sum("_w").alias("n"))
     width = (F.col("b") - F.col("a")) / bins
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = grid.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -165,17 +167,108 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.withColumn("_at", at).orderBy("_at", key).limit(n).drop("_at")
 
 
-def profile_report(df: DataFrame, units: dict[str, str], categories: list[str], numbers: list[str], key: str) -> DataFrame:
-    """section, key, stat, value: the statistics of a table in one long frame."""
+def value_counts(df: DataFrame, entries: list[tuple]) -> DataFrame:
+    """slot, a, b, v and n: how often each entry (slot, a, b, v, condition) of a row occurs; one scan and one exchange.
+
+    Equal entries meet in a partial aggregation, so that a frequent value isn't sent to one task.
+    """
+    def entry(slot: str, a: Column | None = None, b: Column | None = None, v: Column | None = None, when: Column | None = None) -> Column:
+        kinds = (F.lit(slot), "string", "slot"), (a, "string", "a"), (b, "string", "b"), (v, "double", "v")
+        whole = F.struct(*[(F.lit(None) if x is None else x).cast(kind).alias(name) for x, kind, name in kinds])
+        return whole if when is None else F.when(when, whole)
+
+    rows = df.select(F.explode(F.array_compact(F.array(*[entry(*e) for e in entries]))).alias("x"))
+    return rows.groupBy("x.slot", "x.a", "x.b", "x.v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile_report(
+    df: DataFrame, units: dict[str, str], categories: list[str], numbers: list[str], key: str, flags: dict[str, Column] | None = None, exclusive: tuple[Column, Column, Column] | None = None,
+    canonical: dict[str, list[str]] | None = None, top: dict[str, int] | None = None, shares: tuple[str | Column, str | Column] | None = None, quantiles: tuple[str, str] | None = None,
+    matrix: tuple[str, list[str]] | None = None, sentinel: float | None = None, composition: tuple[str, str] | None = None, bins: int = 0,
+) -> DataFrame:
+    """section, key, stat, value: the statistics of a table in one long frame.
+
+    The table is read once: what any section needs is counted as entries of value_counts, a table of distinct values that all
+    sections then read. Sections: overview (units: name -> column), missing (all columns), rows_per_key, extreme_keys,
+    numbers, distribution:<category>; where asked for flags and flags_exclusive (pseudo, trunc, intron), canonical:<column>
+    with noise, top:<column>, crosstab (row, column; names or expressions) in percent of a row's values, quantiles (key, value), matrix (key, columns)
+    of means, with a sentinel that is null where a mean equals it, and own_vs_best of these, composition (unit, category), and
+    a histogram of `bins` bins for each number. Null keys and values are left out as in the operators of these names; an
+    empty table gives the overview alone, with zeros. Sampling and the hexagonal grid are for figures and aren't here.
+    """
+    flags, canonical, top = flags or {}, canonical or {}, top or {}
+    if exclusive:
+        p, t, i = exclusive
+        apart = {"pseudo_only": p & ~t, "trunc_only": t & ~p, "pseudo_and_trunc": p & t, "intron": i, "clean": ~p & ~t & ~i}
+    col = lambda c: c if isinstance(c, Column) else F.col(f"`{c}`")
+    entries: list[tuple] = [("all",)]
+    entries += [("missing", F.lit(c), None, None, col(c).isNull()) for c in df.columns]
+    entries += [("flag", F.lit(n), None, None, c) for n, c in flags.items()] + [("exclusive", F.lit(n), None, None, c) for n, c in (apart.items() if exclusive else ())]
+    entries += [(f"value:{c}", col(c), None, None, col(c).isNotNull()) for c in dict.fromkeys([*units.values(), key, *categories, *canonical, *top])]
+    entries += [(f"number:{c}", None, None, col(c), col(c).isNotNull()) for c in dict.fromkeys(numbers)]
+    for slot, pair in (("crosstab", shares), ("composition", composition)):
+        entries += [(slot, col(pair[0]), col(pair[1]), None, col(pair[0]).isNotNull() & col(pair[1]).isNotNull())] if pair else []
+    entries += [("quantiles", col(quantiles[0]), None, col(quantiles[1]), col(quantiles[0]).isNotNull() & col(quantiles[1]).isNotNull())] if quantiles else []
+    entries += [("matrix", col(matrix[0]), F.lit(c), col(c), col(matrix[0]).isNotNull()) for c in matrix[1]] if matrix else []
+    counts = written(value_counts(df, entries), "profile")
+    slot = lambda name: counts.where(F.col("slot") == name)
+
     def long(section: str, part: DataFrame, label: Column, stats: list[str]) -> DataFrame:
         return part.select(F.lit(section).alias("section"), label.cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in stats])).alias("x")).select("section", "key", "x.stat", "x.value")
 
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("slot") == "all", F.col("n"))), F.lit(0)).alias("n_rows"), *[F.count_if(F.col("slot") == f"value:{c}").alias(n) for n, c in units.items()], F.lit(len(df.columns)).alias("n_columns"))
+    rows = slot("all").agg(F.sum("n").alias("_n"))
+
+    def shared(part: DataFrame) -> DataFrame:
+        return beside(part, rows, []).withColumn("pct", 100.0 * F.col("n") / F.col("_n"))
+
+    def named(name: str, labels: list[str]) -> DataFrame:
+        """A row for each label, 0 where it has none."""
+        all_ = rows.where("_n > 0").select(F.explode(F.array(*map(F.lit, labels))).alias("a"))
+        return all_.join(slot(name).select("a", "n"), "a", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
     stats = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    per_key = slot(f"value:{key}").select("a", "n")
+    of_numbers = counts.where(F.col("slot").startswith("number:")).select(F.substring("slot", 8, 1 << 20).alias("column"), "v", "n")
+    ordered = lambda part, k, *order: part.orderBy(*order).limit(k)
     parts = [
-        long("overview", overview(df, units), F.lit("all"), ["n_rows", *units, "n_columns"]),
-        long("missing", missing_values(df), F.col("column"), ["n_missing", "pct"]),
-        long("rows_per_key", count_per_key_describe(df, key), F.lit(key), stats),
-        long("numbers", describe_exact(df, numbers), F.col("column"), stats),
-        *[long(f"distribution:{c}", distribution(df, c), F.col("value"), ["n", "pct"]) for c in categories],
+        long("overview", total, F.lit("all"), ["n_rows", *units, "n_columns"]),
+        long("missing", shared(slot("missing")).withColumnRenamed("n", "n_missing"), F.col("a"), ["n_missing", "pct"]),
+        long("rows_per_key", describe(per_key.select(F.col("n").alias("v")), [], "v").where("n > 0"), F.lit(key), stats),
+        long("extreme_keys", ordered(per_key, 1, F.col("n").desc(), "a").withColumnRenamed("n", "most"), F.col("a"), ["most"]),
+        long("extreme_keys", ordered(per_key, 1, "n", "a").withColumnRenamed("n", "fewest"), F.col("a"), ["fewest"]),
+        long("numbers", describe(of_numbers.withColumnRenamed("n", "w"), ["column"], "v", weight="w"), F.col("column"), stats),
+        *[long(f"distribution:{c}", shared(slot(f"value:{c}")), F.col("a"), ["n", "pct"]) for c in categories],
+        *[long(f"top:{c}", ordered(slot(f"value:{c}"), k, F.col("n").desc(), "a"), F.col("a"), ["n"]) for c, k in top.items()],
     ]
+    if flags:
+        parts.append(long("flags", shared(named("flag", list(flags))), F.col("a"), ["n", "pct"]))
+    if exclusive:
+        parts.append(long("flags_exclusive", shared(named("exclusive", list(apart))), F.col("a"), ["n", "pct"]))
+    for c, known in canonical.items():
+        kinds = slot(f"value:{c}").groupBy(F.when(F.col("a").isin(known), F.col("a")).otherwise("noise").alias("a")).agg(F.sum("n").alias("n"))
+        good = F.col("a") != "noise"
+        kinds = beside(kinds, kinds.agg(F.sum(F.when(good, F.col("n"))).alias("_n")), [])
+        parts.append(long(f"canonical:{c}", kinds.withColumn("pct", F.when(good, 100.0 * F.col("n") / F.col("_n"))), F.col("a"), ["n", "pct"]))
+    if shares:
+        of_row = slot("crosstab").groupBy("a").agg(F.sum("n").alias("_n"))
+        pairs = slot("crosstab").join(of_row, "a").withColumns({"pct": 100.0 * F.col("n") / F.col("_n"), "stat": F.col("b")})
+        parts.append(pairs.select(F.lit("crosstab").alias("section"), F.col("a").alias("key"), "stat", F.col("pct").alias("value")))
+    if quantiles:
+        by = exact_quantiles(slot("quantiles").select("a", "v", F.col("n").alias("w")), ["a"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, weight="w")
+        parts.append(long("quantiles", by, F.col("a"), ["n", "q25", "q50", "q75"]))
+    if matrix:
+        names = matrix[1]
+        mean = lambda c: F.sum(F.when(F.col("b") == c, F.col("v") * F.col("n"))) / F.sum(F.when((F.col("b") == c) & F.col("v").isNotNull(), F.col("n")))
+        means = slot("matrix").groupBy("a").agg(*[(mean(c) if sentinel is None else F.nullif(mean(c), F.lit(float(sentinel)))).alias(c) for c in names])
+        parts.append(long("matrix", means, F.col("a"), names))
+        best = own_vs_best(means, "a", names).select("a", F.col("own"), F.col("best"), F.col("best_column"))
+        parts.append(long("own_vs_best", best, F.concat_ws(":", "a", "best_column"), ["own", "best"]))
+    if composition:
+        of_unit = slot("composition").groupBy("a").agg(F.sum("n").alias("_t"))
+        share = slot("composition").join(of_unit, "a").groupBy("b").agg(F.sum(100.0 * F.col("n") / F.col("_t")).alias("_s"))
+        parts.append(long("composition", beside(share, of_unit.agg(F.count(F.lit(1)).alias("_u")), []).withColumn("mean_pct", F.col("_s") / F.col("_u")), F.col("b"), ["mean_pct"]))
+    if bins:
+        grid = histogram(of_numbers, "v", bins, by="column", weight="n")
+        parts.append(grid.select(F.concat(F.lit("histogram:"), "column").alias("section"), F.col("bin").cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("value")) for s in ("lo", "hi", "n")])).alias("x")).select("section", "key", "x.stat", "x.value"))
     return reduce(DataFrame.unionByName, parts)

@@ -167,11 +167,42 @@ _S = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
 _LONG = lambda section, key, sub, stats: " UNION ALL ".join(f"SELECT '{section}' AS section, {key}::VARCHAR AS key, '{s}' AS stat, {s}::DOUBLE AS value FROM ({sub})" for s in stats)
 
 
+_E = "(SELECT event_id, user_id, event_type, value, CASE WHEN event_type = 'click' THEN value END AS click, value / 2 AS \"view\" FROM events)"
+_SHARE = "100.0::DOUBLE * count(*) / (SELECT count(*) FROM events)"
+_FLAG = lambda name, p: f"SELECT '{name}' AS f, count(*) FILTER ({p}) AS n, 100.0::DOUBLE * count(*) FILTER ({p}) / count(*) AS pct FROM events"
+_PER = "SELECT user_id, count(*) AS n FROM events GROUP BY 1"
+_FLAGS = {"small": "value < 10", "bought": "event_type = 'purchase'", "never": "value < 0"}
+_APART = {"pseudo_only": "value < 10 AND event_id % 3 > 0", "trunc_only": "event_id % 3 = 0 AND value >= 10", "pseudo_and_trunc": "value < 10 AND event_id % 3 = 0", "intron": "user_id % 2 = 0", "clean": "value >= 10 AND event_id % 3 > 0 AND user_id % 2 > 0"}
+_MEANS = f"""SELECT event_type, avg(click) AS click, avg("view") AS "view" FROM {_E} GROUP BY 1"""
+
+
 @query(" UNION ALL ".join([
-    _LONG("overview", "'all'", "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, 4 AS n_columns FROM events", ["n_rows", "n_users", "n_columns"]),
+    _LONG("overview", "'all'", "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, 6 AS n_columns FROM events", ["n_rows", "n_users", "n_columns"]),
+    _LONG("missing", "'click'", "SELECT count(*) AS n_missing, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM events) AS pct FROM events WHERE event_type <> 'click'", ["n_missing", "pct"]),
     _LONG("rows_per_key", "'user_id'", f"SELECT {DESCRIBE} FROM (SELECT count(*) AS v FROM events GROUP BY user_id)", _S),
-    _LONG("numbers", "'value'", f"SELECT {DESCRIBE} FROM (SELECT value AS v FROM events)", _S),
-    _LONG("distribution:event_type", "value", "SELECT event_type AS value, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS pct FROM events GROUP BY 1", ["n", "pct"]).replace("n::DOUBLE AS value FROM (SELECT event_type AS value,", "n::DOUBLE AS value FROM (SELECT event_type AS value,"),
+    _LONG("extreme_keys", "user_id", f"SELECT user_id, n AS most FROM ({_PER}) ORDER BY n DESC, user_id::VARCHAR LIMIT 1", ["most"]),
+    _LONG("extreme_keys", "user_id", f"SELECT user_id, n AS fewest FROM ({_PER}) ORDER BY n, user_id::VARCHAR LIMIT 1", ["fewest"]),
+    *[_LONG("numbers", f"'{c}'", f"SELECT {DESCRIBE} FROM (SELECT \"{c}\" AS v FROM {_E})", _S) for c in ("value", "click")],
+    _LONG("distribution:event_type", "event_type", f"SELECT event_type, count(*) AS n, {_SHARE} AS pct FROM events GROUP BY 1", ["n", "pct"]),
+    _LONG("top:user_id", "user_id", f"SELECT user_id, n FROM ({_PER}) ORDER BY n DESC, user_id::VARCHAR LIMIT 5", ["n"]),
+    _LONG("flags", "f", " UNION ALL ".join(_FLAG(*x) for x in _FLAGS.items()), ["n", "pct"]),
+    _LONG("flags_exclusive", "f", " UNION ALL ".join(_FLAG(*x) for x in _APART.items()), ["n", "pct"]),
+    _LONG("canonical:event_type", "k", "SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'noise' END AS k, count(*) AS n, CASE WHEN k <> 'noise' THEN 100.0::DOUBLE * count(*) / (SELECT count(*) FROM events WHERE event_type IN ('click', 'view')) END AS pct FROM events GROUP BY 1", ["n", "pct"]),
+    "SELECT 'crosstab', event_type, (user_id % 3)::VARCHAR, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY event_type) FROM events GROUP BY 2, 3",
+    _LONG("quantiles", "event_type", "SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY 1", ["n", "q25", "q50", "q75"]),
+    _LONG("matrix", "event_type", _MEANS, ["click"]),
+    f"SELECT 'matrix', event_type, 'view', \"view\" FROM ({_MEANS})",
+    f"""SELECT 'own_vs_best', event_type || ':' || CASE WHEN click >= "view" THEN 'click' ELSE 'view' END, unnest(['own', 'best']), unnest([CASE event_type WHEN 'click' THEN click WHEN 'view' THEN "view" END, CASE WHEN click >= "view" THEN click ELSE "view" END]) FROM ({_MEANS})""",
+    _LONG("composition", "event_type", "WITH p AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT event_type, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY user_id) AS share FROM p) SELECT event_type, sum(share) / (SELECT count(DISTINCT user_id) FROM events) AS mean_pct FROM s GROUP BY 1", ["mean_pct"]),
+    _LONG("histogram:value", "bin", _histogram(12, ""), ["lo", "hi", "n"]),
+    _LONG("histogram:click", "bin", _histogram(12, "").replace("FROM events", "FROM (SELECT value FROM events WHERE event_type = 'click')").replace("events, e", "(SELECT value FROM events WHERE event_type = 'click') q, e"), ["lo", "hi", "n"]),
 ]))
 def profile_report(t):
-    return profile.profile_report(t.events.select("event_id", "user_id", "event_type", "value"), {"n_users": "user_id"}, ["event_type"], ["value"], "user_id")
+    """All sections over one read of events. The crosstab's column, not one of the table's, is the remainder of user_id by 3."""
+    e = t.events.select("event_id", "user_id", "event_type", "value", F.when(F.col("event_type") == "click", F.col("value")).alias("click"), (F.col("value") / 2).alias("view"))
+    part = F.col("event_id") % 3 == 0
+    low = F.col("value") < 10
+    return profile.profile_report(
+        e, {"n_users": "user_id"}, ["event_type"], ["value", "click"], "user_id", flags={"small": low, "bought": F.col("event_type") == "purchase", "never": F.col("value") < 0}, exclusive=(low, part, F.col("user_id") % 2 == 0),
+        canonical={"event_type": ["click", "view"]}, top={"user_id": 5}, shares=("event_type", F.col("user_id") % 3), quantiles=("event_type", "value"), matrix=("event_type", ["click", "view"]), composition=("user_id", "event_type"), bins=12,
+    )
