@@ -62,8 +62,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
     groups = kept(found(bins))
     while groups.where(F.size("_open") > 0).limit(1).count():
-        open_ = groups.where(F.size("_open") > 0).select(*keys, "n", "_open")
-        within = beside(rows, open_, keys).withColumn("_t", F.get(F.filter("_open", lambda t: (t["a"] <= F.col("_v")) & (F.col("_v") <= t["b"])), F.lit(0))).where("_t is not null")
+        open_ = groups.select(*keys, "n", F.explode("_open").alias("_t"))
+        within = beside(rows, open_, keys).where((F.col("_t.a") <= F.col("_v")) & (F.col("_v") <= F.col("_t.b")))
         place = F.least(F.floor((F.col("_v") - F.col("_t.a")) / (F.col("_t.b") - F.col("_t.a")) * BINS), F.lit(BINS - 1)).cast("int")
         bins = within.groupBy(*keys, "n", F.col("_t.from").alias("_base"), place.alias("_bin")).agg(F.sum("_w").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
         before = Window.partitionBy(*keys, "_base").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
