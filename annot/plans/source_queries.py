@@ -152,3 +152,27 @@ def stream_ingest(t):
     path = new_path(t.spark, "ingest")
     stream.stream_ingest(stream.file_stream(t.spark, "events", t.sf_dir).select("event_id", "event_type", "value"), "event_type", path)
     return t.spark.read.option("basePath", path).parquet(f"{path}/batch=*").select("event_id", "event_type", "value")
+
+
+def _in_two_halves(t, run) -> None:
+    """Calls run(stream, state) over a folder that holds the first half of the events, and again after the others came."""
+    path, state = new_path(t.spark, "arrivals"), new_path(t.spark, "state")
+    for part in (0, 1):
+        t.events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(t.events.schema).parquet(path), state)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_resumed(t):
+    """The query is ended after half of the events and goes on from its state: keys of the first half stay out of the second."""
+    path = new_path(t.spark, "stream")
+    _in_two_halves(t, lambda s, state: stream.run_available(stream.stream_dedup(s.select("user_id", "event_type"), ["user_id", "event_type"]), path, state))
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT event_id, event_type, value, (event_id % 2)::INT AS batch FROM events")
+def stream_ingest_resumed(t):
+    """Half of the events come after the first call has ended; the batch of the others is its own folder."""
+    path = new_path(t.spark, "ingest")
+    _in_two_halves(t, lambda s, state: stream.stream_ingest(s.select("event_id", "event_type", "value"), "event_type", path, state))
+    return t.spark.read.parquet(path).select("event_id", "event_type", "value", "batch")
