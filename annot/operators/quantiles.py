@@ -11,7 +11,8 @@ from annot.sources.shared import written
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 #: Bins of a power of two in the first histogram, and of a bin of the one before in the others.
 FINE, BINS = 512, 65_536
-_EDGE = 1_000_000
+#: Beyond the bins of all finite values.
+_EDGE = 2 * 2200 * FINE
 
 
 def beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
