@@ -8,39 +8,52 @@ training texts hold has a class of its own finding:
 2. Of every other word, all occurrences are counted by the classes of the words before and after them. The word goes to
    the class for which the exchange criterion grows most; as its counts are small beside a class's, that growth is a sum
    over its neighbours of log(n(c, d) N / (n(c) n(d))), so that a task gives a class to as many words as it has.
-3. All texts are read once with these classes. Transitions between classes are counted over the training texts, and the
-   same transitions, kept as two bytes a token, give every text's score.
+   That is done ROUNDS times: from the second on, neighbours that aren't of the core have classes as well.
+3. Transitions between the classes of all words are counted over the training texts, and give every text's score.
+
+Words that no training text holds are one event, as in the base score. A class gives it the share that words met once have
+of its tokens (Good and Turing's estimate); as an unknown word's class isn't known, it is a mixture of all classes, both
+when it comes and in what comes after it. The weights of the mixture with the unigram model and of the smoothing are those
+that make the training transitions likeliest, each left out of the counts in turn.
 
 With c(w) + 1 in the numerators of both models, a text's score is a sum of log10(c(w) + 1), which the base score has too,
-and of a term of classes alone. Counts and classes of frequent words (a bounded table) are at hand in each task; those of
-all others are joined by word, and the few transitions at them are filled in after the join.
+and of a term of classes alone. Texts are split into words twice: to count words, and to write them as numbers. A word is
+known by 63 bits of a hash; that no two words share them is checked by 64 more bits, and another seed is taken otherwise.
+Frequent words (a bounded table) have small numbers that all tasks know; all others are joined by hash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, fold_of, written
+from .words import groups
 
-#: Words whose counts and classes are sent to every task, at most.
+#: Words whose numbers, counts and classes are sent to every task, at most; the core is always among them.
 NEAR_WORDS = 200_000
 #: Words that are clustered by exchange; the others are placed by their neighbours' classes.
 CORE = 1000
+#: Words after the core whose neighbours a task adds up before it hands them on: no word beyond has a large share of a text.
+MIDDLE = 16_384
 CLASSES = 64
-MIX = 0.95
-#: Weight of the unigram class distribution in each class's transitions, in counts.
-SMOOTH = 20.0
+#: Times that words beyond the core are placed.
+ROUNDS = 2
+#: Weights of the class model beside the unigram model, and of the unigram class distribution in each class's transitions,
+#: in counts. The likeliest pair is taken.
+MIXES, SMOOTHS = (0.8, 0.9, 0.95, 0.98, 0.99, 0.995), (1.0, 5.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 #: Distinct words that a task counts before it hands them on, and words whose numbers it remembers.
 FLUSH, MEMO = 300_000, 200_000
 END = b""  # no word is empty
-#: Characters of text that a task looks at together; more where that makes rows fewer.
-CHUNK, LARGE_CHUNK = 1_000_000, 4_000_000
-_OPEN = 65535  # a transition whose classes aren't both known yet
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,68 +61,86 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _chunks(batches: Iterator[pd.DataFrame], most: int = CHUNK) -> Iterator[pd.DataFrame]:
-    """Batches cut into parts of some millions of characters, of one text at least."""
-    for batch in batches:
-        total = batch["text"].str.len().cumsum().to_numpy()
-        start = 0
-        while start < len(batch):
-            done = total[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(total, done + most, side="right")))
-            yield batch.iloc[start:stop]
-            start = stop
+def keys_of(words: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A negative number for each word, from 63 bits of its hash, and the 64 other bits."""
+    import xxhash
+
+    both = np.frombuffer(b"".join(map(partial(xxhash.xxh3_128_digest, seed=seed), words)), ">u8").reshape(-1, 2)
+    return -1 - (both[:, 1] >> np.uint64(1)).astype(np.int64), both[:, 0].astype("<u8").view(np.int64)
+
 
+def _count_words(seed: int):
+    """key and check of each word, and c, how often training texts hold it; an end for each of these."""
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from collections import Counter
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, other = Counter(), Counter()
 
-    seen: Counter = Counter()
+        def out() -> pa.RecordBatch:
+            words = [*seen, *(w for w in other if w not in seen)]
+            key, check = keys_of(words, seed)
+            c = np.zeros(len(words), np.int64)
+            c[: len(seen)] = list(seen.values())
+            seen.clear()
+            other.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(check), pa.array(c)], names=["key", "check", "c"])
 
-    def out() -> pd.DataFrame:
-        rows = pd.DataFrame({"word": list(seen), "c": list(seen.values())})
-        seen.clear()
-        return rows
+        for part, texts in groups(batches, "text"):
+            for raw, learn in zip(texts, part["learn"].to_pylist(), strict=True):
+                (seen if learn else other).update(raw.lower().split())
+                seen[END] += learn
+                if len(seen) + len(other) > FLUSH:
+                    yield out()
+        yield out()
 
-    for batch in batches:
-        for text in batch["text"]:
-            seen.update(words_of(text))
-            seen[END] += 1
-            if len(seen) > FLUSH:
-                yield out()
-    yield out()
+    return run
 
 
-class _Codes(dict):
-    """The number of each word: 0 the end, core words from 1 on, of any other a hash of its own, which is negative."""
+class _Places(dict):
+    """The number of each word: 0 the end, from 1 on words by frequency, of words that aren't near their negative key."""
 
-    def __init__(self, core: list[bytes]):
-        self.core = {END: 0, **{w: i + 1 for i, w in enumerate(core)}}
-        super().__init__(self.core)
+    def __init__(self, keys: np.ndarray, seed: int):
+        super().__init__({END: 0})
+        self.near, self.seed = {k: i + 1 for i, k in enumerate(keys.tolist())}, seed
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO:
             self.clear()
-            self.update(self.core)
-        found = self[word] = -1 - (key_of(word) >> 1)
+            self[END] = 0
+        key = int(keys_of([word], self.seed)[0][0])
+        found = self[word] = self.near.get(key, key)
         return found
 
 
-def key_of(word: bytes) -> int:
-    """What xxhash64 gives for the word in Spark, as an unsigned number."""
-    import xxhash
+def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values, pa.int64()))
 
-    return xxhash.xxh64_intdigest(word, seed=42)
 
+def _encode(shared, seed: int):
+    """codes, four bytes a token, and far, the keys of a text's words that aren't near: their codes go on after the near ones."""
 
-def _tokens(texts) -> tuple[list[bytes], np.ndarray]:
-    """Words of all texts, an end after each, and the number of tokens a text."""
-    words, lengths = [], []
-    for text in texts:
-        own = words_of(text)
-        words += own
-        words.append(END)
-        lengths.append(len(own) + 1)
-    return words, np.array(lengths, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        places, size = _Places(keys, seed), len(keys)
+        for part, texts in groups(batches, "text"):
+            codes, far = [], []
+            for raw in texts:
+                words = raw.lower().split()
+                at = np.fromiter(map(places.__getitem__, chain(words, (END,))), np.int64, len(words) + 1)
+                away = at < 0
+                own, at[away] = np.unique(at[away], return_inverse=True)
+                at[away] += size + 1
+                codes.append(at.astype("<u4").tobytes())
+                far.append(own)
+            columns = [part["doc_id"], part["learn"], part["wanted"], pa.array(codes, pa.binary()), _lists(np.concatenate(far), [len(x) for x in far])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "wanted", "codes", "far"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows with some megabytes of codes, the codes of all, and the number of tokens of each."""
+    for part, raw in groups(batches, "codes"):
+        yield part, np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.array([len(r) // 4 for r in raw], np.int64)
 
 
 def _before(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -120,44 +151,68 @@ def _before(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count_core_pairs(core: list[bytes]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, units = _Codes(core), len(core) + 2
-        pairs = np.zeros(units * units, np.int64)
-        for batch in _chunks(batches):
-            words, lengths = _tokens(batch["text"])
-            at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-            at[at < 0] = units - 1
-            key = _before(at, lengths) * units + at
+def _count_pairs(numbers: np.ndarray, width: int):
+    """pair, n: how often a number comes before another one; numbers: that of each code, the last one for all codes beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(width * width, np.int64)
+        for _, codes, lengths in _tokens(batches):
+            own = numbers[np.minimum(codes, len(numbers) - 1)]
+            key = _before(own, lengths) * width + own
             if 4 * len(key) > len(pairs):
                 pairs += np.bincount(key, minlength=len(pairs))
             else:
                 np.add.at(pairs, key, 1)
         key = np.flatnonzero(pairs)
-        yield pd.DataFrame({"pair": key, "n": pairs[key]})
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pairs[key])], names=["pair", "n"])
 
     return run
 
 
-def _neighbours(core: list[bytes], cls: np.ndarray):
-    """key and, two bytes an occurrence, the classes before and after it, for words that aren't of the core."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, units = _Codes(core), len(core) + 2
-        for batch in _chunks(batches, LARGE_CHUNK):
-            words, lengths = _tokens(batch["text"])
-            at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-            c = cls[np.where(at < 0, units - 1, at)].astype(np.uint8)
-            rare = np.flatnonzero(at < 0)  # never a text's end, so each has a token after it
-            if not len(rare):
+def _pair_table(docs: DataFrame, numbers: np.ndarray, width: int) -> np.ndarray:
+    found = docs.select("codes").mapInArrow(_count_pairs(numbers, width), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # width ** 2 rows at most
+    table = np.zeros(width * width)
+    table[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(width, width)
+
+
+def _neighbours(shared, cls: np.ndarray, core: int, width: int, middle: int):
+    """key and around, what is before and after a word that isn't of the core: two bytes an occurrence, the classes, or where
+    `dense` says so four bytes for each class before and each class after, the number of times. cls: as in _count_pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        size, dense = len(keys), min(middle, max(len(keys) - core, 0))
+        sums = np.zeros(dense * 2 * width, np.int64)
+        for part, codes, lengths in _tokens(batches):
+            c = cls[np.minimum(codes, len(cls) - 1)]
+            before = _before(c, lengths)
+            at = np.flatnonzero((codes > core) & (codes <= core + dense))
+            row = (codes[at] - core - 1) * 2 * width
+            if len(at):
+                sums += np.bincount(row + before[at], minlength=len(sums)) + np.bincount(row + width + c[at + 1], minlength=len(sums))
+            at = np.flatnonzero(codes > core + dense)  # never a text's end, so each has a token after it
+            if not len(at):
                 continue
-            order = rare[np.argsort(at[rare], kind="stable")]
-            codes_of = at[order]
-            first = np.concatenate([[0], np.flatnonzero(codes_of[1:] != codes_of[:-1]) + 1])
-            keys = codes_of[first]
-            raw = np.stack([_before(c, lengths)[order], c[order + 1]], 1).tobytes()
-            cuts = [*(2 * first).tolist(), len(raw)]
-            yield pd.DataFrame({"key": -1 - keys, "around": [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+            number, away = codes[at], codes[at] > size
+            key = np.empty(len(at), np.int64)
+            key[~away] = keys[number[~away] - 1]
+            per_text = pc.list_value_length(part["far"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            base = np.repeat(np.cumsum(per_text) - per_text, lengths)[at]
+            key[away] = pc.list_flatten(part["far"]).to_numpy()[base[away] + number[away] - size - 1]
+            order = np.argsort(key, kind="stable")
+            key, at = key[order], at[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            raw = np.stack([before[at], c[at + 1]], 1).astype(np.uint8).tobytes()
+            cuts = np.append(2 * first, len(raw)).astype(np.int32)
+            around = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(np.zeros(len(first), bool)), around], names=["key", "dense", "around"])
+        sums = sums.reshape(dense, 2 * width)
+        rows = np.flatnonzero(sums.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[core + rows], pa.int64()), pa.array(np.ones(len(rows), bool)), pa.array([r.tobytes() for r in sums[rows].astype("<i4")], pa.binary())],
+            names=["key", "dense", "around"],
+        )
 
     return run
 
@@ -233,135 +288,117 @@ def association(table: np.ndarray) -> np.ndarray:
     return np.log((table + 0.5 * np.minimum(chance, 1) + 1e-9) / (chance + 0.5 * np.minimum(chance, 1) + 1e-9))
 
 
-def _place_words(after: np.ndarray, before: np.ndarray, classes: int):
-    """key and class of each word, from rows sorted by key. after[d, b]: growth for a class d before a word of class b."""
-    width = len(after)
-    weights = np.concatenate([after, before])[:, 1:classes]
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows["key"].to_numpy()
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        keys, group = key[new], np.cumsum(new) - 1
-        raw = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(-1, 2)
-        own = np.repeat(group, rows["around"].str.len().to_numpy() // 2)
-        growth = np.zeros((len(keys), classes - 1))
-        for i in range(0, len(keys), 4096):
-            k = min(4096, len(keys) - i)
-            part = (own >= i) & (own < i + k)
-            o, r = own[part] - i, raw[part]
-            counts = np.bincount(o * 2 * width + r[:, 0], minlength=k * 2 * width) + np.bincount(o * 2 * width + width + r[:, 1], minlength=k * 2 * width)
-            growth[i : i + k] = counts.reshape(k, -1) @ weights
-        return pd.DataFrame({"key": keys, "cls": (growth.argmax(1) + 1).astype(np.int16)})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            more = rows["key"] != rows["key"].iloc[-1]
-            if more.any():
-                yield solve(rows[more])
-            held = rows[~more]
-        if held is not None and len(held):
-            yield solve(held)
-
-    return run
-
-
-class _Near:
-    """What a task knows of frequent words: place, log10(c + 1) and class."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, cls: np.ndarray):
-        self.words, self.counts, self.cls, self.place = words, counts, cls, None
-
-    def __getstate__(self):
-        return self.words, self.counts, self.cls
+def _place_words(growth: np.ndarray, classes: int):
+    """key, cls and c of each word, from rows sorted by key. growth[a, d]: for a class d after a class a, and the other way."""
+    width = len(growth)
+    weights = np.concatenate([growth, growth.T])[:, 1:classes]
 
-    def __setstate__(self, state):
-        self.__init__(*state)
+    def solve(keys, counts: np.ndarray) -> pa.RecordBatch:
+        best = np.round(counts @ weights, 9).argmax(1) + 1
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(best.astype(np.int16)), pa.array(counts[:, :width].sum(1))], names=["key", "cls", "c"])
 
-    def build(self) -> _Near:
-        if self.place is None:
-            self.place = {w: i for i, w in enumerate(self.words)}
-            self.logs = np.append(np.log10(self.counts + 1.0), 0.0)  # the last one for words that aren't near
-            self.codes = np.append(self.cls, 0).astype(np.int64)
-        return self
-
-
-def _read(shared, classes: int):
-    """A row a text: its transitions, what is known of its near words, and its other words with the transitions at them."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from itertools import repeat
-
-        near = shared.value.build()
-        for batch in _chunks(batches):
-            words, lengths = _tokens(batch["text"])
-            at = np.fromiter(map(near.place.get, words, repeat(-1)), np.int64, len(words))
-            far = np.flatnonzero(at < 0)
-            doc, logs, code = np.repeat(np.arange(len(lengths)), lengths), near.logs[at], near.codes[at]
-            others: list[dict] = [{} for _ in lengths]
-            for i in far.tolist():
-                own = others[doc[i]]
-                code[i] = -1 - own.setdefault(words[i], len(own))
-            before = _before(code, lengths)
-            unknown = (code < 0) | (before < 0)
-            cells = np.where(unknown, _OPEN, before * classes + code).astype("<u2")
-            asked = np.stack([before, code], 1).astype("<i4")
-            stops = np.cumsum(lengths)
-            rows = []
-            for k, (a, b) in enumerate(zip((stops - lengths).tolist(), stops.tolist(), strict=True)):
-                rows.append((cells[a:b].tobytes(), asked[a:b][unknown[a:b]].tobytes(), list(others[k])))
-            out = pd.DataFrame(rows, columns=["cells", "asked", "words"])
-            known = (at >= 0) & (logs > 0)
-            yield batch.drop(columns="text").reset_index(drop=True).assign(n_tokens=lengths, known=np.bincount(doc, known, len(lengths)).astype(np.int64), logs=np.bincount(doc, logs, len(lengths)), **out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # key and counts of the last word, which may go on
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                key, dense, around = part["key"].to_numpy(), part["dense"].to_numpy(zero_copy_only=False), part["around"].to_pylist()
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                keys, group = key[new], np.cumsum(new) - 1
+                counts = np.zeros((len(keys), 2 * width), np.int64)
+                if dense.any():
+                    np.add.at(counts, group[dense], np.frombuffer(b"".join(x for x, d in zip(around, dense, strict=True) if d), "<i4").reshape(-1, 2 * width))
+                short = [b"" if d else x for x, d in zip(around, dense, strict=True)]
+                raw = np.frombuffer(b"".join(short), np.uint8).reshape(-1, 2)
+                own = np.repeat(group, [len(x) // 2 for x in short]) * 2 * width
+                flat = counts.reshape(-1)
+                np.add.at(flat, own + raw[:, 0], 1)
+                np.add.at(flat, own + width + raw[:, 1], 1)
+                if held is not None and held[0] == keys[0]:
+                    counts[0] += held[1]
+                elif held is not None:
+                    yield solve([held[0]], held[1][None])
+                yield solve(keys[:-1], counts[:-1])
+                held = keys[-1], counts[-1]
+        if held is not None:
+            yield solve([held[0]], held[1][None])
 
     return run
 
 
-def _fill(unknown: int, classes: int):
-    """Fills in the transitions at other words, and adds what is known of these: far_i, far_c and far_cls of those in the vocabulary."""
+def _fill(shared, unknown: int, width: int):
+    """Transitions of each text as two bytes a token, n_tokens, n_known and the sum of log10(c + 1); far_*: what is known of far words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, cls = shared.value
+        logs, size = np.log10(c + 1.0), len(c)
         for batch in batches:
             rows = []
-            for cells, asked, n, known, logs, i, far_c, far_cls in zip(*(batch[x] for x in ("cells", "asked", "n_far", "known", "logs", "far_i", "far_c", "far_cls")), strict=True):
+            for raw, n, i, far_c, far_cls in zip(*(batch[x] for x in ("codes", "n_far", "far_i", "far_c", "far_cls")), strict=True):
+                codes = np.frombuffer(raw, "<u4").astype(np.int64)
+                own_cls, own_c, own_log = cls, c, logs
                 if n:
-                    cls, c = np.full(n, unknown), np.zeros(n)
+                    more_cls, more_c = np.full(n, unknown), np.zeros(n)
                     if i is not None:
-                        cls[i], c[i] = far_cls, far_c
-                    asked = np.frombuffer(asked, "<i4").reshape(-1, 2)
-                    both = np.where(asked < 0, cls[np.where(asked < 0, -1 - asked, 0)], asked)
-                    own = -1 - asked[asked[:, 1] < 0, 1]
-                    cells = np.frombuffer(cells, "<u2").copy()
-                    cells[cells == _OPEN] = both[:, 0] * classes + both[:, 1]
-                    cells, known, logs = cells.tobytes(), known + int((c[own] > 0).sum()), logs + float(np.log10(c[own] + 1).sum())
-                rows.append((cells, known, logs))
-            out = pd.DataFrame(rows, columns=["cells", "n_known", "logs"])
-            yield batch[["doc_id", "learn", "wanted", "n_tokens"]].reset_index(drop=True).assign(**out)
+                        more_cls[i], more_c[i] = far_cls, far_c
+                    away = codes >= size
+                    k, at = np.where(away, codes - size, 0), np.where(away, 0, codes)
+                    own, known, log = np.where(away, more_cls[k], cls[at]), np.where(away, more_c[k], c[at]) > 0, np.where(away, np.log10(more_c + 1)[k], logs[at])
+                else:
+                    own, known, log = own_cls[codes], own_c[codes] > 0, own_log[codes]
+                before = np.concatenate([[0], own[:-1]])
+                rows.append(((before * width + own).astype("<u2").tobytes(), len(codes), int(known.sum()), float(log.sum())))
+            out = pd.DataFrame(rows, columns=["cells", "n_tokens", "n_known", "logs"])
+            yield batch[["doc_id", "learn", "wanted"]].reset_index(drop=True).assign(**out)
 
     return run
 
 
-def _count_cells(classes: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(classes * classes, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch["cells"]), "<u2"), minlength=classes * classes)
+def _count_cells(cells: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, np.int64)
+        for _, raw in groups(batches, "cells"):
+            total += np.bincount(np.frombuffer(b"".join(raw), "<u2"), minlength=cells)
         key = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": key, "n": total[key]})
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], names=["cell", "n"])
 
     return run
 
 
-def class_terms(table: np.ndarray, kinds: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 of what multiplies c(w) + 1, for each previous class and class. table: transitions; kinds: words a class.
-
-    A class's words and one slot for its unknown ones share its probability, as in the base model.
-    """
+def _parts(table: np.ndarray, kinds: np.ndarray, once: np.ndarray, n: int, v: int, smooth: float, left_out: int = 0):
+    """Class transitions, P(word | class) / (c + 1) of known words, the share of unknown ones by class, and both of the unigrams."""
     tokens = table.sum(0)
     start = (tokens + 1) / (tokens.sum() + len(tokens))
-    step = (table + SMOOTH * start) / (table.sum(1, keepdims=True) + SMOOTH)
-    return np.log10(MIX * step / (tokens + kinds + 1) + (1 - MIX) / (n + v + 1))
+    step = (np.maximum(table - left_out, 0) + smooth * start) / (np.maximum(table.sum(1, keepdims=True) - left_out, 0) + smooth)
+    unseen = (once + 0.5) / (tokens + 1)
+    unseen[0] = 0  # an end is never unknown
+    unseen = np.minimum(unseen, 0.99)
+    rare = min((once.sum() + 0.5) / (n + 1), 0.99)
+    return start, step, (1 - unseen) / np.maximum(tokens + kinds - left_out, 1), unseen, (1 - rare) / max(n + v - left_out, 1), rare
+
+
+def mixing_weights(table: np.ndarray, kinds: np.ndarray, once: np.ndarray, n: int, v: int) -> tuple[float, float]:
+    """The pair of MIXES and SMOOTHS for which the training transitions are likeliest, each left out of the counts in turn."""
+    best = {}
+    for smooth in SMOOTHS:
+        _, step, word, _, plain, _ = _parts(table, kinds, once, n, v, smooth, left_out=1)
+        for mix in MIXES:
+            best[mix, smooth] = float((table * np.log(mix * step * word + (1 - mix) * plain)).sum())
+    return max(best, key=lambda pair: (round(best[pair], 6), pair))
+
+
+def class_terms(table: np.ndarray, kinds: np.ndarray, once: np.ndarray, n: int, v: int) -> np.ndarray:
+    """log10 of what multiplies c(w) + 1, for each previous class and class; the last of both is that of unknown words.
+
+    table: transitions; kinds, once: words of each class, and those met once. All known words and the one unknown event add
+    up to 1 after each class.
+    """
+    mix, smooth = mixing_weights(table, kinds, once, n, v)
+    start, step, word, unseen, plain, rare = _parts(table, kinds, once, n, v, smooth)
+    by_class = start * unseen
+    rows = np.vstack([step, by_class @ step / by_class.sum()])
+    known = mix * rows * word + (1 - mix) * plain
+    return np.log10(np.hstack([known, mix * (rows @ unseen)[:, None] + (1 - mix) * rare]))
 
 
 def _sum_terms(terms: np.ndarray):
@@ -369,50 +406,70 @@ def _sum_terms(terms: np.ndarray):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            cells = np.frombuffer(b"".join(batch["cells"]), "<u2")
-            doc = np.repeat(np.arange(len(batch)), batch["cells"].str.len().to_numpy() // 2)
-            yield batch.drop(columns="cells").reset_index(drop=True).assign(classes=np.bincount(doc, flat[cells], len(batch)))
+            classes = [float(flat[np.frombuffer(raw, "<u2")].sum()) for raw in batch["cells"]]
+            yield batch.drop(columns="cells").reset_index(drop=True).assign(classes=classes)
 
     return run
 
 
-def near_words(lexicon: DataFrame, most: int) -> pd.DataFrame:
-    """The most frequent words (word, c and further columns), whole ranks of equal counts only, at most `most`."""
+def near_words(words: DataFrame, most: int) -> pd.DataFrame:
+    """key and c of the most frequent words, whole ranks of like counts only, at most `most`."""
     size = F.floor(F.log2("c") * 16)
-    ranks = sorted(lexicon.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])  # a few hundred rows at any size
+    ranks = sorted(words.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])  # a few hundred rows at any size
     total, least = 0, None
     for r in ranks:
         total += r["count"]
         if total > most:
             break
         least = r["size"]
-    got = (lexicon.where(size >= least) if least is not None else lexicon.limit(0)).toArrow().to_pandas()
-    got["word"] = [bytes(w) for w in got["word"]]
-    return got.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
-
-
-def word_classes(texts: DataFrame, vocabulary: DataFrame, core: list[bytes], classes: int) -> DataFrame:
-    """key (the hash of the word, halved) and cls of every word in texts (text), the end's apart."""
-    spark, units = texts.sparkSession, len(core) + 2
-    found = texts.mapInPandas(_count_core_pairs(core), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # units ** 2 rows at most
-    pairs = np.zeros(units * units)
-    pairs[found["pair"]] = found["n"]
-    pairs = pairs.reshape(units, units)
-    cls = exchange_clusters(pairs, classes, rest=True)
-    member = np.zeros((units, classes + 1))
-    member[np.arange(units), cls] = 1
-    growth = association(member.T @ pairs @ member)
-    own = pd.DataFrame({"key": np.array([key_of(w) >> 1 for w in core], np.int64), "cls": cls[1 : len(core) + 1].astype(np.int16)})
-    rest = texts.mapInPandas(_neighbours(core, cls), "key long, around binary").repartition("key").sortWithinPartitions("key").mapInPandas(_place_words(growth, growth.T, classes), "key long, cls short")
-    return rest.unionByName(spark.createDataFrame(own, "key long, cls short"))
-
-
-def score_texts(df: DataFrame, train: DataFrame | Column, doc_id: str = "doc_id", text: str = "text", near: int = NEAR_WORDS, classes: int = CLASSES, core: int = CORE) -> DataFrame:
+    return (words.where(size >= least) if least is not None else words.limit(0)).toArrow().to_pandas()
+
+
+def count_words(texts: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """key and c of the words of all texts (text, learn), their tokens and distinct words in training, and the seed of the keys."""
+    for seed in range(8):
+        each = texts.select("text", "learn").mapInArrow(_count_words(seed), "key long, check long, c long")
+        words = written(each.groupBy("key").agg(F.sum("c").alias("c"), (F.min("check") != F.max("check")).alias("clash")), "lm-words")
+        n, v, clash = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.bool_or("clash"), F.lit(False))).head()
+        if not clash:
+            return words.select("key", "c"), n, v, seed
+    raise RuntimeError("no seed gives all words keys of their own")
+
+
+def word_classes(docs: DataFrame, shared, core: int, classes: int, rounds: int, middle: int, least: float) -> tuple[DataFrame, np.ndarray]:
+    """key, cls and c of every word beyond the core in docs (codes, far), and the class of each near code.
+
+    shared: the near keys; least: the count that near words beyond the core have at least.
+    """
+    keys = shared.value
+    cls = np.full(len(keys) + 2, classes)
+    cls[: core + 1] = np.arange(core + 1)
+    pairs = _pair_table(docs, np.append(np.arange(core + 1), core + 1), core + 2)
+    units = exchange_clusters(pairs, classes, rest=True)
+    cls[: core + 1] = units[: core + 1]
+    member = np.zeros((core + 2, classes + 1))
+    member[np.arange(core + 2), units] = 1
+    table, placed = member.T @ pairs @ member, None
+    place = pd.Series(np.arange(1, len(keys) + 1), keys)
+    for i in range(max(rounds, 1)):
+        if i:
+            table = _pair_table(docs, cls, classes + 1)
+        rows = docs.select("codes", "far").mapInArrow(_neighbours(shared, cls, core, classes + 1, middle), "key long, dense boolean, around binary")
+        placed = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_place_words(association(table), classes), "key long, cls short, c long"), "lm-placed")
+        near = placed.where(F.col("c") >= least).select("key", "cls").toArrow().to_pandas()  # the near words beyond the core
+        cls = cls.copy()
+        cls[place[near["key"]].to_numpy()] = near["cls"]
+    return placed, cls[:-1]
+
+
+def score_texts(
+    df: DataFrame, train: DataFrame | Column, doc_id: str = "doc_id", text: str = "text", near: int = NEAR_WORDS, classes: int = CLASSES, core: int = CORE, rounds: int = ROUNDS, middle: int = MIDDLE
+) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of df, with a model of the training texts.
 
     train: a condition on df's rows, or another table. Null texts count as empty: one end token. Repeated rows count each;
     null ids, extra columns and very long texts are no trouble. Without training texts no word is known. An empty df gives
-    an empty table. A word that no training text holds has the class that most words met once have.
+    an empty table. Of words of equal frequency those with the larger key come first.
     """
     spark = df.sparkSession
     id_type = df.schema[doc_id].dataType.simpleString()
@@ -421,31 +478,38 @@ def score_texts(df: DataFrame, train: DataFrame | Column, doc_id: str = "doc_id"
         whole = df.select(*row, F.coalesce(train, F.lit(False)).alias("learn"), F.lit(True).alias("wanted"))
     else:
         whole = df.select(*row, F.lit(False).alias("learn"), F.lit(True).alias("wanted")).unionByName(train.select(F.lit(None).cast(id_type).alias("doc_id"), row[1], F.lit(True).alias("learn"), F.lit(False).alias("wanted")))
-    texts = whole.where("learn").select("text")
-    vocabulary = written(texts.mapInPandas(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    first = near_words(vocabulary.where(F.octet_length("word") > 0).orderBy(F.col("c").desc(), "word").limit(core), core)
-    placed = word_classes(texts, vocabulary, list(first["word"]), classes)
-    keyed = vocabulary.withColumn("key", F.shiftrightunsigned(F.xxhash64("word"), 1))
-    lexicon = written(keyed.join(placed, "key", "left").select("word", "c", F.when(F.octet_length("word") == 0, 0).otherwise(F.col("cls")).cast("int").alias("cls")), "lm-lexicon")
+    counted, n, v, seed = count_words(whole)
+    end = int(keys_of([END], seed)[0][0])
+    words = counted.where((F.col("c") > 0) & (F.col("key") != end))
+    first = words.orderBy(F.col("c").desc(), F.col("key").desc()).limit(core).toArrow().to_pandas()
+    more = near_words(words, near)
+    known = pd.concat([first, more]).drop_duplicates("key").sort_values(["c", "key"], ascending=False, ignore_index=True)
+    core = len(first)
+    least = float(known["c"].min()) if len(known) > core else float("inf")
+    shared = spark.sparkContext.broadcast(known["key"].to_numpy(np.int64))
+
+    docs = written(whole.mapInArrow(_encode(shared, seed), f"doc_id {id_type}, learn boolean, wanted boolean, codes binary, far array<long>").withColumn("uid", F.monotonically_increasing_id()), "lm-docs")
+    placed, cls = word_classes(docs.where("learn"), shared, core, classes, rounds, middle, least)
     kinds, once = np.zeros(classes), np.zeros(classes)
-    for r in lexicon.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("one")).collect():  # a row a class
-        kinds[r["cls"]], once[r["cls"]] = r["k"], r["one"]
-    unknown = 1 + int(once[1:].argmax())
-    known = near_words(lexicon, near)
-    shared = spark.sparkContext.broadcast(_Near(list(known["word"]), known["c"].to_numpy(float), known["cls"].to_numpy(np.int64)))
-
-    read = whole.mapInPandas(_read(shared, classes), f"doc_id {id_type}, learn boolean, wanted boolean, n_tokens long, known long, logs double, cells binary, asked binary, words array<binary>")
-    docs = written(read.withColumn("uid", F.monotonically_increasing_id()), "lm-docs")
-    asked = docs.where(F.size("words") > 0).select("uid", F.posexplode("words").alias("i", "word"))
-    told = asked.join(lexicon, "word").groupBy("uid").agg(F.collect_list(F.struct("i", "c", "cls")).alias("far"))
-    filled = docs.withColumn("n_far", F.size("words")).drop("words").join(told, "uid", "left")
-    filled = filled.withColumns({f"far_{x}": F.col(f"far.{x}") for x in ("i", "c", "cls")}).drop("far")
-    filled = written(filled.mapInPandas(_fill(unknown, classes), f"doc_id {id_type}, learn boolean, wanted boolean, n_tokens long, cells binary, n_known long, logs double"), "lm-cells")
-    table = np.zeros(classes * classes)
-    for r in filled.where("learn").select("cells").mapInPandas(_count_cells(classes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes ** 2 rows at most
-        table[r["cell"]] = r["n"]
-    terms = class_terms(table.reshape(classes, classes), kinds, n, v)
+    np.add.at(kinds, cls[: core + 1], 1)
+    np.add.at(once, cls[1 : core + 1], known["c"].to_numpy()[:core] == 1)
+    kinds[0] = min(n, 1)
+    for r in placed.groupBy("cls").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("c") == 1).alias("one")).collect():  # a row a class
+        kinds[r["cls"]] += r["k"]
+        once[r["cls"]] += r["one"]
+    ends = counted.where(F.col("key") == end).head()
+    table_of = spark.sparkContext.broadcast((np.concatenate([[ends["c"] if ends else 0], known["c"].to_numpy(float)]), cls))
+
+    asked = docs.where(F.size("far") > 0).select("uid", F.posexplode("far").alias("i", "key"))
+    told = asked.join(placed.where(F.col("c") < least), "key").groupBy("uid").agg(F.collect_list(F.struct("i", "c", "cls")).alias("told"))
+    filled = docs.withColumn("n_far", F.size("far")).drop("far").join(told, "uid", "left")
+    filled = filled.withColumns({f"far_{x}": F.col(f"told.{x}") for x in ("i", "c", "cls")}).drop("told", "uid")
+    width = classes + 1
+    filled = written(filled.mapInPandas(_fill(table_of, classes, width), f"doc_id {id_type}, learn boolean, wanted boolean, cells binary, n_tokens long, n_known long, logs double"), "lm-cells")
+    found = filled.where("learn").select("cells").mapInArrow(_count_cells(width * width), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # width ** 2 rows at most
+    table = np.zeros(width * width)
+    table[found["cell"].to_numpy()] = found["n"].to_numpy()
+    terms = class_terms(table.reshape(width, width)[:classes, :classes], kinds, once, n, v)
     out = filled.where("wanted").drop("learn", "wanted").mapInPandas(_sum_terms(terms), f"doc_id {id_type}, n_tokens long, n_known long, logs double, classes double")
     return out.select(
         "doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
