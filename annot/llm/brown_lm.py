@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -95,20 +94,22 @@ def _count_words(seed: int):
     return run
 
 
-class _Places(dict):
+class _Places:
     """The number of each word: 0 the end, from 1 on words by frequency, of words that aren't near their negative key."""
 
     def __init__(self, keys: np.ndarray, seed: int):
-        super().__init__({END: 0})
+        self.known: dict[bytes, int] = {END: 0}
         self.near, self.seed = {k: i + 1 for i, k in enumerate(keys.tolist())}, seed
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-            self[END] = 0
-        key = int(keys_of([word], self.seed)[0][0])
-        found = self[word] = self.near.get(key, key)
-        return found
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > MEMO:
+            self.known = {END: 0}
+            new = set(words) - {END}
+        if new:
+            keys = keys_of(list(new), self.seed)[0].tolist()
+            self.known.update(zip(new, map(self.near.get, keys, keys), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 def _lists(values: np.ndarray, lengths: list[int]) -> pa.ListArray:
@@ -122,10 +123,13 @@ def _encode(shared, seed: int):
         keys = shared.value
         places, size = _Places(keys, seed), len(keys)
         for part, texts in groups(batches, "text"):
-            codes, far = [], []
+            words, stops = [], []
             for raw in texts:
-                words = raw.lower().split()
-                at = np.fromiter(map(places.__getitem__, chain(words, (END,))), np.int64, len(words) + 1)
+                words += raw.lower().split()
+                words.append(END)
+                stops.append(len(words))
+            numbers, codes, far = places.of(words), [], []
+            for at in np.split(numbers, stops[:-1]):
                 away = at < 0
                 own, at[away] = np.unique(at[away], return_inverse=True)
                 at[away] += size + 1
