@@ -44,6 +44,8 @@ MEMO = 300_000
 #: What separates pieces becomes a byte that UTF-8 doesn't have.
 _BREAK = b"\xff"
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\rABCDEFGHIJKLMNOPQRSTUVWXYZ", _BREAK * 10 + b"abcdefghijklmnopqrstuvwxyz")
+#: Seed of the hashes of languages, far from those of words.
+LANG_SEED = 1 << 40
 _MIX, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _W = [f"w{i}" for i in range(1, LONGEST + 1)]
 
@@ -93,7 +95,8 @@ def _bit(bits: int, key: np.ndarray) -> np.ndarray:
 
 
 def _word_keys(lang: str, word: np.ndarray) -> np.ndarray:
-    return word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode())).astype(np.int64)
+    """Languages are hashed by a seed that words never have: else `de` in es and `es` in de would have one key."""
+    return word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), LANG_SEED)).astype(np.int64)
 
 
 def _pair_keys(lang: str, first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:

@@ -82,6 +82,12 @@ def _clashing(hashed):
     return same
 
 
+def test_a_word_that_is_a_languages_name_is_no_clash(spark, monkeypatch):
+    rows, split, seeds = [("en de es fr. " * 9, lang) for lang in ("en", "de", "es")], c._split, []
+    monkeypatch.setattr(c, "_split", lambda seed: seeds.append(seed) or split(seed))
+    assert found(texts(spark, rows), least=5) == plain(rows, 5, 100) and seeds == [0]
+
+
 def test_products_beyond_64_bits(spark):
     score = spark.range(1).selectExpr("(cast(cast(9000000000000 as decimal(16,0)) * 1000 as decimal(20,0)) * cast(9000000000000 as decimal(17,0))) div (cast(9000000000001 as decimal(18,0)) * cast(8999999999999 as decimal(18,0))) as s").head().s
     assert score == 1000 * 9000000000000 * 9000000000000 // (9000000000001 * 8999999999999)
