@@ -256,6 +256,8 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     parts = max(64, (words.agg(F.sum("n")).head()[0] or 0) // PART_WORDS)
     linked = spark.sparkContext.broadcast(_table(_frequent_pairs(texts, known, bits, least, parts), bits).tobytes())
     counted = texts.mapInArrow(_windows(known, linked, bits, parts, longest), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
+    # A longest window that is itself too rare is only of use for the sums of its prefixes: those of one prefix become one row.
+    counted = counted.withColumn(cols[-1], F.when(F.col("n") >= least, F.col(cols[-1])).otherwise(F.lit(0)))
     rolled = spark.sql(f"SELECT lang, {', '.join(cols)}, sum(n) AS f, grouping_id() AS g FROM {{counted}} GROUP BY lang, w1, w2, ROLLUP({', '.join(cols[2:])})", counted=counted)
     size = F.lit(longest) - F.log2(F.col("g") + 1).cast("int")  # the last columns of a prefix are rolled up
     phrases = rolled.where(F.col("f") >= least).withColumn("size", size).withColumn("p", F.slice(F.array(*cols), 1, F.col("size"))).where(~F.array_contains("p", F.lit(0)))
