@@ -216,9 +216,10 @@ def _fillings(counts: list[int], mask: int, room: int, left: list[int]) -> Itera
         yield first
 
 
-def branch_and_bound(sizes: list[int], cap: int, nodes: int = SHARD_NODES) -> list[list[int]]:
-    """Bins of the sizes: fewest, unless the nodes run out before it is shown."""
-    best, total, left = best_fit(sizes, cap), sum(sizes), [nodes]
+def branch_and_bound(sizes: list[int], cap: int, nodes: int | None = SHARD_NODES) -> list[list[int]]:
+    """Bins of the sizes, as few as the nodes show. Without a number of nodes the search goes on, a bin at a step, until no
+    packing can have fewer."""
+    best, total, left = best_fit(sizes, cap), sum(sizes), [math.inf if nodes is None else nodes]
     least = -(-total // cap)
     if len(best) <= least:
         return best
@@ -249,7 +250,7 @@ def branch_and_bound(sizes: list[int], cap: int, nodes: int = SHARD_NODES) -> li
         if pattern is None or waste + cap - sum(pattern) > most:
             stack.pop()
             continue
-        times = min(counts[s] // pattern.count(s) for s in set(pattern))
+        times = 1 if nodes is None else min(counts[s] // pattern.count(s) for s in set(pattern))
         if waste + (cap - sum(pattern)) * times > most:
             times = 1
         put(pattern, times)
@@ -264,12 +265,12 @@ def branch_and_bound(sizes: list[int], cap: int, nodes: int = SHARD_NODES) -> li
     return best
 
 
-def complete_bins(lengths: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def complete_bins(lengths: np.ndarray, cap: int = LENGTH, nodes: int | None = SHARD_NODES) -> tuple[np.ndarray, np.ndarray]:
     """Bin number and place within the bin of each length."""
     order = np.argsort(lengths, kind="stable")
     next_of = np.searchsorted(lengths[order], np.arange(cap + 2))
     bins, places = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for n, pattern in enumerate(branch_and_bound(lengths.tolist(), cap)):
+    for n, pattern in enumerate(branch_and_bound(lengths.tolist(), cap, nodes)):
         at = 0
         for s in pattern:
             i = order[next_of[s]]
@@ -279,19 +280,20 @@ def complete_bins(lengths: np.ndarray, cap: int = LENGTH) -> tuple[np.ndarray, n
     return bins, places
 
 
-def _pack_shard(cap: int):
+def _pack_shard(cap: int, nodes: int | None):
     def run(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("uid", ignore_index=True)
-        bins, places = complete_bins(shard["length"].to_numpy(), cap)
+        bins, places = complete_bins(shard["length"].to_numpy(), cap, nodes)
         return shard.assign(sequence_id=shard["shard"] * 2**32 + bins, offset=places)
 
     return run
 
 
-def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_pieces: int = SHARD_PIECES, files: tuple[str, str, str] | None = None) -> DataFrame:
+def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_pieces: int = SHARD_PIECES, files: tuple[str, str, str] | None = None, nodes: int | None = SHARD_NODES) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every row of df is packed, repeated rows too, each for itself. Null and empty texts are one end token. Extra columns
+    nodes: steps of the search of a shard; None searches each shard until its packing is proven to be the best, which can
+    take very long, so shards should be small then. Every row of df is packed, repeated rows too, each for itself. Null and empty texts are one end token. Extra columns
     are ignored. An empty table gives an empty table.
     """
     pieces = written(token_pieces(df, doc_id, text, length, files).withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
@@ -299,7 +301,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     shards = max(1, math.ceil(short.count() / shard_pieces))
     dealt = short.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence_id long, offset long"
-    packed = dealt.groupBy("shard").applyInPandas(_pack_shard(length), schema).drop("shard")
+    packed = dealt.groupBy("shard").applyInPandas(_pack_shard(length, nodes), schema).drop("shard")
     whole = pieces.where(F.col("length") == length).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
     return packed.unionByName(whole).drop("uid")
 
