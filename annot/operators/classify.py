@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +45,31 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 3, seed: int
     return joined.withColumn("fold", ((F.col("_place") - F.col("_first")) % k).cast("int")).drop("_h", "_place", "_label", "_first")
 
 
-def fit_softmax(df: DataFrame, vector: str = "embedding", label: str = "label_index", c: float = 1.0, max_iter: int = 1000) -> LogisticRegressionModel:
+def fit_softmax(df: DataFrame, vector: str = "embedding", label: str = "label_index", c: float = 1.0, max_iter: int = 1000, tol: float = 1e-6) -> LogisticRegressionModel:
     """Multinomial logistic regression with an L2 penalty: c times the sum of losses plus half the squared norm."""
     rows = df.select(F.col(label).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     n = max(1, rows.count())
-    return LogisticRegression(family="multinomial", regParam=1 / (c * n), standardization=False, maxIter=max_iter).fit(rows)
+    return LogisticRegression(family="multinomial", regParam=1 / (c * n), standardization=False, maxIter=max_iter, tol=tol).fit(rows)
+
+
+def fit_balance(model: LogisticRegressionModel, df: DataFrame, vector: str = "embedding", label: str = "label_index") -> DataFrame:
+    """class, expected, slope: whether a model is the minimum of its loss over the rows that it was fitted on.
+
+    At the minimum each class's probabilities add up to its number of rows, as biases carry no penalty: expected is that sum.
+    slope is the largest part of the loss's gradient by a weight of the class, a row: 0 at the minimum. A row of the result
+    for each class of the model; what is summed is a row a dimension. Rows without a label or a vector are left out; no rows
+    give no classes.
+    """
+    classes, reg = model.numClasses, model.getRegParam()
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(vector).cast("array<double>").alias("x"))
+    told = model.transform(rows.withColumn("features", array_to_vector("x"))).select("y", "x", vector_to_array("probability").alias("p"))
+    sums = told.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col("p")[c]).alias(f"p{c}") for c in range(classes)])
+    expected = sums.where("rows > 0").select("rows", F.posexplode(F.array(*[f"p{c}" for c in range(classes)])).alias("class", "expected"))
+    over = told.select(F.posexplode("x").alias("j", "v"), "y", "p").groupBy("j").agg(*[F.sum(F.col("v") * (F.col("p")[c] - (F.col("y") == c).cast("int"))).alias(f"g{c}") for c in range(classes)])
+    weights = df.sparkSession.createDataFrame([(j, [float(w) for w in column]) for j, column in enumerate(model.coefficientMatrix.toArray().T)], "j int, w array<double>")
+    over = over.join(weights, "j").select(F.posexplode(F.array(*[F.struct(F.col(f"g{c}").alias("g"), F.col("w")[c].alias("w")) for c in range(classes)])).alias("class", "x"))
+    slopes = over.join(expected, "class").groupBy("class", "expected").agg(F.max(F.abs(F.col("x.g") / F.col("rows") + reg * F.col("x.w"))).alias("slope"))
+    return slopes.select("class", "expected", "slope")
 
 
 def predict(model: LogisticRegressionModel, df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -87,13 +108,30 @@ def active_classes(df: DataFrame, label: str, prediction: str) -> DataFrame:
     return df.select(F.explode(F.array(label, prediction)).alias("class")).distinct().orderBy("class")
 
 
+def fold_models(df: DataFrame, label: str, key: str, vector: str = "embedding", k: int = 3, seed: int = 42, tol: float = 1e-6) -> Iterator[tuple[LogisticRegressionModel, DataFrame, DataFrame]]:
+    """For each of k stratified folds the model of the other rows, these, and the fold's."""
+    folds = stratified_folds(df, label, key, k, seed)
+    for f in range(k):
+        train = folds.where(F.col("fold") != f)
+        yield fit_softmax(train, vector, label, tol=tol), train, folds.where(F.col("fold") == f)
+
+
 def cross_validate(df: DataFrame, label: str, key: str, vector: str = "embedding", k: int = 3, seed: int = 42) -> DataFrame:
     """accuracy_mean and accuracy_std (of the population) over k stratified folds."""
-    folds = stratified_folds(df, label, key, k, seed)
-    scores = [accuracy(predict(fit_softmax(folds.where(F.col("fold") != f), vector, label), folds.where(F.col("fold") == f), vector), label, "prediction") for f in range(k)]
+    scores = [accuracy(predict(model, test, vector), label, "prediction") for model, _, test in fold_models(df, label, key, vector, k, seed)]
     return reduce(DataFrame.unionByName, scores).agg(F.avg("accuracy").alias("cv_mean"), F.stddev_pop("accuracy").alias("cv_std"))
 
 
+def condition_models(conditions: dict[str, DataFrame], key: str, label: str, vector: str = "embedding", tol: float = 1e-6) -> Iterator[tuple[str, LogisticRegressionModel, DataFrame, DataFrame]]:
+    """For each condition with data its name, the model of four fifths of its rows, these, and the held-out fifth."""
+    for name, df in conditions.items():
+        if df is None or not df.limit(1).count():
+            continue
+        split = holdout_split(df, key)
+        train = split.where(~F.col("is_test")).drop("is_test")
+        yield name, fit_softmax(train, vector, label, tol=tol), train, split.where("is_test")
+
+
 def compare_conditions(conditions: dict[str, DataFrame], label: str, key: str, vector: str = "embedding", k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Metrics and summary; conditions without data are passed over.
 
@@ -101,13 +139,9 @@ def compare_conditions(conditions: dict[str, DataFrame], label: str, key: str, v
     condition, cv_mean (accuracy over k folds of the other rows), test_acc and n_test.
     """
     parts, summary = [], []
-    for name, df in conditions.items():
-        if df is None or not df.limit(1).count():
-            continue
-        split = holdout_split(df, key)
-        train = split.where(~F.col("is_test")).drop("is_test")
-        told = predict(fit_softmax(train, vector, label), split.where("is_test"), vector)
-        classes = sorted(r[0] for r in df.select(F.col(label).cast("double")).distinct().collect() if r[0] is not None)  # as many as the model has
+    for name, model, train, held in condition_models(conditions, key, label, vector):
+        told = predict(model, held, vector)
+        classes = sorted(r[0] for r in conditions[name].select(F.col(label).cast("double")).distinct().collect() if r[0] is not None)  # as many as the model has
         parts.append(per_class_metrics(told, label, "prediction", classes).withColumn("condition", F.lit(name)))
         test = told.agg(F.avg((F.col(label) == F.col("prediction")).cast("int")).alias("test_acc"), F.count(F.lit(1)).alias("n_test"))
         summary.append(beside(cross_validate(train, label, key, vector, k), test, []).select(F.lit(name).alias("condition"), F.bround("cv_mean", 3).alias("cv_mean"), F.bround("test_acc", 3).alias("test_acc"), "n_test"))

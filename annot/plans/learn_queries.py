@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annot.operators import classify
@@ -92,6 +95,33 @@ def compare_conditions_summary(t):
     return classify.compare_conditions({"whole": rows, "half": half}, "label_index", "vec_id")[1]
 
 
+def _balance(model, train, **more):
+    """A model's rows by class as its probabilities tell them, and whether its loss is level there."""
+    out = classify.fit_balance(model, train)
+    return out.select(*[F.lit(v).alias(k) for k, v in more.items()], "class", F.round("expected").cast("long").alias("n"), (F.col("slope") < 1e-4).alias("level"))
+
+
+_LABELS = "(SELECT vec_id, label, (dense_rank() OVER (ORDER BY label::VARCHAR) - 1)::INT AS class FROM embeddings)"
+
+
+@query(f"""WITH f AS (SELECT class, (row_number() OVER (PARTITION BY label ORDER BY {_MD5}, vec_id) - 1) % 3 AS own FROM {_LABELS})
+ SELECT fold, class, count(*) AS n, true AS level FROM f, (SELECT unnest([0, 1, 2])::INT AS fold) WHERE own <> fold GROUP BY 1, 2""")
+def softmax_fold_fits(t):
+    """At the minimum of its loss a fold's model expects as many rows of each class as the other folds have."""
+    models = classify.fold_models(classify.index_labels(t.embeddings, "label"), "label_index", "vec_id", tol=1e-10)
+    return reduce(DataFrame.unionByName, [_balance(model, train, fold=f) for f, (model, train, _) in enumerate(models)])
+
+
+@query(f"""WITH f AS (SELECT class, row_number() OVER (ORDER BY {_MD5}, vec_id) <= ceil(0.2 * (SELECT count(*) FROM embeddings)) AS is_test FROM {_LABELS})
+ SELECT condition, class, count(*) AS n, true AS level FROM f, (SELECT unnest(['whole', 'half']) AS condition) WHERE NOT is_test GROUP BY 1, 2""")
+def softmax_condition_fits(t):
+    """The same of the models that compare_conditions fits."""
+    rows = classify.index_labels(t.embeddings, "label")
+    half = rows.withColumn("embedding", F.slice("embedding", 1, 32))
+    models = classify.condition_models({"whole": rows, "half": half, "none": None}, "vec_id", "label_index", tol=1e-10)
+    return reduce(DataFrame.unionByName, [_balance(model, train, condition=name) for name, model, train, _ in models])
+
+
 @query()
 def predict(t):
     """Predictions for the held-out fifth by a model of the other rows."""
