@@ -14,6 +14,8 @@ from annot.sources.shared import written
 
 #: Seeds of a text of which the rarest is joined, and letters or words of a part of a long text.
 SEEDS, PART = 4, 256
+#: One of so many seeds of words, by its hash, is joined for texts that have such.
+SPARSE = 8
 
 
 def last_by_key(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -92,29 +94,20 @@ def _spread(size: Column, many: int = SEEDS) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda i: F.floor(i * size / many).cast("int")))
 
 
-def _letters(of: str, i: Column, size: Column) -> Column:
-    return F.substring(of, i + 1, size)
-
-
-def _words(of: str, i: Column, size: Column) -> Column:
-    return F.slice(of, i + 1, size)
-
-
-def _aligned(short: DataFrame, long: DataFrame, of: str, part, kinds: list[int]) -> DataFrame:
+def _aligned(short: DataFrame, long: DataFrame, kinds: list[int]) -> DataFrame:
     """id, large, start: places of long texts where a short one can lie, by the one of its seeds that they hold least often.
 
-    short has id, kind and n, long has id and n, the length in units of which `kind` make a seed; part(of, place, size) is a
-    part of a text. All seeds of long texts are exploded once, by parts, as a place far into a text is slow to reach; only
-    those that a short text asks for are kept, with their places, and counted.
+    short and long have id, seq and n, its length; `kind` letters of a short text make a seed. All seeds of long texts are
+    exploded once, by parts, as a place far into a text is slow to reach; only those that a short text asks for are kept,
+    with their places, and counted.
     """
     def seed(of: str, i: Column) -> Column:
-        own = part(of, i, F.col("kind"))
-        return F.xxhash64("kind", F.array_join(own, "") if part is _words else own).alias("seed")
+        return F.xxhash64("kind", F.substring(of, i + 1, F.col("kind"))).alias("seed")
 
-    places = short.select("id", "kind", F.col("n").alias("size"), of, _spread(F.col("n") - F.col("kind") + 1).alias("places"))
-    asked = places.select("id", "kind", "size", of, F.size("places").alias("all"), F.explode("places").alias("off")).select("id", "size", "all", "off", seed(of, F.col("off")))
-    parts = long.where("n > 0").select(F.col("id").alias("large"), F.col("n").alias("room"), of, F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PART))).alias("from"))
-    parts = parts.select("large", "room", "from", part(of, F.col("from"), F.lit(PART + max(kinds) - 1)).alias("part"), F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    places = short.select("id", "kind", F.col("n").alias("size"), "seq", _spread(F.col("n") - F.col("kind") + 1).alias("places"))
+    asked = places.select("id", "kind", "size", "seq", F.size("places").alias("all"), F.explode("places").alias("off")).select("id", "size", "all", "off", seed("seq", F.col("off")))
+    parts = long.where("n > 0").select(F.col("id").alias("large"), F.col("n").alias("room"), "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PART))).alias("from"))
+    parts = parts.select("large", "room", "from", F.substring("seq", F.col("from") + 1, F.lit(PART + max(kinds) - 1)).alias("part"), F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
     last = F.least(F.lit(PART - 1), F.col("room") - F.col("kind") - F.col("from"))
     pieces = parts.where(last >= 0).select("large", "room", "from", "part", "kind", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     pieces = pieces.select("large", "room", (F.col("from") + F.col("i")).alias("at"), seed("part", F.col("i")))
@@ -137,28 +130,101 @@ def _by_letters(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
     if not kinds:
         return short.select("id", F.col("id").alias("large")).limit(0)
     whole = long.withColumn("n", F.length("seq"))
-    found = _aligned(rows, whole, "seq", _letters, kinds)
+    found = _aligned(rows, whole, kinds)
     found = found.join(rows.select("id", "n", F.sha2(F.col("seq").cast("binary"), 256).alias("digest")), "id")
     here = found.join(whole.select(F.col("id").alias("large"), "seq", F.col("n").alias("room")), "large")
     stretch = F.substring("seq", F.col("start") + 1, F.col("n"))
     return here.where((F.col("n") < F.col("room")) & (F.sha2(stretch.cast("binary"), 256) == F.col("digest"))).select("id", "large")
 
 
+def _at(w: str | Column, i: Column, kind: int) -> Column:
+    """The seed of `kind` words from place i on."""
+    return F.xxhash64(F.lit(kind), *[F.get(w, i + j) for j in range(kind)])
+
+
+def _sparse(w: str, first: Column, last: Column) -> Column:
+    """Places from first to last whose five words have a seed that is one of SPARSE, the same ones in every text."""
+    return F.when(last >= first, F.filter(F.sequence(first, last), lambda i: _at(w, i, 5) % SPARSE == 0)).otherwise(F.array().cast("array<int>"))
+
+
 def _by_words(short: DataFrame, long: DataFrame) -> DataFrame:
-    """For short texts with words (w, each with the one white space after it) between the first and the last, which may be parts."""
-    inner = short.select("id", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last"), F.slice("w", F.lit(2), F.size("w") - 2).alias("w"))
-    rows = inner.withColumn("n", F.size("w")).withColumn("kind", F.when(F.col("n") >= 5, 5).otherwise(1))
-    kinds = _kinds(rows)
+    """For short texts with words (w, each with the one white space after it) between the first and the last, which may be parts.
+
+    A text that has sparse seeds asks for some of these, and only the sparse seeds of long texts are joined for it. The
+    others, short as a rule, ask for seeds at any place: five words, or all their inner words if there are fewer.
+    """
+    rows = short.select("id", "w", F.size("w").alias("size"), F.length("seq").alias("chars"), F.explode(F.array(_sparse("w", F.lit(1), F.size("w") - 6))).alias("few"))
+    kind = F.least(F.lit(5), F.col("size") - 2)
+    many = F.when(F.size("few") > 0, F.size("few")).otherwise(F.col("size") - 1 - kind)
+    rows = rows.select("id", "w", "size", "chars", "few", kind.alias("kind"), _spread(many).alias("places"))
+    asked = rows.select("id", "w", "size", "chars", "few", "kind", F.size("places").alias("all"), F.explode("places").alias("i"))
+    asked = asked.withColumn("off", F.when(F.size("few") > 0, F.get("few", F.col("i"))).otherwise(F.col("i") + 1))
+    seeds = F.coalesce(*[F.when(F.col("kind") == k, _at("w", F.col("off"), k)) for k in range(1, 6)])
+    asked = written(asked.select("id", "size", "chars", "all", "off", F.when(F.size("few") == 0, F.col("kind")).alias("dense"), seeds.alias("seed")), "asked")
+    whole = long.select(F.col("id").alias("large"), "w", F.size("w").alias("room"), F.length("seq").alias("letters"))
+    at = whole.select("large", "room", "letters", "w", F.explode(_sparse("w", F.lit(0), F.col("room") - 5)).alias("at"))
+    hits = at.select("large", "room", "letters", "at", _at("w", F.col("at"), 5).alias("seed")).join(asked.where("dense is null").select("seed").distinct(), "seed", "left_semi")
+    kinds = sorted(r[0] for r in asked.where("dense is not null").select("dense").distinct().collect())  # five at most
+    if kinds:
+        at = whole.select("large", "room", "letters", "w", F.explode(F.sequence(F.lit(0), F.col("room") - 1)).alias("at"))
+        at = at.select("large", "room", "letters", "at", F.explode(F.array(*[F.when(F.col("at") + k <= F.col("room"), _at("w", F.col("at"), k)) for k in kinds])).alias("seed"))
+        hits = hits.unionByName(at.where("seed is not null").join(asked.where("dense is not null").select("seed").distinct(), "seed", "left_semi").select(*hits.columns))
+    hits = written(hits, "hits")
+    counts = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    best = asked.join(counts, "seed").groupBy("id", "size", "chars", "all").agg(F.min(F.struct("n", "seed", "off")).alias("x"), F.count(F.lit(1)).alias("found"))
+    best = best.where("found = all").select("id", "size", "chars", "x.seed", "x.off")  # a text that holds it holds all its seeds
+    start = F.col("at") - F.col("off")
+    found = best.join(hits, "seed").where((start >= 0) & (start + F.col("size") <= F.col("room")) & (F.col("chars") < F.col("letters"))).select("id", "large", start.alias("start"), "size")
+    found = written(found, "found")
+    inner = short.select("id", F.get("w", F.lit(0)).alias("first"), F.element_at("w", -1).alias("last"), F.sha2(F.array_join(F.slice("w", F.lit(2), F.size("w") - 2), "").cast("binary"), 256).alias("digest"))
+    here = found.join(long.select(F.col("id").alias("large"), "seq"), "large").select("id", "large", "start", "size", F.explode(F.array(_split("seq"))).alias("w"))
+    stretch = F.sha2(F.array_join(F.slice("w", F.col("start") + 2, F.col("size") - 2), "").cast("binary"), 256)
+    here = here.select("id", "large", F.get("w", F.col("start")).alias("before"), F.get("w", F.col("start") + F.col("size") - 1).alias("after"), stretch.alias("digest"))
+    return here.join(inner, ["id", "digest"]).where(F.endswith("before", "first") & F.startswith("after", "last")).select("id", "large")
+
+
+def _by_parts(short: DataFrame, long: DataFrame, k: int, every: bool) -> DataFrame:
+    """For short texts of one word or two, which may be parts: found among the distinct words of long texts, not in the texts.
+
+    id and large; without `every`, one row at least for each short text that is contained, and large is null.
+    """
+    short = written(short.select("id", "seq", "w"), "few-words")
+    places = long.select(F.col("id").alias("large"), "w", F.size("w").alias("room"), F.length("seq").alias("letters"))
+    each = places.select("large", "room", F.explode("w").alias("word"))
+    words = written(each.groupBy("word").agg(F.max(F.col("room") > 1).alias("more")), "words")
+    one = short.where(F.size("w") == 1).select("id", "seq")
+    inside = _by_letters(one, words.select(F.col("word").alias("id"), F.col("word").alias("seq")), k).select("id", F.col("large").alias("word"), F.lit(False).alias("same"))
+    inside = inside.unionByName(one.join(words.where("more"), F.col("seq") == F.col("word")).select("id", "word", F.lit(True).alias("same")))
+    if every:
+        inside = each.join(written(inside.distinct(), "inside"), "word").where("not same or room > 1")
+    found = inside.select("id", "large" if every else F.lit(None).cast(long.schema["id"].dataType).alias("large"))
+    two = short.where(F.size("w") == 2).select("id", F.length("seq").alias("chars"), F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
+    two = two.withColumn("kind", F.least(F.length("b"), F.lit(k)))
+    kinds = _kinds(two)
     if not kinds:
-        return short.select("id", F.col("id").alias("large")).limit(0)
-    whole = long.withColumn("n", F.size("w"))
-    found = _aligned(rows, whole, "w", _words, kinds)
-    found = found.join(rows.select("id", "n", "first", "last", F.sha2(F.array_join("w", "").cast("binary"), 256).alias("digest")), "id")
-    here = found.join(whole.select(F.col("id").alias("large"), "w", F.col("n").alias("room")), "large").where((F.col("start") > 0) & (F.col("start") + F.col("n") < F.col("room")))
-    before, after = F.get("w", F.col("start") - 1), F.get("w", F.col("start") + F.col("n"))
-    more = (F.col("n") + 2 < F.col("room")) | (F.length("first") < F.length(before)) | (F.length("last") < F.length(after))
-    same = F.sha2(F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), "").cast("binary"), 256) == F.col("digest")
-    return here.where(more & F.endswith(before, F.col("first")) & F.startswith(after, F.col("last")) & same).select("id", "large")
+        return found
+    begun = words.select("word", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).where(F.length("word") >= F.col("kind")).withColumn("head", F.substring("word", F.lit(1), F.col("kind")))
+    seconds = begun.join(two.withColumn("head", F.substring("b", F.lit(1), F.col("kind"))), ["kind", "head"]).where(F.startswith("word", "b")).select("id", "chars", "a", "word")
+    beside_ = places.where("room > 1").select("large", "letters", "w", F.explode(F.sequence(F.lit(1), F.col("room") - 1)).alias("i"))
+    beside_ = beside_.select("large", "letters", F.get("w", F.col("i") - 1).alias("before"), F.get("w", F.col("i")).alias("word"))
+    hit = beside_.join(written(seconds, "second-words"), "word").where(F.endswith("before", "a") & (F.col("chars") < F.col("letters")))
+    return found.unionByName(hit.select("id", "large"))
+
+
+def _split(text: str) -> Column:
+    return F.split(text, r"(?<=\s)")
+
+
+def _contained(short: DataFrame, long: DataFrame, k: int, by: str, every: bool) -> DataFrame:
+    """id and large, with repeats; without `every`, large may be null, and only that a short text is contained is told."""
+    short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
+    if by == "letters":
+        return _by_letters(short, long, k)
+    words = lambda d: d.select("id", "seq", F.explode(F.array(_split("seq"))).alias("w"))  # noqa: E731  one split a text
+    short, long = words(short), words(long)
+    found = _by_words(short.where(F.size("w") > 2), long)
+    rest = short.where(F.size("w") <= 2)
+    return found.unionByName(_by_parts(rest, long, k, every)) if rest.limit(1).count() else found
 
 
 def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str = "letters") -> DataFrame:
@@ -171,21 +237,12 @@ def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str =
     are one seed as a whole, so none is missed. Empty and null texts are contained in nothing. Joins on seeds and on long
     texts leave it to Spark to split a seed or a text with many rows.
     """
-    short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
-    if by == "letters":
-        return _by_letters(short, long, k).select(F.col("id").alias("small"), "large").distinct()
-    words = lambda d: d.select("id", "seq", F.explode(F.array(F.split("seq", r"(?<=\s)"))).alias("w"))  # noqa: E731  one split a text
-    short = words(short)
-    found = _by_words(short.where(F.size("w") > 2), words(long))
-    rest = short.where(F.size("w") <= 2).select("id", "seq")
-    if rest.limit(1).count():
-        found = found.unionByName(_by_letters(rest, long, k))
-    return found.select(F.col("id").alias("small"), "large").distinct()
+    return _contained(short, long, k, by, True).select(F.col("id").alias("small"), "large").distinct()
 
 
 def dedup_containment(df: DataFrame, id_col: str, seq: str, k: int = 12, by: str = "letters") -> DataFrame:
     """One row for each maximal sequence: not blank, first of its copies, and contained in no other sequence."""
     rows = written(dedup_exact(df, seq, [id_col]), "maximal")
     texts = rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"))
-    inner = containment_pairs(texts, texts, k, by).select(F.col("small").alias(id_col)).distinct()
+    inner = _contained(texts, texts, k, by, False).select(F.col("id").alias(id_col)).distinct()
     return rows.join(inner, id_col, "left_anti")

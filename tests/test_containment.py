@@ -44,3 +44,13 @@ def test_seeds_of_long_texts_are_made_once(spark, monkeypatch):
     assert pairs(out) == [(0, 0), (0, 1)] and [n for n, _ in made] == ["hits"] and "LeftSemi" in made[0][1]
     later = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode(sequence(" not in later.replace("Some", "")  # seeds of long texts are read, not made again
+
+
+def test_texts_of_a_word_or_two_are_found_among_distinct_words(spark, monkeypatch):
+    made, written = {}, dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: made.setdefault(name, []).append(written(df, name)) or made[name][-1])
+    long = ["the cat sat on the mat " * 30 + f"t{i}" for i in range(20)] + ["the", "the ", "on the", "cats at", "he cat", "t sat", " ", "at t", "sat on the mat the c"]
+    assert pairs(dedup.containment_pairs(frame(spark, long), frame(spark, long), by="words")) == brute(long, long)
+    kept = dedup.dedup_containment(frame(spark, long), "id", "seq", by="words")
+    assert sorted(r.id for r in kept.collect()) == [i for i, t in enumerate(long) if t.strip() and not any(i == a for a, _ in brute(long, long))]
+    assert sum(d.count() for d in made["hits"]) < 4000  # both calls; seeds of letters had more places in the 20 long texts
