@@ -41,3 +41,34 @@ def test_a_report_in_several_files_and_blocks(spark):
     assert iso == {f"c{i}.trna1": ("Ala", str(i)) for i in range(60)} | {"c0.trna1": ("Arg", "last")}
     assert scan == {f"c{i}.trna1": str(i) for i in range(60)}
     assert struct == {f"c{i}.trna1": (f"AC{i}", ">.<") for i in range(60)}
+
+
+def test_reports_in_packs(spark, monkeypatch):
+    """As many files for many genomes as for few, and the lines of a long report in several records."""
+    from annot.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "LINES", 20)
+    made = []
+    monkeypatch.setattr(source_queries, "new_path", lambda s, name: made.append(new_path(s, name)) or made[-1])
+    test_reports_hold_all_lines_of_all_suppliers(spark)
+    assert len(made) == 2
+    for path in made:
+        assert sum(f.startswith("part-") for _, _, names in os.walk(path.removeprefix("file:")) for f in names) <= 3 * 8
+
+
+def test_packs_cut_anywhere(spark):
+    path = new_path(spark, "packs-cut")
+    texts = {
+        ".isomodels.out": ["", "id\tAnticodon_predicted_isotype\tAla", *(f"c{i}.trna1\tAla\t{i}" for i in range(6)), "c0.trna1\tArg\tlast"],
+        ".trnascan.out": ["x", "Name\ttRNA #\tBegin\tEnd", "--", *(f"c{i}\t1\t{i}\t9" for i in range(6))],
+        ".struct.out": [x for i in range(6) for x in (f"c{i}.trna1 (1-9)\tLength: 9 bp", "Type: Ala", f"Seq: ac{i}", "Str: >.<", "")],
+    }
+    rows = [(f"g{n}{kind}", kind, at, "".join(x + "\r\n" for x in lines[at : at + n])[:-1]) for n in (1, 2, 3, 7, 50) for kind, lines in texts.items() for at in range(0, len(lines), n)]
+    reports.write_packs(spark.createDataFrame(rows, "name string, kind string, at long, text string"), path)
+    iso = {(r.GenomeID, r.tRNAscanID): (r.Anticodon_predicted_isotype, r.Ala) for r in reports.read_isomodels(spark, path, scores=["Ala"], packed=True).collect()}
+    scan = {(r.GenomeID, r.tRNAscanID): r.Begin for r in reports.read_scan_report(spark, path, packed=True).collect()}
+    struct = {(r.GenomeID, r.tRNAscanID): (r.primary_sequence, r.secondary_structure) for r in reports.read_structures(spark, path, packed=True).collect()}
+    every = [(f"g{n}", i) for n in (1, 2, 3, 7, 50) for i in range(6)]
+    assert iso == {(g, f"c{i}.trna1"): ("Arg", "last") if i == 0 else ("Ala", str(i)) for g, i in every}
+    assert scan == {(g, f"c{i}.trna1"): str(i) for g, i in every}
+    assert struct == {(g, f"c{i}.trna1"): (f"AC{i}", ">.<") for g, i in every}
