@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -116,7 +117,7 @@ def _aligned(short: DataFrame, long: DataFrame, kinds: list[int]) -> DataFrame:
     best = asked.join(counts, "seed").groupBy("id", "size", "all").agg(F.min(F.struct("n", "seed", "off")).alias("x"), F.count(F.lit(1)).alias("found"))
     best = best.where("found = all").select("id", "size", "x.seed", "x.off")  # a text that holds it holds all its seeds
     start = F.col("at") - F.col("off")
-    return best.join(hits, "seed").where((start >= 0) & (start + F.col("size") <= F.col("room"))).select("id", "large", start.alias("start"))
+    return best.join(hits, "seed").where((start >= 0) & (start + F.col("size") <= F.col("room")) & (F.col("size") < F.col("room"))).select("id", "large", start.alias("start"))
 
 
 def _kinds(rows: DataFrame) -> list[int]:
@@ -126,10 +127,14 @@ def _kinds(rows: DataFrame) -> list[int]:
 
 def _by_letters(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
     rows = short.withColumn("n", F.length("seq")).withColumn("kind", F.least(F.lit(k), F.col("n")))
+    return _verified(rows, long.withColumn("n", F.length("seq")))
+
+
+def _verified(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """id, large: short texts (id, seq, n, kind) that are where their seeds say in longer ones (id, seq, n)."""
     kinds = _kinds(rows)
     if not kinds:
-        return short.select("id", F.col("id").alias("large")).limit(0)
-    whole = long.withColumn("n", F.length("seq"))
+        return rows.select("id", F.col("id").alias("large")).limit(0)
     found = _aligned(rows, whole, kinds)
     found = found.join(rows.select("id", "n", F.sha2(F.col("seq").cast("binary"), 256).alias("digest")), "id")
     here = found.join(whole.select(F.col("id").alias("large"), "seq", F.col("n").alias("room")), "large")
@@ -215,11 +220,37 @@ def _split(text: str) -> Column:
     return F.split(text, r"(?<=\s)")
 
 
+def _inside_letters(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
+    """id, and large, which is null: only that a short text is in a longer one is told, so no places are kept for most.
+
+    Texts of up to `base` letters are held against the distinct parts of longer texts, as they are. Seeds of the others are
+    base, 2 base, 4 base ... letters, as long as the text allows. base is k, or what makes seeds of four letters so many as
+    all texts have letters: candidates grow with the texts then, and not with their square.
+    """
+    rows = short.withColumn("n", F.length("seq"))
+    whole = long.withColumn("n", F.length("seq"))
+    letters, most = whole.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
+    base = max(k, math.ceil(math.log(letters + 1, 4)))
+    small = rows.where(F.col("n") <= base)
+    none = F.lit(None).cast(long.schema["id"].dataType).alias("large")
+    found = []
+    if kinds := _kinds(small.withColumn("kind", F.col("n"))):
+        parts = whole.select("n", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PART))).alias("from"))
+        parts = parts.select("n", "from", F.substring("seq", F.col("from") + 1, F.lit(PART + max(kinds) - 1)).alias("part"), F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+        last = F.least(F.lit(PART - 1), F.col("n") - F.col("kind") - F.col("from"))
+        pieces = parts.where((F.col("kind") < F.col("n")) & (last >= 0)).select("part", "kind", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(F.substring("part", F.col("i") + 1, F.col("kind")).alias("seq"))
+        found.append(small.join(pieces.distinct(), "seq", "left_semi").select("id", none))
+    sizes = [base << j for j in range(32) if base << j <= max(most, base)]
+    large = rows.where(F.col("n") > base).withColumn("kind", F.greatest(*[F.when(F.col("n") >= x, x) for x in sizes], F.lit(base)))
+    found.append(_verified(large, whole).select("id", none))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _contained(short: DataFrame, long: DataFrame, k: int, by: str, every: bool) -> DataFrame:
     """id and large, with repeats; without `every`, large may be null, and only that a short text is contained is told."""
     short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
     if by == "letters":
-        return _by_letters(short, long, k)
+        return _by_letters(short, long, k) if every else _inside_letters(short, long, k)
     words = lambda d: d.select("id", "seq", F.explode(F.array(_split("seq"))).alias("w"))  # noqa: E731  one split a text
     short, long = words(short), words(long)
     found = _by_words(short.where(F.size("w") > 2), long)

@@ -54,3 +54,14 @@ def test_texts_of_a_word_or_two_are_found_among_distinct_words(spark, monkeypatc
     kept = dedup.dedup_containment(frame(spark, long), "id", "seq", by="words")
     assert sorted(r.id for r in kept.collect()) == [i for i, t in enumerate(long) if t.strip() and not any(i == a for a, _ in brute(long, long))]
     assert sum(d.count() for d in made["hits"]) < 4000  # both calls; seeds of letters had more places in the 20 long texts
+
+
+@pytest.mark.parametrize("k", [2, 4, 12])
+def test_maximal_sequences_keep_few_places(spark, monkeypatch, k):
+    rng, made, written = random.Random(k), [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: made.append((name, written(df, name))) or made[-1][1])
+    long = ["".join(rng.choice("ACGT") for _ in range(64)) for _ in range(200)] + ["".join(rng.choice("ACGT") for _ in range(700))]
+    texts = sorted({*long, *(t[i % 20 : i % 20 + 1 + i % 40] for i, t in enumerate(long)), long[-1][240:270], long[-1][250:500], "ACGX", "X", "N"})
+    want = [i for i, a in enumerate(texts) if not any(a != b and a in b for b in texts)]
+    assert sorted(r.id for r in dedup.dedup_containment(frame(spark, texts), "id", "seq", k=k).collect()) == want
+    assert sum(d.count() for n, d in made if n == "hits") < 3 * 4 * len(texts)
