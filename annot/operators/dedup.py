@@ -51,11 +51,13 @@ def dedup_by_levels(df: DataFrame, seq: str, levels: list[str], order_by: list[s
 
 
 def dedup_summary(df: DataFrame, seq: str, levels: list[str]) -> DataFrame:
-    """level, total, kept, removed, pct_kept. Kept rows are the distinct (sequence, level) pairs; null and '' are one."""
+    """level, total, kept, removed, pct_kept. Kept rows are the distinct (sequence, level) pairs; null and '' are one.
+
+    Each level has its own aggregation of df, so that no task holds the pairs of two levels, or those and what they come of.
+    """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    seqs = df.groupBy(blank(seq).alias("s"), *[blank(c).alias(c) for c in levels]).agg(F.count(F.lit(1)).alias("n"))
-    pairs = seqs.select("s", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).alias("taxon")) for c in levels])).alias("x"))
-    kept = pairs.groupBy("s", "x").agg(F.sum("n").alias("n")).groupBy(F.col("x.level").alias("level")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kept"))
+    pairs = {c: df.groupBy(blank(seq).alias("s"), blank(c).alias("x")).agg(F.count(F.lit(1)).alias("n")) for c in levels}
+    kept = reduce(DataFrame.unionByName, [x.groupBy(F.lit(c).alias("level")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kept")) for c, x in pairs.items()])
     return kept.select("level", "total", "kept", (F.col("total") - F.col("kept")).alias("removed"), (100.0 * F.col("kept") / F.col("total")).alias("pct_kept"))
 
 

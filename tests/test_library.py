@@ -184,3 +184,12 @@ def test_csv(spark):
     assert rows(tables.read_table_csv(spark, path, ["a", "b"])) == [("1", "2"), ("3", None)]
     with pytest.raises(ValueError, match="missing"):
         tables.require_columns(spark.range(1), ["x"])
+
+
+def test_summary_levels_are_aggregated_apart(spark):
+    """No task makes the pairs of all levels of its rows, which would cost memory for each of them at once."""
+    df = spark.range(20).selectExpr("cast(id % 3 as string) AS s", "cast(id % 4 as string) AS d", "cast(id % 5 as string) AS f")
+    out = dedup.dedup_summary(df, "s", ["d", "f"])
+    assert rows(out.select("level", "total", "kept")) == [("d", 20, 12), ("f", 20, 15)]
+    assert rows(dedup.dedup_summary(df.where("false"), "s", ["d", "f"])) == []
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
