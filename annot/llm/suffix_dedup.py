@@ -20,6 +20,7 @@ few bytes they have.
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,9 +41,14 @@ PICK = 128  # a power of two
 GRAM = 8
 #: Bytes of text that are looked at together.
 CHUNK = 2_000_000
+#: Bytes of texts whose words are hashed together.
+WORDS_CHUNK = 1 << 18
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 #: Anchors' hashes that are sent to every task, at most; with more of them the tasks get theirs by a join.
 NEAR_KEYS = 2_000_000
 SAMPLES = 20_000
+#: Characters of text of which one sorted run is made.
+RUN_BYTES = 16_000_000
 RANGE_BYTES = 64_000_000
 
 
@@ -104,31 +110,96 @@ def _keys(raw: bytes, places: np.ndarray, reach: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(view[p : p + reach]) for p in places.tolist()], np.uint64).view(np.int64)
 
 
-class _Words(dict):
-    """Eight bytes for each word."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> bytes:
-        import xxhash
 
-        if len(self) > 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_digest(word)
-        return found
+#: What stands between words, a number for each byte, and the base of the words' polynomials with its inverse modulo 2^64.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The powers of base from 0 to n - 1 at least, modulo 2^64."""
+    known = _powers.get(base)
+    if known is None or len(known) < n:
+        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x[0] = 1
+        known = _powers[base] = np.cumprod(x, dtype=np.uint64)
+    return known
 
 
-_words = _Words()
+def word_hashes(texts: list[bytes]) -> list[bytes]:
+    """Eight bytes for each word of each text, made for the words of many texts at once.
+
+    A word's hash is a polynomial in its bytes, as the difference of two sums that run over all texts. Texts are taken
+    together up to WORDS_CHUNK bytes; longer ones are cut between words.
+    """
+    out: list[list[bytes]] = [[] for _ in texts]
+    group: list[tuple[int, bytes]] = []
+
+    def solve() -> None:
+        joined = b" ".join(x for _, x in group) + b" "
+        raw = np.frombuffer(joined, np.uint8)
+        space = _SPACE[raw]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.concatenate([[0], edges])
+        first, end = edges[0::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_LETTERS[raw] * _power(_BASE, len(raw))[: len(raw)], out=sums[1:])
+        h = (sums[end] - sums[first]) * _power(pow(_BASE, -1, 1 << 64), len(raw))[first]
+        h = _mixed(h + (end - first).astype(np.uint64)).astype("<u8").tobytes()
+        at = np.concatenate([[0], np.cumsum([len(x) + 1 for _, x in group])])
+        cuts = (8 * np.searchsorted(first, at)).tolist()
+        for (k, _), a, b in zip(group, cuts, cuts[1:]):
+            out[k].append(h[a:b])
+
+    total = 0
+    for k, text in enumerate(texts):
+        start = 0
+        while start < len(text):
+            stop = len(text)
+            if stop - start > WORDS_CHUNK and (gap := _GAP.search(text, start + WORDS_CHUNK)):
+                stop = gap.start()
+            if group and total + stop - start > WORDS_CHUNK:
+                solve()
+                group, total = [], 0
+            group.append((k, text[start:stop]))
+            total += stop - start + 1
+            start = stop
+    if group:
+        solve()
+    return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 def _raws(batch: pd.DataFrame, unit: int = 1) -> list[bytes]:
     """The texts' bytes, or the hashes of their words."""
     raws = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-    return raws if unit == 1 else [b"".join(map(_words.__getitem__, r.split())) for r in raws]
+    return raws if unit == 1 else word_hashes(raws)
+
+
+def _parts(batches: Iterator[pd.DataFrame], limit: int = RUN_BYTES) -> Iterator[pd.DataFrame]:
+    """Consecutive rows with about `limit` characters of text, a text at least. A batch gives its texts up part by part."""
+    for batch in batches:
+        ends, start = batch["text"].str.len().to_numpy().cumsum(), 0
+        texts, rest = batch.pop("text").tolist(), batch
+        while start < len(texts):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
+            part = rest.iloc[start:stop].reset_index(drop=True)
+            part["text"] = texts[start:stop]
+            texts[start:stop] = [None] * (stop - start)
+            yield part
+            start = stop
 
 
 def _count_keys(span: int, pick: int, unit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = span - pick
-        for batch in batches:
+        for batch in _parts(batches, RUN_BYTES // 2):
             raws, found, samples = _raws(batch, unit), [], {}
             for k, places, _, _ in anchors(raws, span, pick, unit):
                 keys = _keys(raws[k], places, reach)
@@ -291,8 +362,9 @@ def _sort_runs(span: int, pick: int, unit: int, splitters: list[bytes], shared_k
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reach = span - pick
         live = shared_keys.value if shared_keys is not None else None
-        for batch in batches:
+        for batch in _parts(batches):
             raws, contexts = _raws(batch, unit), {}
+            del batch["text"]
             ids, hs = batch["doc_id"].tolist(), batch["h"].tolist()
             for k, places, first, last in anchors(raws, span, pick, unit):
                 raw = raws[k]

@@ -107,3 +107,19 @@ def test_short_passages_of_many_words_are_told(spark):
     got = {r.doc_id: r for r in remove_repeats(table(spark, rows)).collect()}
     assert all(got[i].n_passage_words == 54 and got[i].n_removed == 0 for i in range(5))
     assert all(got[i].n_passage_words == 0 and got[i].n_removed == 0 for i in range(10, 20))
+
+
+def test_words_are_hashed_without_a_lookup_for_each(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have others, and words are what bytes.split() gives."""
+    from annot.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "WORDS_CHUNK", 40)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé\u0085 \t\n\x0b\x1c") for _ in range(rng.randrange(120))).encode() for _ in range(300)] + [b"", b" ", b"a" * 100, b" " * 90 + b"b"]
+    hashes: dict[bytes, bytes] = {}
+    for text, raw in zip(texts, suffix_dedup.word_hashes(texts), strict=True):
+        words = text.split()
+        assert len(raw) == 8 * len(words)
+        for i, word in enumerate(words):
+            assert hashes.setdefault(word, raw[8 * i : 8 * i + 8]) == raw[8 * i : 8 * i + 8]
+    assert len(set(hashes.values())) == len(hashes)
