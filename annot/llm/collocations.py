@@ -4,10 +4,11 @@ Only the longest windows are counted: each word with its next four in lead colum
 the columns then sums the windows with equal first four, three and two words, which are the counts of all shorter phrases,
 so no table of two-, three- or four-word phrases is ever exploded from the texts.
 
-A phrase can't be more frequent than its words and pairs. So a window is padded as well from its first word on that has
-fewer than `least` occurrences, or forms a pair of fewer with the word before: no prefix that reaches beyond can be a
-candidate, or a part of one. Words and pairs that are frequent are known to tasks as bits in a table of fixed size, pairs by
-sums over hashed keys, which are too large at most; a wrong bit makes a window longer, never a count wrong.
+A phrase can't be more frequent than the phrases in it. So a window is padded as well from the word on with which its prefix
+has fewer than `least` occurrences: no prefix that reaches beyond can be a candidate, or a part of one. What is frequent is
+known to tasks as bits in a table of fixed size for each length: words by their counts, phrases by sums over hashed keys,
+which are too large at most, and only where both phrases of one word less are frequent; a wrong bit makes a window longer,
+never a count wrong. So rare windows, which are most and take ten times a key's bytes, are hardly ever sent.
 
 Texts are split once, into a table of 64-bit hashes of their words; that no other word has the hash of a frequent one is
 checked, and another seed is taken where one has. Only the words of candidates become strings again.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,10 +35,14 @@ from .words import groups
 #: phrase must have to take its place.
 LONGEST, LEAST, ABSORB_PCT = 5, 100, 100
 TOP = 2000
-#: Bits, as a power of two, of the table of frequent words and of that of frequent pairs: 4 MB each at every size of input.
+#: Bits, as a power of two, of the tables of frequent words and of frequent phrases of each length: 4 MB each at every size of input.
 BITS = 25
-#: Pairs that a task gathers before it sends them, and words of the corpus for each part of the pairs' keys.
-BLOCK_PAIRS, PART_WORDS = 3_000_000, 2_000_000
+#: Bits of a phrase's key within its part: at PART_WORDS a rare phrase has a frequent one's key with a probability of 0.005 at most.
+KEY_BITS = 24
+#: Phrases that a task gathers before it sends them, and words of the corpus for each part of the keys.
+BLOCK_PHRASES, PART_WORDS = 3_000_000, 8_000_000
+#: Bytes of hashes that a task looks at at a time.
+LOOK_BYTES = 8 << 20
 #: Bytes of text whose words a task counts at a time.
 SPLIT_BYTES = 8 << 20
 #: Words whose hash a Python worker remembers.
@@ -99,11 +105,9 @@ def _word_keys(lang: str, word: np.ndarray) -> np.ndarray:
     return word ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), LANG_SEED)).astype(np.int64)
 
 
-def _pair_keys(lang: str, first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarray:
-    """A part, below `parts`, and 32 bits within it for each pair of words: the more parts, the more keys."""
-    x = (_word_keys(lang, first).astype(np.uint64) * _NEXT + second.astype(np.uint64)) * _MIX
-    x ^= x >> np.uint64(31)
-    return ((((x >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))).astype(np.int64)
+def _keys(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """A part, below `parts`, and KEY_BITS bits within it for each phrase: the more parts, the more keys."""
+    return ((((hashes >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (hashes & np.uint64((1 << KEY_BITS) - 1))).astype(np.int64)
 
 
 def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -149,14 +153,35 @@ def _clash(words: DataFrame, known, bits: int) -> bool:
     return keys.where("count > 1").limit(1).count() > 0
 
 
-def _frequent_pairs(texts: DataFrame, known, bits: int, least: int, parts: int) -> DataFrame:
-    """The keys of pairs of frequent words that occur `least` times or more, together with other pairs of their key.
+def _reach(lang: str, codes: np.ndarray, tables: list[np.ndarray], bits: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1, 2, ... words, one more than there are tables: the places of phrases whose parts are frequent, with their keys.
 
-    A task sends a part's keys as one sorted block of differences, which takes two bytes a pair; blocks of a part, of a
+    Phrases of as many words as a table is for are kept if they are frequent themselves.
+    """
+    own = _word_keys(lang, codes)
+    at = np.flatnonzero((codes != 0) & _has(tables[0], _bit(bits, own)))
+    hashes = own[at].astype(np.uint64)
+    yield at, own[at]
+    for size in range(2, len(tables) + 2):
+        both = np.flatnonzero(np.diff(at) == 1)
+        at, hashes = at[both], (hashes[both] * _NEXT + codes[at[both] + size - 1].astype(np.uint64)) * _MIX
+        hashes ^= hashes >> np.uint64(31)
+        keys = _keys(hashes, parts)
+        if size <= len(tables):
+            good = _has(tables[size - 1], _bit(bits, keys))
+            at, hashes, keys = at[good], hashes[good], keys[good]
+        yield at, keys
+
+
+def _frequent(texts: DataFrame, known: list, bits: int, least: int, parts: int) -> DataFrame:
+    """The keys of phrases, of one word more than the last table is for, that occur `least` times or more, together with other
+    phrases of their key.
+
+    A task sends a part's keys as one sorted block of differences, which takes a byte or two a phrase; blocks of a part, of a
     bounded number of words of the corpus, are added up in one group.
     """
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, waiting, n = np.frombuffer(known.value, np.uint8), [], 0
+        tables, waiting, n = [np.frombuffer(b.value, np.uint8) for b in known], [], 0
 
         def block() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -165,34 +190,42 @@ def _frequent_pairs(texts: DataFrame, known, bits: int, least: int, parts: int)
             steps = np.diff(keys, prepend=np.uint32(0))
             steps[first] = keys[first]
             cut = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
-            packed = lambda x: [pa.compress(x[a:b].tobytes(), "zstd", asbytes=True) for a, b in cut]
+            packed = lambda x: [_pack(x[a:b]) for a, b in cut]
             return pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array([b - a for a, b in cut], pa.int64()), pa.array(packed(steps), pa.binary()), pa.array(packed(counts.astype(np.uint32)), pa.binary())], names=["part", "size", "steps", "counts"])
 
         for lang, codes in _each_lang(batches):
-            good = (codes != 0) & _has(table, _bit(bits, _word_keys(lang, codes)))
-            at = np.flatnonzero(good[:-1] & good[1:])
-            waiting.append(_pair_keys(lang, codes[at], codes[at + 1], parts))
-            n += len(at)
-            if n > BLOCK_PAIRS:
+            for _, keys in _reach(lang, codes, tables, bits, parts):
+                pass  # the last are those that no table is for
+            waiting.append(keys)
+            n += len(keys)
+            if n > BLOCK_PHRASES:
                 yield block()
                 waiting, n = [], 0
         if n:
             yield block()
 
     def add(batch: pd.DataFrame) -> pd.DataFrame:
-        unpacked = lambda raw, size: np.frombuffer(pa.decompress(raw, 4 * size, "zstd", asbytes=True), np.uint32)
-        keys = np.concatenate([np.cumsum(unpacked(x, n), dtype=np.uint32) for x, n in zip(batch["steps"], batch["size"], strict=True)])
-        counts = np.concatenate([unpacked(x, n) for x, n in zip(batch["counts"], batch["size"], strict=True)])
-        keys, where = np.unique(keys, return_inverse=True)
-        often = keys[np.bincount(where, weights=counts) >= least]
-        return pd.DataFrame({"key": (int(batch["part"].iloc[0]) << 32) | often.astype(np.int64)})
+        sums, most = np.zeros(1 << KEY_BITS, np.uint32), 1 << 31
+        for steps, counts, size in zip(batch["steps"], batch["counts"], batch["size"], strict=True):
+            keys = np.cumsum(_unpack(steps, size), dtype=np.uint32)
+            sums[keys] = np.minimum(sums[keys] + _unpack(counts, size), np.uint32(most))
+        return pd.DataFrame({"key": (int(batch["part"].iloc[0]) << 32) | np.flatnonzero(sums >= min(least, most))})
 
     return texts.mapInArrow(blocks, "part long, size long, steps binary, counts binary").groupBy("part").applyInPandas(add, "key long")
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small numbers of 32 bits: their lowest bytes, then the next, compressed."""
+    return pa.compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(pa.decompress(raw, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T.tobytes(), np.uint32)
+
+
 def _each_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
     """The hashes of a number of texts of one language."""
-    for rows, raws in groups(batches, "codes", 16 << 20):
+    for rows, raws in groups(batches, "codes", LOOK_BYTES):
         langs: dict[str, list[bytes]] = {}
         for lang, raw in zip(rows["lang"].to_pylist(), raws, strict=True):
             langs.setdefault(lang, []).append(raw)
@@ -200,21 +233,17 @@ def _each_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndar
             yield lang, np.frombuffer(b"".join(own), np.int64)
 
 
-def _windows(words, pairs, bits: int, parts: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Lead columns at each word that has a frequent one after it: padded with 0 from where the piece or what is frequent ends."""
+def _windows(known: list, bits: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lead columns at each word that begins a frequent pair: padded with 0 from where the piece or what is frequent ends."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, linked = (np.frombuffer(b.value, np.uint8) for b in (words, pairs))
+        tables = [np.frombuffer(b.value, np.uint8) for b in known]
         for lang, codes in _each_lang(batches):
-            good = (codes != 0) & _has(known, _bit(bits, _word_keys(lang, codes)))
-            at = np.flatnonzero(good[:-1] & good[1:])
-            at = at[_has(linked, _bit(bits, _pair_keys(lang, codes[at], codes[at + 1], parts)))]
-            goes_on = np.zeros(len(codes) + longest, bool)
-            goes_on[at] = True
-            alive, columns = np.ones(len(at), bool), [codes[at]]
-            for k in range(1, longest):
-                alive = alive & goes_on[at + k - 1]
-                columns.append(np.where(alive, codes[np.minimum(at + k, len(codes) - 1)], 0))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *map(pa.array, columns)], names=["lang", *_W[:longest]])
+            places = [at for at, _ in islice(_reach(lang, codes, tables, bits, parts), 1, len(tables))]
+            at = places[0]
+            columns = [codes[at]] + [np.zeros(len(at), np.int64) for _ in places]
+            for k, own in enumerate(places, 1):
+                columns[k][np.searchsorted(at, own)] = codes[own + k]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *map(pa.array, columns)], names=["lang", *_W[: len(tables)]])
 
     return look
 
@@ -253,9 +282,11 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
     words, texts, known = _prepare(df, text, lang, least, bits)
     frequent = words.where(F.col("n") >= least)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    parts = max(64, (words.agg(F.sum("n")).head()[0] or 0) // PART_WORDS)
-    linked = spark.sparkContext.broadcast(_table(_frequent_pairs(texts, known, bits, least, parts), bits).tobytes())
-    counted = texts.mapInArrow(_windows(known, linked, bits, parts, longest), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
+    parts, tables = max(64, (words.agg(F.sum("n")).head()[0] or 0) // PART_WORDS), [known]
+    while len(tables) < longest:
+        table = _table(_frequent(texts, tables, bits, least, parts), bits)
+        tables += [spark.sparkContext.broadcast(table.tobytes())] * (1 if table.any() else longest - len(tables))  # nothing is longer than what is frequent
+    counted = texts.mapInArrow(_windows(tables, bits, parts), "lang string, " + ", ".join(f"{c} long" for c in cols)).groupBy("lang", *cols).agg(F.count(F.lit(1)).alias("n"))
     # A longest window that is itself too rare is only of use for the sums of its prefixes: those of one prefix become one row.
     counted = counted.withColumn(cols[-1], F.when(F.col("n") >= least, F.col(cols[-1])).otherwise(F.lit(0)))
     rolled = spark.sql(f"SELECT lang, {', '.join(cols)}, sum(n) AS f, grouping_id() AS g FROM {{counted}} GROUP BY lang, w1, w2, ROLLUP({', '.join(cols[2:])})", counted=counted)

@@ -105,3 +105,35 @@ def test_query_equals_sql(spark, tmp_path):
     got = sorted(tuple(r) for r in c.op11_phrase_collocations(spark, str(tmp_path)).collect())
     duckdb_rows = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(c.ORACLE).fetchall()
     assert got and got == sorted(duckdb_rows)
+
+
+def test_rare_windows_are_not_sent(spark, monkeypatch, tmp_path):
+    """All pairs of these words are frequent and all that is longer is rare: windows of more words would be nearly as many as the words."""
+    rng, windows = random.Random(7), c._windows
+    rows = [(" ".join(f"w{rng.randrange(20)}" for _ in range(200)), "en") for _ in range(60)]
+    monkeypatch.setattr(c, "_windows", lambda *args: _noting(windows(*args), str(tmp_path)))
+    assert found(texts(spark, rows), least=10) == plain(rows, 10, 100)
+    sent = [int(n) for f in tmp_path.iterdir() for n in f.read_text().split()]
+    assert sum(sent[::2]) > 10_000 and sum(sent[1::2]) < 500
+
+
+def _noting(look, folder):
+    """look, with the rows of each batch and those of more than two words noted in a file."""
+    def noted(batches):
+        import uuid
+
+        for b in look(batches):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{b.num_rows} {(b['w3'].to_numpy() != 0).sum()}")
+            yield b
+
+    return noted
+
+
+def test_all_lengths_and_many_parts(spark, monkeypatch):
+    rows = sample(8)
+    monkeypatch.setattr(c, "PART_WORDS", 10)
+    monkeypatch.setattr(c, "BLOCK_PHRASES", 50)
+    monkeypatch.setattr(c, "LOOK_BYTES", 500)
+    assert found(texts(spark, rows), least=3, longest=4) == plain(rows, 3, 100, 4)
+    assert found(texts(spark, rows), least=3) == plain(rows, 3, 100)
