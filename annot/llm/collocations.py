@@ -35,6 +35,8 @@ from .words import groups
 #: phrase must have to take its place.
 LONGEST, LEAST, ABSORB_PCT = 5, 100, 100
 TOP = 2000
+#: Parts of a language that are ranked by themselves first: a task that ranks a language gets the first TOP of each.
+RANK_PARTS = 64
 #: Bits, as a power of two, of the tables of frequent words and of frequent phrases of each length: 4 MB each at every size of input.
 BITS = 25
 #: Bits of a phrase's key within its part: at PART_WORDS a rare phrase has a frequent one's key with a probability of 0.005 at most.
@@ -44,7 +46,7 @@ BLOCK_PHRASES, PART_WORDS = 3_000_000, 8_000_000
 #: Bytes of hashes that a task looks at at a time.
 LOOK_BYTES = 8 << 20
 #: Bytes of text whose words a task counts at a time.
-SPLIT_BYTES = 8 << 20
+SPLIT_BYTES = 4 << 20
 #: Words whose hash a Python worker remembers.
 MEMO = 300_000
 #: What separates pieces becomes a byte that UTF-8 doesn't have.
@@ -317,8 +319,9 @@ def collocations(df: DataFrame, text: str = "text", lang: str = "lang", least: i
 
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 phrases of each language by score, a and phrase."""
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = collocations(documents(spark, sf_dir)).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= TOP)
+    order, ranked = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], collocations(documents(spark, sf_dir))
+    for of in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order)).cast("long")).where(F.col("rank") <= TOP)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

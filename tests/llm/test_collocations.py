@@ -137,3 +137,16 @@ def test_all_lengths_and_many_parts(spark, monkeypatch):
     monkeypatch.setattr(c, "LOOK_BYTES", 500)
     assert found(texts(spark, rows), least=3, longest=4) == plain(rows, 3, 100, 4)
     assert found(texts(spark, rows), least=3) == plain(rows, 3, 100)
+
+
+def test_parts_of_a_language_are_ranked_first(spark, monkeypatch, tmp_path):
+    rng = random.Random(9)
+    rows = [(" ".join(f"w{rng.randrange(9)}" for _ in range(300)), rng.choice(["en", "de"])) for _ in range(100)]
+    texts(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(c, "TOP", 7)
+    monkeypatch.setattr(c, "RANK_PARTS", 3)
+    df = c.op11_phrase_collocations(spark, str(tmp_path))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number()") == 2
+    best = {lang: sorted((r for r in plain(rows, 100, 100) if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1])) for lang in ("de", "en")}
+    assert min(map(len, best.values())) > 21
+    assert sorted(tuple(r) for r in df.collect()) == [(lang, i, *r[1:]) for lang in ("de", "en") for i, r in enumerate(best[lang][:7], 1)]
