@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from annot.operators import anchors
 from annot.operators.clean import has_sequence
 from annot.operators.quantiles import beside
 from annot.sources.shared import written
@@ -82,7 +83,9 @@ def dedup_progress(df: DataFrame, keys: list[str], chunk: int, order_by: list[st
 
 def dedup_exact(df: DataFrame, seq: str, order_by: list[str]) -> DataFrame:
     """One row, the first, for each sequence that isn't blank."""
-    rows = has_sequence(df, seq)
+    rows, rest = has_sequence(df, seq), [c for c in df.columns if c != seq]
+    if rest == order_by[:1]:  # a hash aggregation, without a sort of the sequences
+        return rows.groupBy(seq).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
     first = rows.groupBy(seq).agg(F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_row"))
     return first.select("_row.*")
 
@@ -190,11 +193,8 @@ def _by_words(short: DataFrame, long: DataFrame) -> DataFrame:
     return here.join(inner, ["id", "digest"]).where(F.endswith("before", "first") & F.startswith("after", "last")).select("id", "large")
 
 
-def _by_parts(short: DataFrame, long: DataFrame, k: int, every: bool) -> DataFrame:
-    """For short texts of one word or two, which may be parts: found among the distinct words of long texts, not in the texts.
-
-    id and large; without `every`, one row at least for each short text that is contained, and large is null.
-    """
+def _by_parts(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
+    """id and large for short texts of one word or two, which may be parts: found among the distinct words of long texts."""
     short = written(short.select("id", "seq", "w"), "few-words")
     places = long.select(F.col("id").alias("large"), "w", F.size("w").alias("room"), F.length("seq").alias("letters"))
     each = places.select("large", "room", F.explode("w").alias("word"))
@@ -202,9 +202,7 @@ def _by_parts(short: DataFrame, long: DataFrame, k: int, every: bool) -> DataFra
     one = short.where(F.size("w") == 1).select("id", "seq")
     inside = _by_letters(one, words.select(F.col("word").alias("id"), F.col("word").alias("seq")), k).select("id", F.col("large").alias("word"), F.lit(False).alias("same"))
     inside = inside.unionByName(one.join(words.where("more"), F.col("seq") == F.col("word")).select("id", "word", F.lit(True).alias("same")))
-    if every:
-        inside = each.join(written(inside.distinct(), "inside"), "word").where("not same or room > 1")
-    found = inside.select("id", "large" if every else F.lit(None).cast(long.schema["id"].dataType).alias("large"))
+    found = each.join(written(inside.distinct(), "inside"), "word").where("not same or room > 1").select("id", "large")
     two = short.where(F.size("w") == 2).select("id", F.length("seq").alias("chars"), F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
     two = two.withColumn("kind", F.least(F.length("b"), F.lit(k)))
     kinds = _kinds(two)
@@ -248,16 +246,16 @@ def _inside_letters(short: DataFrame, long: DataFrame, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _contained(short: DataFrame, long: DataFrame, k: int, by: str, every: bool) -> DataFrame:
-    """id and large, with repeats; without `every`, large may be null, and only that a short text is contained is told."""
+def _contained(short: DataFrame, long: DataFrame, k: int, by: str) -> DataFrame:
+    """id and large, with repeats."""
     short, long = (d.where(F.length("seq") > 0).select("id", "seq") for d in (short, long))
     if by == "letters":
-        return _by_letters(short, long, k) if every else _inside_letters(short, long, k)
+        return _by_letters(short, long, k)
     words = lambda d: d.select("id", "seq", F.explode(F.array(_split("seq"))).alias("w"))  # noqa: E731  one split a text
     short, long = words(short), words(long)
     found = _by_words(short.where(F.size("w") > 2), long)
     rest = short.where(F.size("w") <= 2)
-    return found.unionByName(_by_parts(rest, long, k, every)) if rest.limit(1).count() else found
+    return found.unionByName(_by_parts(rest, long, k)) if rest.limit(1).count() else found
 
 
 def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str = "letters") -> DataFrame:
@@ -270,12 +268,20 @@ def containment_pairs(short: DataFrame, long: DataFrame, k: int = 12, by: str =
     are one seed as a whole, so none is missed. Empty and null texts are contained in nothing. Joins on seeds and on long
     texts leave it to Spark to split a seed or a text with many rows.
     """
-    return _contained(short, long, k, by, True).select(F.col("id").alias("small"), "large").distinct()
+    return _contained(short, long, k, by).select(F.col("id").alias("small"), "large").distinct()
 
 
 def dedup_containment(df: DataFrame, id_col: str, seq: str, k: int = 12, by: str = "letters") -> DataFrame:
-    """One row for each maximal sequence: not blank, first of its copies, and contained in no other sequence."""
-    rows = written(dedup_exact(df, seq, [id_col]), "maximal")
+    """One row for each maximal sequence: not blank, first of its copies, and contained in no other sequence.
+
+    With by='words', texts are looked for by the stretches between their anchors, and seeds of words aren't needed.
+    """
+    rows = dedup_exact(df, seq, [id_col])
+    if by == "words":
+        rows = written(rows.withColumn("_n", F.monotonically_increasing_id()), "maximal")
+        inner = anchors.contained(rows.select(F.col("_n").alias("id"), F.col(seq).alias("seq")))
+        return rows.join(inner.withColumnRenamed("id", "_n"), "_n", "left_anti").drop("_n")
+    rows = written(rows, "maximal")
     texts = rows.select(F.col(id_col).alias("id"), F.col(seq).alias("seq"))
-    inner = _contained(texts, texts, k, by, False).select(F.col("id").alias(id_col)).distinct()
+    inner = _inside_letters(texts, texts, k).select(F.col("id").alias(id_col)).distinct()
     return rows.join(inner, id_col, "left_anti")
