@@ -5,9 +5,9 @@ on each side or the text's ends. An anchor of level l rules over 2^l places at l
 anchors are the longer one's too, and those between its first and its last are all that are there. So what is asked for is
 the stretch from a text's first to its last anchor, of the lowest level at which it has no more than ANCHORS; longer texts
 say where such stretches of theirs are. That is most of a text, so that near copies don't meet: candidates are few. Where a
-text repeats itself, a level can have very many anchors and the next one a few close to each other: of such texts the stretch
-over up to RUN of the many is asked for. Places in long texts are only sent if a table of bits, of what short texts ask for,
-knows them.
+text repeats itself, a level can have very many anchors and the next one a few close to each other: if they span less than
+three quarters of a text, a lower level's stretch is asked for, of up to RUN anchors. Places in long texts are only sent if a
+table of bits, of what short texts ask for, knows them.
 
 Texts of less than eight bytes have no place; they are looked for as they are.
 """
@@ -172,17 +172,15 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, at, rule, lev = x.size > SHORT, x.at, x.rule, LOW
         own = np.flatnonzero((places >= 1) & ~left)
         ask(own, 0, x.start[own], x.start[own] + np.minimum(places[own], BEGIN[0]) - 1, x.end[own] - PLACE, places[own])
-        lower = None
         while left.any():
             count = np.bincount(x.text[at], minlength=many)
-            first, most = np.cumsum(count) - count, np.minimum(count, RUN)
-            own = np.flatnonzero(left & ((count <= ANCHORS) | (places < 2 << lev)))
-            far = 2 * (at[(first + most - 1)[own]] - at[first[own]]) >= places[own] if lower else np.ones(len(own), bool)
-            for own_, lev_, at_, first_, most_ in ((own[far], lev, at, first, most), (own[~far], lev - 1, *(lower or (at, first, most)))):
-                a, z = first_[own_], most_[own_]
-                ask(own_, lev_, at_[a], at_[a + np.minimum(z, BEGIN[1]) - 1], at_[a + z - 1], z)
-            left[own] = False
-            lower, lev = (at, first, most), lev + 1
+            own = np.flatnonzero(left)
+            first, most = (np.cumsum(count) - count)[own], np.minimum(count[own], RUN)
+            a, b, z = at[first], at[first + np.minimum(most, BEGIN[1]) - 1], at[first + most - 1]
+            wide = (4 * (z - a) >= 3 * places[own]) | (level[own] < 0)  # else what a lower level has is asked for
+            ask(own[wide], lev, a[wide], b[wide], z[wide], most[wide])
+            left[own] = (count[own] > ANCHORS) & (places[own] >= 2 << lev)
+            lev += 1
             stays = np.flatnonzero((rule >= 1 << lev) & left[x.text[at]])
             at, rule = at[stays], rule[stays]
         digest = pa.array([hashlib.sha256(x.data[a:z]).digest() for a, z in zip(x.start, x.end, strict=True)], pa.binary())

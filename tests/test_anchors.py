@@ -85,6 +85,15 @@ def test_near_copies_do_not_meet(spark, monkeypatch):
     assert sum(d.count() for d in made) < 6 * len(texts)
 
 
+def test_texts_of_two_runs_do_not_meet_at_every_repeat(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(anchors, "written", lambda df, name: made.setdefault(name, shared.written(df, name)))
+    texts = [f"{a} " * (60 + i) + f"{b}, " * (150 - i) for i in range(40) for a, b in (("az", "mzqm"), ("Twci", "du"))]
+    texts += ["az " * 30 + "mzqm, " * 20, "Twci " * 9 + "du"]
+    assert kept(spark, texts) == maximal(texts)
+    assert made["found"].count() < 3 * len(texts)
+
+
 def test_equal_ids_and_ids_that_are_null(spark):
     rows = [(1, "the cat sat on the mat"), (1, "the cat sat"), (None, "cat sat on"), (None, "a dog lay on the floor"), (7, "a dog lay on the floor"), (3, "og"), (2, "x")]
     out = dedup.dedup_containment(spark.createDataFrame(rows, "id long, seq string"), "id", "seq", by="words")
